@@ -64,13 +64,15 @@ def box_gap(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarr
 class PairJoin:
     """Join of two intervals, or of one with itself."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, same: bool) -> None:
+    def __init__(self, a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, same: bool, weights: tuple[np.ndarray, np.ndarray]) -> None:
         self.u, self.v, self.same, self.threshold = a, b, same, threshold
         self.ru, self.rv = a @ axes, b @ axes
         self.u32, self.v32 = a.astype(np.float32), b.astype(np.float32)
         self.eps = float(np.sqrt(max(2 - 2 * threshold, 0))) + SLACK
-        self.rows: list[np.ndarray] = []
-        self.cols: list[np.ndarray] = []
+        self.links_u, self.links_v = np.zeros(len(a)), np.zeros(len(b))
+        self.weight_u, self.weight_v = weights
+        #: spanning links, the right side's positions counted on from the left's unless both are one interval
+        self.spanning: list[tuple[np.ndarray, np.ndarray]] = []
 
     def join(self, i0: int, i1: int, j0: int, j1: int) -> None:
         if self.same and j1 <= i0 or i0 >= i1 or j0 >= j1:
@@ -99,9 +101,25 @@ class PairJoin:
             sure[close] = np.add.reduce(self.u[i[close]] * self.v[j[close]], axis=1) >= self.threshold
         if self.same:
             sure &= i < j
-        if sure.any():
-            self.rows.append(i[sure])
-            self.cols.append(j[sure])
+        if not sure.any():
+            return
+        i, j = i[sure], j[sure]
+        self.links_u += np.bincount(i, self.weight_v[j], len(self.u))
+        self.links_v += np.bincount(j, self.weight_u[i], len(self.v))
+        # a leaf keeps a spanning forest of its links, however many there are
+        width = i1 - i0
+        root = roots_of(i - i0, j - j0 + width, width + j1 - j0)
+        hit = np.flatnonzero(root != np.arange(len(root)))
+        shift = 0 if self.same else len(self.u)
+        place = lambda x: np.where(x < width, x + i0, x - width + j0 + shift)
+        self.spanning.append((place(hit), place(root[hit])))
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        """(weighted link counts, least position in the component) of the left and then the right vectors; of one interval's if both are the same."""
+        links = self.links_u + self.links_v if self.same else np.concatenate([self.links_u, self.links_v])
+        a = np.concatenate([x for x, _ in self.spanning]) if self.spanning else np.zeros(0, np.int64)
+        b = np.concatenate([y for _, y in self.spanning]) if self.spanning else np.zeros(0, np.int64)
+        return links, roots_of(a, b, len(links))
 
 
 def roots_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -207,15 +225,10 @@ def link(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         counts = [np.frombuffer(x, np.int64) for x in pdf["counts"]]
         u = [np.frombuffer(x, np.float64).reshape(-1, width) for x in pdf["vectors"]]
         same = len(ids) == 1
-        work = PairJoin(u[0], u[-1], axes, threshold, same)
+        work = PairJoin(u[0], u[-1], axes, threshold, same, (counts[0], counts[-1]))
         work.join(0, len(u[0]), 0, len(u[-1]))
-        if not work.rows:
-            return pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
-        i, j = np.concatenate(work.rows), np.concatenate(work.cols)
-        j = j if same else j + len(ids[0])
-        every, weight = (ids[0], counts[0]) if same else (np.concatenate(ids), np.concatenate(counts))
-        links = np.bincount(i, weight[j], len(every)) + np.bincount(j, weight[i], len(every))
-        root = roots_of(i, j, len(every))
+        links, root = work.result()
+        every = ids[0] if same else np.concatenate(ids)
         hit = np.flatnonzero(links)
         return pd.DataFrame({"rep": every[hit], "links": links[hit].astype(np.int64), "root": every[root[hit]]})
 
