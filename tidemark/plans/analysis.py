@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,25 +170,27 @@ def match_nodes(left: DataFrame, right: DataFrame, least: int = 40) -> DataFrame
 
     Left nodes pick by falling cost (then id) the best free right node; a pair needs a score of `least`.
     """
-    cols = lambda df, side: df.select("plan_id", F.lit(side).alias("side"), "node_id", F.coalesce("total_cost", F.lit(0.0)).alias("cost"), fn.normalize_op("operation").alias("op"), fn.extract_target("operation").alias("target"), fn.node_type("operation").alias("kind"), "ext_id")
-    both = cols(left, "l").unionByName(cols(right, "r"))
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cost", "node_id"], ascending=[False, True])
-        rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-        free = [r for r in rows if r["side"] == "r"]
-        out = []
-        for a in (r for r in rows if r["side"] == "l"):
-            best, at = -1, None
-            for b in free:
-                if (s := match_scores(a, b)) > best:
-                    best, at = s, b
-            if at is not None and best >= least:
-                out.append((a["plan_id"], a["node_id"], at["node_id"], best))
-                free.remove(at)
-        return pd.DataFrame(out, columns=["plan_id", "left_node", "right_node", "score"]).astype({"plan_id": "int64", "left_node": "int32", "right_node": "int32", "score": "int32"})
-
-    return both.groupBy("plan_id").applyInPandas(pick, "plan_id long, left_node int, right_node int, score int")
+    node = F.struct("node_id", F.coalesce("total_cost", F.lit(0.0)).alias("cost"), fn.normalize_op("operation").alias("op"), fn.extract_target("operation").alias("target"), fn.node_type("operation").alias("kind"), "ext_id")
+    # one row for each pair of plans, so Python gets batches of plans and not a group for each
+    side = lambda df, name: df.groupBy("plan_id").agg(F.collect_list(node).alias(name))
+    both = side(left, "l").join(side(right, "r"), "plan_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for plan_id, l, r in zip(*(b.column(i).to_pylist() for i in range(3))):
+                order = lambda n: (-n["cost"], n["node_id"])
+                free = sorted(r, key=order)
+                for x in sorted(l, key=order):
+                    scores = [match_scores(x, y) for y in free]
+                    best = max(scores, default=-1)
+                    if best >= least:
+                        y = free.pop(scores.index(best))
+                        out.append((plan_id, x["node_id"], y["node_id"], best))
+            if out:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["plan_id", "left_node", "right_node", "score"])
+
+    return both.mapInArrow(run, "plan_id long, left_node int, right_node int, score int")
 
 
 def diff(left: DataFrame, right: DataFrame) -> DataFrame:
