@@ -165,9 +165,7 @@ def test_near_edges_join_what_brute_force_joins(spark, limit):
     base = rng.integers(-(1 << 62), 1 << 62, 12)
     fps = sorted({int(np.int64(b) ^ np.int64(sum(1 << int(x) for x in rng.choice(63, rng.integers(0, 4), replace=False)))) for b in base for _ in range(25)})
     edges = simhash.near_edges(spark.createDataFrame([(f,) for f in fps], "fp long"), limit)
-    bits = lambda a, b: int(a ^ b & 0xFFFFFFFFFFFFFFFF).bit_count() if a >= 0 and b >= 0 else ((a ^ b) & 0xFFFFFFFFFFFFFFFF).bit_count()
     near = lambda a, b: ((a ^ b) & 0xFFFFFFFFFFFFFFFF).bit_count() <= 2
-    del bits
     rows = edges.collect()
     assert all(near(r["a"], r["b"]) for r in rows)
     got = {r["node"]: r["root"] for r in components.connected_components(edges).collect()}
@@ -312,3 +310,10 @@ def test_warc_records(spark, tmp_path):
     back = {r["record_id"]: r for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
     assert all(back[r["record_id"]]["block"] == r["block"] and back[r["record_id"]]["refers_to"] == r["refers_to"] for r in rows)
     assert warc.derivative_digest(df.limit(0)).count() == 0
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = [(1, "a b c d"), (1, "a b c d"), (1, "zz yy xx"), (2, "a b c d"), (None, "only null here"), (None, "only null here"), (None, "another null text"), (3, None), (4, "")]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, "a b c d"), (1, "zz yy xx"), (None, "only null here"), (None, "another null text"), (3, None)], key=repr)

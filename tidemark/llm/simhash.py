@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import text_chunks
-from tidemark.llm.common import checkpoint
+from tidemark.llm.common import checkpoint, row_key
 from tidemark.llm.components import connected_components
 
 SHINGLE, SEED, MAX_BITS, PAIR_LIMIT = 3, 42, 2, 32
@@ -51,7 +51,7 @@ def fingerprint(text: str, width: int = SHINGLE) -> int:
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (signed 64-bit) of every row of docs.
+    """doc_id, fp (signed 64-bit) and text_hash of every row of docs.
 
     A-Z is lower-cased, words are cut at ASCII white space, shingles of three words are hashed with XXH64
     (seed 42) and a bit is set if more than half the hashes have it. Fewer words: one shingle of them all;
@@ -59,11 +59,16 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in text_chunks(batches):
-            fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+        for batch in batches:
+            # text_chunks gives texts in order, so ids and hashes can be cut alongside
+            at = 0
+            for keys, texts in text_chunks([batch]):
+                fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(fps), batch.column(2).slice(at, len(keys))], ["doc_id", "fp", "text_hash"])
+                at += len(keys)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text_hash")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", text_hash).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def _syndrome(word: np.ndarray) -> np.ndarray:
@@ -143,6 +148,17 @@ def near_edges(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     return pairs.unionByName(stars)
 
 
+def members(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, text_hash, root (a fingerprint for each component) and component_id of every row of docs."""
+    prints = checkpoint(fingerprint_documents(docs))
+    classes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = connected_components(near_edges(classes.select("fp")))
+    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    of_class = checkpoint(rooted.join(least, "root").select("fp", "root", "component_id"))
+    return prints.join(of_class, "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id of every row of docs.
 
@@ -150,13 +166,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Equal fingerprints are one class, so copies meet no pair. Null doc_ids take no part in the smallest
     (a component of nulls alone has a null id); repeated rows are kept. An empty table gives an empty result.
     """
-    prints = checkpoint(fingerprint_documents(docs))
-    classes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(near_edges(classes.select("fp")))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_class = checkpoint(rooted.join(least, "root").select("fp", "component_id"))
-    return prints.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    return members(docs).select("doc_id", "fp", "component_id")
 
 
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:
@@ -165,10 +175,19 @@ def near_duplicate_digest(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the one with the smallest doc_id, the first of equals by text."""
-    groups = near_duplicates(docs)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    cols = docs.columns
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_keep"])).drop("_keep")
-    n = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in cols if c != "doc_id" and c in ("text", "lang", "source")])
-    return kept.withColumn("_n", F.row_number().over(n)).filter("_n = 1").select(*cols)
+    """docs with one row of each component: the smallest doc_id (null last), of its rows the one with the least text hash.
+
+    Texts are shuffled once to meet the short list of kept rows, and never sorted; only keys of repeated rows,
+    if there are any, are numbered to keep one.
+    """
+    last = 2**63 - 1
+    rows = members(docs).groupBy("root", F.coalesce("doc_id", F.lit(last)).alias("k"), "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    kept = rows.groupBy("root").agg(F.min(F.struct("k", "text_hash", "n")).alias("r"))
+    kept = checkpoint(kept.select(F.when(F.col("r.k") == last, F.lit(-(2**63))).otherwise(F.col("r.k")).alias("_k1"), F.col("r.text_hash").alias("_k2"), "r.n"))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), *row_key(docs))
+    take = lambda n: whole.join(kept.filter(n).drop("n").hint("shuffle_hash"), ["_k1", "_k2"])
+    out = take("n = 1").select("_doc.*")
+    if not kept.filter("n > 1").isEmpty():
+        number = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.xxhash64(*[F.col("_doc")[c].cast("string") for c in docs.columns])))
+        out = out.unionByName(take("n > 1").withColumn("_n", number).filter("_n = 1").select("_doc.*"))
+    return out

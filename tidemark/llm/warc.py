@@ -47,7 +47,7 @@ def _numeric_references(t: Column) -> Column:
     valid = lambda c: c.between(1, 0xD7FF) | c.between(0xE000, 0x10FFFF)
     char = lambda c: F.decode(F.unhex(F.lpad(F.hex(F.when(valid(c), c).otherwise(F.lit(0xFFFD)).cast("long")), 8, "0")), "UTF-32")
     pieces = F.arrays_zip(F.split(t, "&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});").alias("g"), F.regexp_extract_all(t, pattern, 0).alias("m"))
-    return F.when(t.rlike("&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.array_join(F.transform(pieces, lambda p: F.concat(p["g"], F.coalesce(char(code(p["m"])), F.lit("")))), "")).otherwise(t)
+    return F.when(t.rlike("&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.array_join(F.transform(pieces, lambda p: F.concat(p["g"], F.when(p["m"].isNull(), F.lit("")).otherwise(char(code(p["m"]))))), "")).otherwise(t)
 
 
 def references(t: Column) -> Column:
