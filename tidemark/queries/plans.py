@@ -252,9 +252,9 @@ def plan_node_label(s: SparkSession, d: str) -> DataFrame:
 QERR = "greatest(greatest(est_rows, 1) / CAST(greatest(actual_rows, 1) AS DOUBLE), greatest(actual_rows, 1) / CAST(greatest(est_rows, 1) AS DOUBLE))"
 
 
-@query("plan.heatmap", PT + f"SELECT plan_id, node_id, round({QERR}, 4) AS q_error, node_id < 3 AS critical FROM plan_truth")
+@query("plan.heatmap", PT + f"SELECT plan_id, node_id, {QERR} AS q_error, node_id < 3 AS critical FROM plan_truth")
 def plan_heatmap(s: SparkSession, d: str) -> DataFrame:
-    return analysis.heatmap(nodes(s, d)).select("plan_id", "node_id", F.round("q_error", 4).alias("q_error"), "critical")
+    return analysis.heatmap(nodes(s, d)).select("plan_id", "node_id", "q_error", "critical")
 
 
 @query("plan.waterfall", PT + "SELECT plan_id, node_id, greatest(0, actual_time - CASE node_id WHEN 0 THEN 300 WHEN 1 THEN 250 ELSE 0 END * actual_time / CASE node_id WHEN 0 THEN 400 WHEN 1 THEN 300 ELSE 1 END) AS own_ms FROM plan_truth")
@@ -274,13 +274,13 @@ def agg_finding_stats(s: SparkSession, d: str) -> DataFrame:
     return catalog.severity_counts(analysis.catalog_findings(nodes(s, d)))
 
 
-@query("join.plans_of_report", PT + "SELECT t.report_id, p.plan_id, max(p.total_cost) AS total_cost FROM plan_truth p JOIN top_sqls t ON t.id = p.plan_id WHERE t.report_id = 1993 GROUP BY 1, 2")
+@query("join.plans_of_report", PT + "SELECT t.report_id, p.plan_id, max(p.total_cost) AS total_cost FROM plan_truth p JOIN top_sqls t ON t.id = p.plan_id WHERE t.report_id = 1995 GROUP BY 1, 2")
 def join_plans_of_report(s: SparkSession, d: str) -> DataFrame:
-    t = load(s, d, "top_sqls").filter("report_id = 1993").select("report_id", F.col("id").alias("plan_id"))
+    t = load(s, d, "top_sqls").filter("report_id = 1995").select("report_id", F.col("id").alias("plan_id"))
     return nodes(s, d).join(t, "plan_id").groupBy("report_id", "plan_id").agg(F.max("total_cost").alias("total_cost"))
 
 
-query("plan.save_list", PT + "SELECT t.report_id, p.plan_id, max(p.total_cost) AS total_cost FROM plan_truth p JOIN top_sqls t ON t.id = p.plan_id WHERE t.report_id = 1993 GROUP BY 1, 2")(join_plans_of_report)
+query("plan.save_list", PT + "SELECT t.report_id, p.plan_id, max(p.total_cost) AS total_cost FROM plan_truth p JOIN top_sqls t ON t.id = p.plan_id WHERE t.report_id = 1995 GROUP BY 1, 2")(join_plans_of_report)
 
 
 @query("join.sql_plan", PT + "SELECT t.id, min(p.plan_id) AS plan_id FROM top_sqls t LEFT JOIN plan_truth p ON p.plan_id = t.id AND t.p_partkey % 2 = 0 GROUP BY 1")

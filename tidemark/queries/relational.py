@@ -150,9 +150,9 @@ def cmp_metric(s: SparkSession, d: str) -> DataFrame:
     return metrics(s, d).select("source_report_id", "target_report_id", "fp", r("elapsed_time_change"), r("cpu_time_change"), r("disk_reads_change"))
 
 
-@query("cmp.details", MATCHED + "SELECT source_report_id, target_report_id, fp, x1 AS source_executions, x2 AS target_executions FROM matched WHERE source_report_id = 1993 ORDER BY fp LIMIT 50")
+@query("cmp.details", MATCHED + "SELECT source_report_id, target_report_id, fp, x1 AS source_executions, x2 AS target_executions FROM matched WHERE source_report_id = 1995 ORDER BY fp LIMIT 50")
 def cmp_details(s: SparkSession, d: str) -> DataFrame:
-    return catalog.page(metrics(s, d).filter("source_report_id = 1993").select("source_report_id", "target_report_id", "fp", "source_executions", "target_executions"), [F.col("fp"), F.col("target_report_id")], 50)
+    return catalog.page(metrics(s, d).filter("source_report_id = 1995").select("source_report_id", "target_report_id", "fp", "source_executions", "target_executions"), [F.col("fp"), F.col("target_report_id")], 50)
 
 
 @query("agg.comparison_means", MATCHED + MEANS + "SELECT source_report_id, target_report_id, common, round(me, 4) AS mean_elapsed_time, round(mc, 4) AS mean_cpu_time, round(md, 4) AS mean_disk_reads FROM means")
@@ -181,9 +181,9 @@ def cmp_run(s: SparkSession, d: str) -> DataFrame:
     return compare.summaries(metrics(s, d), load(s, d, "reports")).select(*SUMMARY_COLS)
 
 
-@query("cmp.summary", SUMMARY_SQL + " WHERE c.source_report_id = 1993")
+@query("cmp.summary", SUMMARY_SQL + " WHERE c.source_report_id = 1995")
 def cmp_summary(s: SparkSession, d: str) -> DataFrame:
-    return cmp_run(s, d).filter("source_report_id = 1993")
+    return cmp_run(s, d).filter("source_report_id = 1995")
 
 
 @query("cmp.list", SUMMARY_SQL + " ORDER BY score DESC, c.source_report_id LIMIT 10")
@@ -240,8 +240,8 @@ def join_hot_sql_report(s: SparkSession, d: str) -> DataFrame:
     return sqls(s, d).filter("is_hot_sql").join(r, "report_id").select("id", "instance_name", "status")
 
 
-NWAY = TOP.rstrip() + """, base AS (SELECT sql_id, total_elapsed_time AS total, executions AS calls FROM top_sqls WHERE report_id = 1993),
-tgt AS (SELECT sql_id, total_elapsed_time AS total, executions AS calls, report_id - 1993 AS ordinal FROM top_sqls WHERE report_id IN (1994, 1995))
+NWAY = TOP.rstrip() + """, base AS (SELECT sql_id, total_elapsed_time AS total, executions AS calls FROM top_sqls WHERE report_id = 1995),
+tgt AS (SELECT sql_id, total_elapsed_time AS total, executions AS calls, report_id - 1995 AS ordinal FROM top_sqls WHERE report_id IN (1996, 1997))
 """
 
 
@@ -255,9 +255,9 @@ FROM top CROSS JOIN (SELECT DISTINCT ordinal FROM tgt) o LEFT JOIN tgt g ON g.sq
 def nway(s: SparkSession, d: str, mode: str) -> DataFrame:
     t = sqls(s, d)
     pick = lambda df: df.select("sql_id", F.col("total_elapsed_time").alias("total"), F.col("executions").alias("calls"), F.lit(10.0).alias("seconds"))
-    base = pick(t.filter("report_id = 1993"))
-    tg = t.filter("report_id IN (1994, 1995)")
-    targets = tg.select("sql_id", F.col("total_elapsed_time").alias("total"), F.col("executions").alias("calls"), F.lit(10.0).alias("seconds"), (F.col("report_id") - 1993).alias("ordinal"))
+    base = pick(t.filter("report_id = 1995"))
+    tg = t.filter("report_id IN (1996, 1997)")
+    targets = tg.select("sql_id", F.col("total_elapsed_time").alias("total"), F.col("executions").alias("calls"), F.lit(10.0).alias("seconds"), (F.col("report_id") - 1995).alias("ordinal"))
     out = compare.n_way(base, targets, mode)
     return out.select("sql_id", "ordinal", "total", "calls", F.round("sort_key", 4).alias("sort_key"), "target_total", "target_calls", F.round("delta_percent", 4).alias("delta_percent"), "is_worse")
 
@@ -267,9 +267,9 @@ for _mode, _name in (("total", "cmp.nway"), ("avg", "join.sql_unique_id"), ("dif
     query(_name, nway_sql(NWAY_KEYS[_mode]))(lambda s, d, m=_mode: nway(s, d, m))
 
 
-LOADS = TOP.rstrip() + """, l AS (SELECT report_id, unnest(['elapsed', 'cpu', 'io']) AS metric, unnest([sum(CAST(total_elapsed_time AS DECIMAL(20,2))), sum(CAST(cpu_time AS DECIMAL(20,2))), sum(CAST(io_time AS DECIMAL(20,2)))]) AS v FROM top_sqls WHERE report_id IN (1993, 1994) GROUP BY report_id)
+LOADS = TOP.rstrip() + """, l AS (SELECT report_id, unnest(['elapsed', 'cpu', 'io']) AS metric, unnest([sum(CAST(total_elapsed_time AS DECIMAL(20,2))), sum(CAST(cpu_time AS DECIMAL(20,2))), sum(CAST(io_time AS DECIMAL(20,2)))]) AS v FROM top_sqls WHERE report_id IN (1995, 1996) GROUP BY report_id)
 SELECT a.metric, CAST(a.v AS DOUBLE) AS base_value, CAST(coalesce(b.v, 0) AS DOUBLE) AS target_value, round((CAST(b.v AS DOUBLE) - CAST(a.v AS DOUBLE)) / CAST(a.v AS DOUBLE) * 100, 4) AS delta_percent, {bad} AS is_worse
-FROM l a LEFT JOIN l b ON a.metric = b.metric AND b.report_id = 1994 WHERE a.report_id = 1993"""
+FROM l a LEFT JOIN l b ON a.metric = b.metric AND b.report_id = 1996 WHERE a.report_id = 1995"""
 
 
 def loads(s: SparkSession, d: str, report: int) -> DataFrame:
@@ -279,12 +279,12 @@ def loads(s: SparkSession, d: str, report: int) -> DataFrame:
 
 
 for _name, _reverse, _bad in (("join.load_metric", False, "b.v > a.v"), ("join.efficiency", True, "b.v < a.v")):
-    query(_name, LOADS.format(bad=_bad))(lambda s, d, r=_reverse: compare.left_by_name(loads(s, d, 1993), loads(s, d, 1994), "metric", "v", reverse=r).withColumn("delta_percent", F.round("delta_percent", 4)))
+    query(_name, LOADS.format(bad=_bad))(lambda s, d, r=_reverse: compare.left_by_name(loads(s, d, 1995), loads(s, d, 1996), "metric", "v", reverse=r).withColumn("delta_percent", F.round("delta_percent", 4)))
 
 
 @query("fn.delta_cell", LOADS.format(bad="b.v > a.v").replace("CAST(coalesce(b.v, 0) AS DOUBLE)", "CAST(b.v AS DOUBLE)"))
 def fn_delta_cell(s: SparkSession, d: str) -> DataFrame:
-    return compare.left_by_name(loads(s, d, 1993), loads(s, d, 1994), "metric", "v", default=None).withColumn("delta_percent", F.round("delta_percent", 4))
+    return compare.left_by_name(loads(s, d, 1995), loads(s, d, 1996), "metric", "v", default=None).withColumn("delta_percent", F.round("delta_percent", 4))
 
 
 @query("join.wait_event", WAIT.rstrip() + """, e AS (SELECT event, report_id % 10000 AS y, sum(waits) AS waits FROM wait_events GROUP BY 1, 2), b AS (SELECT * FROM e WHERE y = (SELECT min(y) FROM e) ORDER BY event LIMIT 15)
@@ -304,10 +304,10 @@ def join_sql_text_map(s: SparkSession, d: str) -> DataFrame:
     return t.select("id", "sql_id").join(m, "sql_id", "left").select("id", F.coalesce("full_text", F.lit("")).alias("full_text"))
 
 
-@query("join.object_sql", ctes("top_sqls", "object_stats") + "SELECT DISTINCT t.id, replace(o.object_name, ' ', '_') AS object_name FROM top_sqls t JOIN (SELECT DISTINCT object_name FROM object_stats) o ON contains(lower(t.sql_text), lower(replace(o.object_name, ' ', '_'))) WHERE t.report_id = 1993")
+@query("join.object_sql", ctes("top_sqls", "object_stats") + "SELECT DISTINCT t.id, replace(o.object_name, ' ', '_') AS object_name FROM top_sqls t JOIN (SELECT DISTINCT object_name FROM object_stats) o ON contains(lower(t.sql_text), lower(replace(o.object_name, ' ', '_'))) WHERE t.report_id = 1995")
 def join_object_sql(s: SparkSession, d: str) -> DataFrame:
     names = load(s, d, "object_stats").select(F.expr("replace(object_name, ' ', '_')").alias("object_name"))
-    return catalog.objects_in_sql(sqls(s, d).filter("report_id = 1993"), names)
+    return catalog.objects_in_sql(sqls(s, d).filter("report_id = 1995"), names)
 
 
 # ---- aggregates
@@ -373,9 +373,9 @@ def join_existing_issue(s: SparkSession, d: str) -> DataFrame:
     return audit.new_issues(issues(s, d), stored(s, d)).select("report_id", "sql_id", "issue_type")
 
 
-@query("flt.issues", ISSUES + "SELECT report_id, sql_id, issue_type, severity FROM issues WHERE report_id = 1993 AND severity = 'High'")
+@query("flt.issues", ISSUES + "SELECT report_id, sql_id, issue_type, severity FROM issues WHERE report_id = 1995 AND severity = 'High'")
 def flt_issues(s: SparkSession, d: str) -> DataFrame:
-    return audit.search(issues(s, d), report_id=1993, status="Open", severity="High").select("report_id", "sql_id", "issue_type", "severity")
+    return audit.search(issues(s, d), report_id=1995, status="Open", severity="High").select("report_id", "sql_id", "issue_type", "severity")
 
 
 @query("flt.issue_types", ISSUES + "SELECT issue_type, count(*) AS n FROM issues WHERE issue_type IN ('SortOperation', 'MissingIndex') GROUP BY 1")
@@ -487,9 +487,9 @@ def win_csv_rank(s: SparkSession, d: str) -> DataFrame:
     return store.export_csv(sqls(s, d))
 
 
-@query("snk.export_csv", CSV_SQL + " WHERE report_id = 1993")
+@query("snk.export_csv", CSV_SQL + " WHERE report_id = 1995")
 def snk_export_csv(s: SparkSession, d: str) -> DataFrame:
-    return store.export_csv(sqls(s, d).filter("report_id = 1993"))
+    return store.export_csv(sqls(s, d).filter("report_id = 1995"))
 
 
 @query("win.latest_per_key", "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
@@ -524,9 +524,9 @@ for _order, _col in (("elapsed", "total_elapsed_time"), ("cpu_time", "cpu_time")
     query({"elapsed": "srt.hot_sql"}.get(_order, f"srt.hot_sql_{_order}"), TOP + f"SELECT id, {_col} FROM top_sqls WHERE is_hot_sql ORDER BY {_col} DESC, id LIMIT 50")(lambda s, d, o=_order, c=_col: catalog.hot_sql(sqls(s, d), o).select("id", c))
 
 
-@query("rep.hot", TOP + "SELECT id, cpu_time FROM top_sqls WHERE is_hot_sql AND report_id = 1993 ORDER BY cpu_time DESC, id LIMIT 100")
+@query("rep.hot", TOP + "SELECT id, cpu_time FROM top_sqls WHERE is_hot_sql AND report_id = 1995 ORDER BY cpu_time DESC, id LIMIT 100")
 def rep_hot(s: SparkSession, d: str) -> DataFrame:
-    return catalog.hot_sql(sqls(s, d), "cpu_time", 500, 1993).select("id", "cpu_time")
+    return catalog.hot_sql(sqls(s, d), "cpu_time", 500, 1995).select("id", "cpu_time")
 
 
 @query("srt.generic", TOP + "SELECT id, lower(sql_text) AS k FROM top_sqls ORDER BY lower(sql_text) DESC NULLS LAST, id LIMIT 40")
@@ -534,9 +534,9 @@ def srt_generic(s: SparkSession, d: str) -> DataFrame:
     return catalog.sort_any(sqls(s, d).select("id", "sql_text"), "sql_text", False).limit(40).select("id", F.lower("sql_text").alias("k"))
 
 
-@query("srt.report_sql", TOP + "SELECT id, executions FROM top_sqls WHERE report_id = 1993 ORDER BY executions DESC, id LIMIT 1000")
+@query("srt.report_sql", TOP + "SELECT id, executions FROM top_sqls WHERE report_id = 1995 ORDER BY executions DESC, id LIMIT 1000")
 def srt_report_sql(s: SparkSession, d: str) -> DataFrame:
-    return catalog.page(sqls(s, d).filter("report_id = 1993").select("id", "executions"), [F.desc("executions"), F.col("id")], 1000)
+    return catalog.page(sqls(s, d).filter("report_id = 1995").select("id", "executions"), [F.desc("executions"), F.col("id")], 1000)
 
 
 @query("srt.threshold", f"SELECT category, config_key FROM {CFG} ORDER BY 1, 2")
@@ -569,16 +569,16 @@ def set_union_objects(s: SparkSession, d: str) -> DataFrame:
     return pick("table").unionByName(pick("index"))
 
 
-@query("set.risk_diff", ISSUES + """, a AS (SELECT DISTINCT sql_id % 100000 AS k, issue_type FROM issues WHERE report_id = 1993), b AS (SELECT DISTINCT sql_id % 100000 AS k, issue_type FROM issues WHERE report_id = 1994)
+@query("set.risk_diff", ISSUES + """, a AS (SELECT DISTINCT sql_id % 100000 AS k, issue_type FROM issues WHERE report_id = 1995), b AS (SELECT DISTINCT sql_id % 100000 AS k, issue_type FROM issues WHERE report_id = 1996)
 SELECT k, issue_type, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'persisting' WHEN b.k IS NOT NULL THEN 'new' ELSE 'resolved' END AS state FROM a FULL JOIN b USING (k, issue_type)""".replace("a.k IS NOT NULL AND b.k IS NOT NULL", "x = 1 AND y = 1").replace("WHEN b.k IS NOT NULL", "WHEN y = 1").replace("a AS (SELECT DISTINCT", "a AS (SELECT DISTINCT 1 AS x,").replace("b AS (SELECT DISTINCT", "b AS (SELECT DISTINCT 1 AS y,"))
 def set_risk_diff(s: SparkSession, d: str) -> DataFrame:
     i = issues(s, d).withColumn("k", F.col("sql_id") % 100000)
-    return catalog.set_difference(i.filter("report_id = 1993"), i.filter("report_id = 1994"), ["k", "issue_type"])
+    return catalog.set_difference(i.filter("report_id = 1995"), i.filter("report_id = 1996"), ["k", "issue_type"])
 
 
-@query("set.dedup_consecutive", TOP + "SELECT id, 2 AS n FROM top_sqls WHERE p_partkey % 6 = 0 AND report_id = 1993")
+@query("set.dedup_consecutive", TOP + "SELECT id, 2 AS n FROM top_sqls WHERE p_partkey % 6 = 0 AND report_id = 1995")
 def set_dedup_consecutive(s: SparkSession, d: str) -> DataFrame:
-    t = sqls(s, d).filter("p_partkey % 6 = 0 AND report_id = 1993")
+    t = sqls(s, d).filter("p_partkey % 6 = 0 AND report_id = 1995")
     return t.select("id", F.size(fn.dedup_consecutive(F.array(F.lit("a"), F.lit("a"), F.lit("b"), F.lit("b")))).alias("n"))
 
 
@@ -770,9 +770,9 @@ def rep_detail(s: SparkSession, d: str) -> DataFrame:
 
 for _name in ("rep.delete", "snk.delete"):
 
-    @query(_name, TOP + "SELECT report_id, count(*) AS n FROM top_sqls WHERE report_id <> 1993 GROUP BY 1")
+    @query(_name, TOP + "SELECT report_id, count(*) AS n FROM top_sqls WHERE report_id <> 1995 GROUP BY 1")
     def rep_delete(s: SparkSession, d: str) -> DataFrame:
-        tombstones = s.createDataFrame([(1993,)], "report_id long")
+        tombstones = s.createDataFrame([(1995,)], "report_id long")
         return sqls(s, d).join(tombstones, "report_id", "left_anti").groupBy("report_id").agg(F.count(F.lit(1)).alias("n"))
 
 
