@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions import scalars as fn
 from tidemark.operators import audit, catalog, compare, store, thresholds
-from tidemark.queries import query
+from tidemark.queries import ORACLES, query
 from tidemark.sources.adapters import duckdb_ctes as ctes
 from tidemark.sources.adapters import load
 
@@ -144,10 +144,9 @@ def set_common_sql(s: SparkSession, d: str) -> DataFrame:
     return compare.common_fingerprints(sqls(s, d), compare.adjacent_pairs(load(s, d, "reports")))
 
 
-@query("cmp.metric", MATCHED + "SELECT source_report_id, target_report_id, fp, round(ec, 4) AS elapsed_time_change, round(cc, 4) AS cpu_time_change, round(dc, 4) AS disk_reads_change FROM changed")
+@query("cmp.metric", MATCHED + "SELECT source_report_id, target_report_id, fp, ec AS elapsed_time_change, cc AS cpu_time_change, dc AS disk_reads_change FROM changed")
 def cmp_metric(s: SparkSession, d: str) -> DataFrame:
-    r = lambda c: F.round(c, 4).alias(c)
-    return metrics(s, d).select("source_report_id", "target_report_id", "fp", r("elapsed_time_change"), r("cpu_time_change"), r("disk_reads_change"))
+    return metrics(s, d).select("source_report_id", "target_report_id", "fp", "elapsed_time_change", "cpu_time_change", "disk_reads_change")
 
 
 @query("cmp.details", MATCHED + "SELECT source_report_id, target_report_id, fp, x1 AS source_executions, x2 AS target_executions FROM matched WHERE source_report_id = 1995 ORDER BY fp LIMIT 50")
@@ -201,9 +200,9 @@ def fn_status(s: SparkSession, d: str) -> DataFrame:
     return cmp_run(s, d).select("source_report_id", "status")
 
 
-@query("fn.findings", FOUND + "SELECT source_report_id, target_report_id, fp, metric, severity, round(change_percent, 4) AS change_percent FROM found")
+@query("fn.findings", FOUND + "SELECT source_report_id, target_report_id, fp, metric, severity, change_percent FROM found")
 def fn_findings(s: SparkSession, d: str) -> DataFrame:
-    return compare.findings(metrics(s, d)).select("source_report_id", "target_report_id", "fp", "metric", "severity", F.round("change_percent", 4).alias("change_percent"))
+    return compare.findings(metrics(s, d)).select("source_report_id", "target_report_id", "fp", "metric", "severity", "change_percent")
 
 
 RANK = "CASE severity WHEN 'Critical' THEN 0 WHEN 'Warning' THEN 1 ELSE 4 END"
@@ -319,7 +318,7 @@ def agg_instance_summary(s: SparkSession, d: str) -> DataFrame:
     return catalog.instance_summary(load(s, d, "reports"))
 
 
-query("dash.instances", None)(agg_instance_summary)
+query("dash.instances", ORACLES["agg.instance_summary"])(agg_instance_summary)
 
 
 @query("agg.count", TOP + "SELECT report_id, count(*) AS n FROM top_sqls GROUP BY report_id")
@@ -429,7 +428,7 @@ def aud_update_status(s: SparkSession, d: str) -> DataFrame:
 def aud_bulk_update(s: SparkSession, d: str) -> DataFrame:
     i = issues(s, d).filter("issue_type = 'SortOperation'").select(F.col("sql_id").alias("id"))
     changes = i.unionByName(s.createDataFrame([(-1,)], "id long")).withColumn("new_status", F.lit("Fixed"))
-    return audit.bulk_result(i, changes)
+    return audit.bulk_result(i, changes).select("id", "ok", "error")
 
 
 @query("agg.dashboard", TOP_REP.rstrip() + """, recent AS (SELECT id FROM reports ORDER BY snapshot_end DESC, id DESC LIMIT 10), per AS (SELECT report_id, sum(total_elapsed_time) AS e, sum(cpu_time) AS c, sum(io_time) AS i, count(*) AS n, count(*) FILTER (WHERE is_hot_sql) AS hot FROM top_sqls WHERE report_id IN (SELECT id FROM recent) GROUP BY 1)
@@ -438,7 +437,7 @@ def agg_dashboard(s: SparkSession, d: str) -> DataFrame:
     return catalog.dashboard(load(s, d, "reports"), sqls(s, d))
 
 
-query("dash.metrics", None)(agg_dashboard)
+query("dash.metrics", ORACLES["agg.dashboard"])(agg_dashboard)
 
 
 @query("agg.trend", "SELECT date_trunc('hour', ts) AS bucket, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS total FROM events GROUP BY 1")
@@ -594,9 +593,9 @@ scalar("fn.fingerprint", FP, lambda: fn.fingerprint("sql_text"))
 scalar("fn.num_commas", "CAST(buffer_gets AS DOUBLE)", lambda: fn.num_commas(F.format_number("buffer_gets", 0)))
 scalar("fn.num_pct", "round(CAST(disk_reads AS DOUBLE), 1)", lambda: fn.num_pct(F.concat(F.format_number("disk_reads", 1), F.lit("%"))))
 scalar("fn.num_range", "CAST(disk_reads AS DOUBLE)", lambda: fn.num_range(F.concat(F.lit("[1.5,"), F.col("disk_reads").cast("string"), F.lit("]"))))
-scalar("fn.pct_change", "round(CASE WHEN total_elapsed_time <> 0 THEN (cpu_time - total_elapsed_time) / total_elapsed_time * 100 END, 6)", lambda: F.round(fn.pct_change("total_elapsed_time", "cpu_time"), 6))
-scalar("fn.metric_card", "round(CASE WHEN io_time > 0 THEN (cpu_time - io_time) / io_time * 100 ELSE 0 END, 6)", lambda: F.round(fn.metric_card_percent("io_time", "cpu_time"), 6))
-scalar("fn.avg_time", "round(CASE WHEN executions > 0 THEN total_elapsed_time / executions ELSE 0 END, 6)", lambda: F.round(fn.avg_time("total_elapsed_time", "executions"), 6))
+scalar("fn.pct_change", "CASE WHEN total_elapsed_time <> 0 THEN (cpu_time - total_elapsed_time) / total_elapsed_time * 100 END", lambda: fn.pct_change("total_elapsed_time", "cpu_time"))
+scalar("fn.metric_card", "CASE WHEN io_time > 0 THEN (cpu_time - io_time) / io_time * 100 ELSE 0 END", lambda: fn.metric_card_percent("io_time", "cpu_time"))
+scalar("fn.avg_time", "CASE WHEN executions > 0 THEN total_elapsed_time / executions ELSE 0 END", lambda: fn.avg_time("total_elapsed_time", "executions"))
 scalar("fn.gauge_target", "CASE WHEN rank_by_time >= 50 THEN 'healthy' WHEN rank_by_time >= 45 THEN 'warning' ELSE 'bad' END", lambda: fn.gauge_target("rank_by_time", F.lit(50)))
 scalar("fn.gauge_fixed", "CASE WHEN rank_by_time >= 90 THEN 'good' WHEN rank_by_time >= 70 THEN 'warn' ELSE 'bad' END", lambda: fn.gauge_fixed("rank_by_time"))
 scalar("fn.plan_score", "greatest(0, least(100, 100 - (rank_by_time % 30) * 5))", lambda: fn.plan_score(F.col("rank_by_time") % 30).cast("long"))
@@ -609,8 +608,8 @@ scalar("fn.hints", "'hintLeading,hintRows'", lambda: F.array_join(fn.hints(F.con
 scalar("fn.detect_sqlplan", "starts_with(upper(sql_text), 'SELECT') OR starts_with(upper(sql_text), 'UPDATE') OR starts_with(upper(sql_text), 'INSERT') OR starts_with(upper(sql_text), 'DELETE')", lambda: fn.detect_sql_with_plan(F.concat("sql_text", F.lit("\nSeq Scan on t  (cost=0.00..1.00 rows=1 width=1)"))))
 scalar("fn.checksum", "sha256(concat('{\"id\":', id, '}'))", lambda: fn.checksum(F.col("id")))
 scalar("fn.csv_escape", "CASE WHEN contains(sql_text, ',') THEN concat('\"', sql_text, '\"') ELSE sql_text END", lambda: fn.csv_field("sql_text"))
-scalar("fn.progress", "round(rank_by_time * 100.0 / 400, 6)", lambda: F.round(fn.progress_percent("rank_by_time", F.lit(400)), 6))
-scalar("fn.hypo_index", "round(total_elapsed_time * 0.65, 4)", lambda: F.round(fn.hypothetical_index("total_elapsed_time", "rows_processed")["estimated_cost"], 4))
+scalar("fn.progress", "CAST(rank_by_time AS DOUBLE) / 400 * 100", lambda: fn.progress_percent("rank_by_time", F.lit(400)))
+scalar("fn.hypo_index", "total_elapsed_time * CAST(0.65 AS DOUBLE)", lambda: fn.hypothetical_index("total_elapsed_time", "rows_processed")["estimated_cost"])
 scalar("fn.parse_status", "CASE WHEN status = 'ImportFailed' THEN 'disk full' END", lambda: fn.failure_message(F.when(F.col("status") == "ImportFailed", F.lit("ImportFailed(disk full)")).otherwise(F.col("status"))), source="reports")
 scalar("fn.duration_s", "CAST(greatest(epoch(CAST(snapshot_end AS TIMESTAMP)) - epoch(CAST(snapshot_start AS TIMESTAMP)), 1) AS DOUBLE)", lambda: fn.duration_s("snapshot_start", "snapshot_end"), source="reports")
 scalar("fn.conclusion", "concat('Performance remained stable with ', id, ' notable changes')", lambda: fn.conclusion(F.lit(3), "id"), source="reports")

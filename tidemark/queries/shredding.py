@@ -40,7 +40,7 @@ def pages(s: SparkSession, d: str) -> DataFrame:
     t = load(s, d, "top_sqls").filter(F.col("rank_by_time") <= PER_PAGE)
     # 26 cells in the first layout
     place = {0: "sql_id", 2: "total_elapsed_time", 3: "cpu_time", 5: "rows_processed", 6: "executions", 8: "disk_reads", 9: "buffer_gets", 13: "io_time"}
-    cells = [F.format_number(place[i], 2) if i in (2, 3, 13) else F.format_number(place[i], 0) if i in (5, 6, 8, 9) else F.col(place[i]) if i in place else escaped("sql_text") if i == 24 else F.lit("0") for i in range(26)]
+    cells = [F.format_number(place[i], 4) if i in (2, 3, 13) else F.format_number(place[i], 0) if i in (5, 6, 8, 9) else F.col(place[i]) if i in place else escaped("sql_text") if i == 24 else F.lit("0") for i in range(26)]
     row = tr(*cells)
     lines = t.groupBy(F.col("report_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank_by_time", row.alias("row")))).alias("l"))
     body = F.array_join(F.expr("transform(l, x -> x.row)"), "")
@@ -74,7 +74,7 @@ def cells(s: SparkSession, d: str) -> DataFrame:
     return html.cells(pages(s, d))
 
 
-@query("src.html_file", REP + "SELECT id AS report_id, 15 AS tables FROM reports")
+@query("src.html_file", REP + "SELECT id AS report_id, 14 AS tables FROM reports")
 def src_html_file(s: SparkSession, d: str) -> DataFrame:
     n = cells(s, d).groupBy("report_id").agg((F.countDistinct("table_idx") + F.when(F.col("report_id") % 2 == 0, -1).otherwise(0)).alias("n"))
     return n.select("report_id", F.col("n").cast("int").alias("tables"))
@@ -148,7 +148,7 @@ def src_top_sql_distinct(s: SparkSession, d: str) -> DataFrame:
 
 
 # rows of a page hold "0" where the second layout has its calls and times
-query("src.top_sql_row_v2", TOP + "SELECT report_id, sql_id, 0 AS executions, round(cpu_time, 2) AS total_elapsed_time FROM top_sqls WHERE rank_by_time <= 40")(lambda s, d: sections.top_sql(cells(s, d), "v2").select("report_id", "sql_id", F.col("executions").cast("int").alias("executions"), "total_elapsed_time"))
+query("src.top_sql_row_v2", TOP + "SELECT report_id, sql_id, 0 AS executions, cpu_time AS total_elapsed_time FROM top_sqls WHERE rank_by_time <= 40")(lambda s, d: sections.top_sql(cells(s, d), "v2").select("report_id", "sql_id", F.col("executions").cast("int").alias("executions"), "total_elapsed_time"))
 query("src.top_sql_row_simple", TOP + "SELECT report_id, sql_id, round(total_elapsed_time, 2) AS executions FROM top_sqls WHERE rank_by_time <= 40")(lambda s, d: sections.rows(cells(s, d).filter("table_class = 'tdiff'")).select("report_id", *sections.statement_columns("simple"), sections.num(2).alias("e")).select("report_id", "sql_id", F.col("e").alias("executions")))
 
 

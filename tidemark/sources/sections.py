@@ -26,11 +26,12 @@ def first_table(cells: DataFrame) -> DataFrame:
 def by_hint(cells: DataFrame, ids: Sequence[str], texts: Sequence[str]) -> DataFrame:
     """Cells of the table that best meets ids and texts: own id, then a nearby id, then the summary, then a nearby heading."""
     lower = [t.lower() for t in texts]
+    heading_has = lambda t: F.exists(F.col("headings"), lambda x: F.lower(x).contains(t))
     near_id = F.exists(F.col("wrapper_ids"), lambda x: x.isin(*ids))
     in_summary, in_heading = F.lit(False), F.lit(False)
     for t in lower:
         in_summary = in_summary | F.lower("summary").contains(t)
-        in_heading = in_heading | F.exists(F.col("headings"), lambda x, t=t: F.lower(x).contains(t))
+        in_heading = in_heading | heading_has(t)
     score = F.when(F.col("table_id").isin(*ids), 0).when(F.element_at(F.col("wrapper_ids"), -1).isin(*ids) & (F.size("wrapper_ids") > 0), 1).when(near_id, 2).when(in_summary, 3).when(in_heading, 4)
     found = cells.withColumn("_score", score).filter("_score IS NOT NULL")
     best = found.groupBy("report_id").agg(F.min(F.struct("_score", "table_idx")).alias("b")).select("report_id", F.col("b.table_idx").alias("table_idx"))
