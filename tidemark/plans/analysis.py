@@ -215,7 +215,7 @@ def verdict(left: DataFrame, right: DataFrame) -> DataFrame:
 def advice(nodes: DataFrame) -> DataFrame:
     """Index, statistics and rewrite advice: plan_id, node_id, kind, statement, explanation. Texts are fixed values."""
     op, table, cond = F.col("operation"), table_of(), filter_of()
-    column = F.element_at(F.filter(F.split(F.split(cond, "=")[0], r"\s+"), lambda x: x != ""), -1)
+    column = F.try_element_at(F.filter(F.split(F.split(cond, "=")[0], r"\s+"), lambda x: x != ""), F.lit(-1))
     clean = ~column.contains("(") & ~column.contains(")")
     f = F.format_string
     none = F.lit(None).cast("string")

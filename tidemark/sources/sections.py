@@ -32,7 +32,7 @@ def by_hint(cells: DataFrame, ids: Sequence[str], texts: Sequence[str]) -> DataF
     for t in lower:
         in_summary = in_summary | F.lower("summary").contains(t)
         in_heading = in_heading | heading_has(t)
-    score = F.when(F.col("table_id").isin(*ids), 0).when(F.element_at(F.col("wrapper_ids"), -1).isin(*ids) & (F.size("wrapper_ids") > 0), 1).when(near_id, 2).when(in_summary, 3).when(in_heading, 4)
+    score = F.when(F.col("table_id").isin(*ids), 0).when(F.try_element_at(F.col("wrapper_ids"), F.lit(-1)).isin(*ids) & (F.size("wrapper_ids") > 0), 1).when(near_id, 2).when(in_summary, 3).when(in_heading, 4)
     found = cells.withColumn("_score", score).filter("_score IS NOT NULL")
     best = found.groupBy("report_id").agg(F.min(F.struct("_score", "table_idx")).alias("b")).select("report_id", F.col("b.table_idx").alias("table_idx"))
     return found.drop("_score").join(best, ["report_id", "table_idx"], "left_semi")
@@ -167,7 +167,7 @@ def roles(t: DataFrame, chain: list[tuple[str, Column]], head_rows: int = 5, nee
     heads = t.filter(F.col("row_idx") < head_rows).withColumn("h", F.lower(F.trim("text"))).withColumn("role", role).filter("role IS NOT NULL")
     rows_ok = heads.groupBy("report_id", "row_idx").agg(F.collect_set("role").alias("found")).filter(F.forall(F.array(*[F.lit(x) for x in needed]), lambda x: F.array_contains("found", x)) if needed else F.lit(True))
     head = rows_ok.groupBy("report_id").agg(F.min("row_idx").alias("head_row"))
-    cols = heads.join(head, (heads["report_id"] == head["report_id"]) & (heads["row_idx"] == head["head_row"])).select(heads["report_id"], "head_row", "role", "col_idx").groupBy("report_id", "head_row", "role").agg(F.min("col_idx").alias("col_idx"))
+    cols = heads.join(head.withColumnRenamed("head_row", "row_idx"), ["report_id", "row_idx"]).groupBy("report_id", F.col("row_idx").alias("head_row"), "role").agg(F.min("col_idx").alias("col_idx"))
     return t.join(cols, ["report_id", "col_idx"]).filter(F.col("row_idx") > F.col("head_row")).select("report_id", "row_idx", "role", "text")
 
 
@@ -191,7 +191,7 @@ def wait_events(cells: DataFrame) -> DataFrame:
 def sql_texts(cells: DataFrame) -> DataFrame:
     """Full statement texts by id, line breaks kept."""
     t = rows(by_hint(cells, ["SQL_Text", "SQL_Detail"], ["SQL Text", "SQL Detail"]))
-    return t.filter(F.size("c") >= 2).select("report_id", at(0).alias("sql_id"), F.element_at("c", -1).alias("sql_text"))
+    return t.filter(F.size("c") >= 2).select("report_id", at(0).alias("sql_id"), F.try_element_at("c", F.lit(-1)).alias("sql_text"))
 
 
 def top_sql_by_header(cells: DataFrame, texts: DataFrame | None = None) -> DataFrame:
