@@ -143,7 +143,7 @@ def objects_in_sql(sqls: DataFrame, objects: DataFrame) -> DataFrame:
     ends = words.select("word").distinct().select("word", F.explode(F.expr("transform(sequence(1, length(word)), i -> substring(word, i))")).alias("suffix"))
     ends = ends.select("word", "suffix", F.explode(F.expr("transform(sequence(1, least(4, length(suffix))), n -> left(suffix, n))")).alias("head"))
     names = objects.select("object_name", F.lower("object_name").alias("name")).distinct()
-    runs = names.select("object_name", "name", F.expr("array_sort(filter(split(name, '[^a-z0-9_]+'), r -> r != ''), (x, y) -> length(y) - length(x))[0]").alias("run")).filter("run IS NOT NULL")
+    runs = names.select("object_name", "name", F.expr("get(array_sort(filter(split(name, '[^a-z0-9_]+'), r -> r != ''), (x, y) -> length(y) - length(x)), 0)").alias("run")).filter("run IS NOT NULL")
     hits = ends.join(runs.withColumn("head", F.expr("left(run, 4)")), "head").filter(F.col("suffix").startswith(F.col("run"))).select("word", "object_name", "name").distinct()
     return words.join(hits, "word").filter(F.expr("contains(text, name)")).select("id", "object_name").distinct()
 
