@@ -266,14 +266,14 @@ for _mode, _name in (("total", "cmp.nway"), ("avg", "join.sql_unique_id"), ("dif
     query(_name, nway_sql(NWAY_KEYS[_mode]))(lambda s, d, m=_mode: nway(s, d, m))
 
 
-LOADS = TOP.rstrip() + """, l AS (SELECT report_id, unnest(['elapsed', 'cpu', 'io']) AS metric, unnest([sum(CAST(total_elapsed_time AS DECIMAL(20,2))), sum(CAST(cpu_time AS DECIMAL(20,2))), sum(CAST(io_time AS DECIMAL(20,2)))]) AS v FROM top_sqls WHERE report_id IN (1995, 1996) GROUP BY report_id)
+LOADS = TOP.rstrip() + """, l AS (SELECT report_id, unnest(['elapsed', 'cpu', 'io']) AS metric, unnest([sum(CAST(total_elapsed_time AS DECIMAL(20,4))), sum(CAST(cpu_time AS DECIMAL(20,4))), sum(CAST(io_time AS DECIMAL(20,4)))]) AS v FROM top_sqls WHERE report_id IN (1995, 1996) GROUP BY report_id)
 SELECT a.metric, CAST(a.v AS DOUBLE) AS base_value, CAST(coalesce(b.v, 0) AS DOUBLE) AS target_value, round((CAST(b.v AS DOUBLE) - CAST(a.v AS DOUBLE)) / CAST(a.v AS DOUBLE) * 100, 4) AS delta_percent, {bad} AS is_worse
 FROM l a LEFT JOIN l b ON a.metric = b.metric AND b.report_id = 1996 WHERE a.report_id = 1995"""
 
 
 def loads(s: SparkSession, d: str, report: int) -> DataFrame:
     t = sqls(s, d).filter(F.col("report_id") == report)
-    total = t.agg(*[F.sum(F.col(c).cast("decimal(20,2)")).alias(m) for m, c in (("elapsed", "total_elapsed_time"), ("cpu", "cpu_time"), ("io", "io_time"))])
+    total = t.agg(*[F.sum(F.col(c).cast("decimal(20,4)")).alias(m) for m, c in (("elapsed", "total_elapsed_time"), ("cpu", "cpu_time"), ("io", "io_time"))])
     return total.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in ("elapsed", "cpu", "io")])).alias("x")).select("x.*")
 
 
