@@ -55,7 +55,7 @@ def test_bpe_cache_can_be_cleared(codec):
 
 def test_word_tokenizer_equals_library():
     t = packing.WordTokenizer(word_tokenizer_file())
-    texts = [*EDGE, "É 's don't <|endoftext|> x", "ΣΑΣ ΑΣ. ", "é ́x", "İstanbul ﬁ ​ x\u0085y", "The the THE"]
+    texts = [*EDGE, "É 's don't <|endoftext|> x", "ΣΑΣ ΑΣ. ", "é ́x", "İstanbul ﬁ ​ x\u0085y", "The the THE", "a\x01b \x01 c", "\x01"]
     assert t.encode(texts) == [np.array(t.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 

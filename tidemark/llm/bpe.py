@@ -188,20 +188,20 @@ class PairMerger:
             open_ = open_[~found & (self.table_keys[at_k] != -1)]
         return out
 
-    def merge_ids(self, ids: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-        """Merged ids of several words in a row: always the pair with the lowest id first, the leftmost of equals."""
+    def merge_ids(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(merged ids of all words in a row, number of ids of each): the pair with the lowest id first, the leftmost of equals."""
         owner = np.repeat(np.arange(len(lengths)), lengths)
         pair = np.full(len(ids), NO_PAIR, np.int64)
         same = np.flatnonzero(owner[:-1] == owner[1:])
         pair[same] = self._merged(ids[same], ids[same + 1])
-        done: dict[int, np.ndarray] = {}
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(ids):
             first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             best = np.minimum.reduceat(pair, first)
             live = best < NO_PAIR
             counts = np.diff(np.concatenate([first, [len(ids)]]))
-            for k in np.flatnonzero(~live).tolist():
-                done[int(owner[first[k]])] = ids[first[k] : first[k] + counts[k]]
+            over = np.repeat(~live, counts)
+            done.append((owner[over], ids[over]))
             hit = np.flatnonzero(pair == np.repeat(np.where(live, best, -1), counts))
             if not len(hit):
                 break
@@ -219,7 +219,17 @@ class PairMerger:
                 i = i[i + 1 < len(ids)]
                 i = i[owner[i] == owner[i + 1]]
                 pair[i] = self._merged(ids[i], ids[i + 1])
-        return [done[k] for k in range(len(lengths))]
+        if not done:
+            return ids, np.zeros(len(lengths), np.int64)
+        owners, merged = (np.concatenate(x) for x in zip(*done))
+        return merged[owners.argsort(kind="stable")], np.bincount(owners, minlength=len(lengths))
+
+
+def byte_slices(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The ids of each word as little-endian unsigned 32-bit integers."""
+    data = ids.astype("<u4").tobytes()
+    ends = (np.cumsum(counts) * 4).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class Codec:
@@ -246,14 +256,15 @@ class Codec:
         self.cache_pieces = cache_pieces
         self.cache: dict[str, bytes] = {}
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece; a piece that is a token itself is that token."""
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each piece as bytes; a piece that is a token itself is that token."""
         out = [self.ranks.get(w) for w in words]
         todo = [i for i, x in enumerate(out) if x is None]
-        ids = self.byte_id[np.frombuffer(b"".join(words[i] for i in todo), np.uint8)]
-        for i, x in zip(todo, self.pairs.merge_ids(ids, np.array([len(words[i]) for i in todo], np.int64))):
+        ids = self.byte_id[np.frombuffer(b"".join([words[i] for i in todo]), np.uint8)]
+        merged = byte_slices(*self.pairs.merge_ids(ids, np.array([len(words[i]) for i in todo], np.int64)))
+        for i, x in zip(todo, merged):
             out[i] = x
-        return [np.array([x], np.int64) if isinstance(x, int) else x for x in out]
+        return [x.to_bytes(4, "little") if isinstance(x, int) else x for x in out]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as uint32 arrays."""
@@ -264,8 +275,7 @@ class Codec:
         if None in found:
             gaps = [i for i, x in enumerate(found) if x is None]
             missing = list({flat[i] for i in gaps})
-            for p, ids in zip(missing, self.merge([p.encode("utf-8", "surrogatepass") for p in missing])):
-                self.cache[p] = ids.astype("<u4").tobytes()
+            self.cache.update(zip(missing, self.merge([p.encode("utf-8", "surrogatepass") for p in missing])))
             for i in gaps:
                 found[i] = self.cache[flat[i]]
         out, at = [], 0

@@ -8,7 +8,9 @@ of the 4096 gaps, and the documents of one batch is held in memory, and no row i
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,14 +19,27 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidemark.llm.bpe import text_chunks
+from tidemark.llm.bpe import PairMerger, byte_slices, text_chunks
 
 CAPACITY, END_ID, CACHE_WORDS, LOOKAHEAD = 4096, 1, 600_000, 4096
 #: str.split() cuts at these, the tokenizer does not take them for white space.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
+#: A control character between spaces is a token of its own, and no other character gives that token.
+MARK, JOINED_WORDS = " \x01 ", 2000
+#: Composed letters with one lower-case letter each, digits and plain punctuation.
+LATIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ0-9.,;:!?'\"()/%$#&*|+=_~<>@^-]+")
+#: How the tokenizer splits such a word after lower-casing.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: the printable one itself, else the next from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in plain)}
+    return [chr(rest.get(b, b)) for b in range(256)]
+
+
 class WordTokenizer:
     """A tokenizer whose tokens never cross white space, with a cache of what lies between white space."""
 
@@ -34,12 +49,62 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, suffix, pairs = model["vocab"], model["end_of_word_suffix"], {}
+        for merge in model["merges"]:
+            a, b = merge.split(" ") if isinstance(merge, str) else merge
+            pairs.setdefault(vocab[a] << 32 | vocab[b], vocab[a + b])
+        symbols = byte_symbols()
+        self.inner = np.array([vocab[c] for c in symbols], np.int64)
+        self.final = np.array([vocab[c + suffix] for c in symbols], np.int64)
+        # merging the lowest id first is merging by rank where ids rise with ranks; else the library does all
+        ids = list(pairs.values())
+        self.pairs = PairMerger(pairs) if ids == sorted(set(ids)) and len(ids) == len(model["merges"]) else None
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
         self.cache_words = cache_words
         self.cache: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space by the library: many in a text, with a mark between them that none holds."""
+        out: list[bytes] = []
+        for a in range(0, len(words), JOINED_WORDS):
+            part = words[a : a + JOINED_WORDS]
+            text = MARK.join(part)
+            if text.count(MARK[1]) != len(part) - 1:
+                out += self._raw(part)
+                continue
+            ids = self._raw([text])[0]
+            start = 0
+            for end in np.append(np.flatnonzero(np.frombuffer(ids, "<u4") == self.mark) * 4, len(ids)).tolist():
+                out.append(ids[start:end])
+                start = end + 4
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space: plain Latin words by merging the vocabulary's own pairs for all of them at once, others by the library."""
+        plain = [i for i, w in enumerate(words) if LATIN_WORD.fullmatch(w)] if self.pairs else []
+        out: list[bytes | None] = [None] * len(words)
+        if plain:
+            split = [PIECES.findall(words[i].lower()) for i in plain]
+            flat = [p.encode() for ps in split for p in ps]
+            lengths = np.array(list(map(len, flat)), np.int64)
+            data = np.frombuffer(b"".join(flat), np.uint8)
+            ids = self.inner[data]
+            last = np.cumsum(lengths) - 1
+            ids[last] = self.final[data[last]]
+            merged, counts = self.pairs.merge_ids(ids, lengths)
+            first = np.cumsum([0, *map(len, split)])[:-1]
+            for i, x in zip(plain, byte_slices(merged, np.add.reduceat(counts, first))):
+                out[i] = x
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self._joined([words[i] for i in rest])):
+            out[i] = x
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         words = [None if any(c in t for c in NOT_SPACE) else t.split() for t in texts]
@@ -50,8 +115,7 @@ class WordTokenizer:
         if None in found:
             gaps = [i for i, x in enumerate(found) if x is None]
             missing = list({flat[i] for i in gaps})
-            for w, ids in zip(missing, self._raw(missing)):
-                self.cache[w] = ids
+            self.cache.update(zip(missing, self._words(missing)))
             for i in gaps:
                 found[i] = self.cache[flat[i]]
         out, at = [], 0
