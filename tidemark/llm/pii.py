@@ -131,11 +131,9 @@ def pii_digest(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind, base_sha256 and spans of every row of docs; then n_generalised and n_removed terms."""
     k1, k2 = row_key(docs)
     joined = docs.select(docs["doc_id"], k1, k2).join(_by_row(find_spans(docs)), ["_k1", "_k2"], "left")
-    s = F.coalesce(F.col("s"), F.expr("array()"))
     named = "transform(filter(s, x -> {}), x -> concat_ws(':', element_at(array({}), x.kind + 1), x.start, x.end))".format("{}", ", ".join(f"'{k}'" for k in KINDS))
     count = lambda cond: F.coalesce(F.size(F.expr(f"filter(s, x -> {cond})")), F.lit(0)).cast("long")
-    out = joined.withColumn("s", F.when(F.col("s").isNull(), F.lit(None)).otherwise(s))
-    return out.select(
+    return joined.select(
         "doc_id",
         *[F.when(F.col("s").isNull(), F.lit(0)).otherwise(count(f"x.kind = {i}")).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])],
         F.sha2(F.coalesce(F.array_join(F.expr(named.format("x.kind < 4")), ","), F.lit("")), 256).alias("base_sha256"),

@@ -101,7 +101,6 @@ class Tree:
 
     def _answer(self, query_ids: np.ndarray, queries: np.ndarray, best_d: np.ndarray, best_i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Exact scores of what was found, copies spelled out, ties to the smaller id."""
-        out: list[tuple] = []
         row, col = np.nonzero(best_i >= 0)
         found = best_i[row, col]
         score = exact_scores(queries[row], self.vectors[found])
@@ -114,7 +113,6 @@ class Tree:
         row, score, ids = row[order], score[order], ids[order]
         first = np.searchsorted(row, row)
         top = np.arange(len(row)) - first < k
-        del out
         return row[top], ids[top], score[top]
 
 
