@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import linededup, packing, pii, quality, simhash
+from tidemark.llm import jaccard, linededup, packing, pii, quality
 from tidemark.llm.common import ensure_checkpoint_dir, table
 from tidemark.llm.queries import word_tokenizer_file
 
@@ -26,8 +26,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of texts whose five-word shingles are similar to 0.8 or more."""
+    return jaccard.drop_near_duplicates(docs)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,13 +175,19 @@ def near_duplicate_digest(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component of near_duplicates()."""
+    return keep_one(docs, members(docs))
+
+
+def keep_one(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """docs with one row of each component: the smallest doc_id (null last), of its rows the one with the least text hash.
 
+    grouped: doc_id, text_hash and root of every row of docs.
     Texts are shuffled once to meet the short list of kept rows, and never sorted; only keys of repeated rows,
     if there are any, are numbered to keep one.
     """
     last = 2**63 - 1
-    rows = members(docs).groupBy("root", F.coalesce("doc_id", F.lit(last)).alias("k"), "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    rows = grouped.groupBy("root", F.coalesce("doc_id", F.lit(last)).alias("k"), "text_hash").agg(F.count(F.lit(1)).alias("n"))
     kept = rows.groupBy("root").agg(F.min(F.struct("k", "text_hash", "n")).alias("r"))
     kept = checkpoint(kept.select(F.when(F.col("r.k") == last, F.lit(-(2**63))).otherwise(F.col("r.k")).alias("_k1"), F.col("r.text_hash").alias("_k2"), "r.n"))
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), *row_key(docs))
