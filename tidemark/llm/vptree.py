@@ -5,6 +5,8 @@ largest norm M; queries get zero there. A shard holds a bounded number of vector
 tree stores for both children of a vantage point the range of their distances to it. A child is visited if
 the triangle inequality's lower bound for it, times a factor, does not exceed the query's current k-th
 distance: factor one gives exact results, larger ones skip more. Queries meet every shard in bounded blocks.
+Where norms differ, the added coordinate puts a common offset of about M into every distance, so that a factor
+would rule out nearly everything; the factor is then one.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint
 
+#: Norms within this share of the largest count as equal.
+EQUAL_NORMS = 0.999
 K, FACTOR, LEAF, SHARD_ROWS, QUERY_ROWS, EVERY = 20, 2.0, 128, 4096, 1024, 20
 
 
@@ -44,34 +48,36 @@ class Tree:
         counts = np.diff(np.concatenate([start, [len(ids)]]))
         self.vectors = vectors[start]
         self.copies = [ids[s : s + min(c, k + 1)] for s, c in zip(start.tolist(), counts.tolist())]
+        self.max_norm = max_norm
         rest = np.sqrt(np.maximum(max_norm**2 - (self.vectors**2).sum(axis=1), 0))
-        self.points = np.concatenate([self.vectors, rest[:, None]], axis=1).astype(np.float32)
+        points = np.concatenate([self.vectors, rest[:, None]], axis=1)
         self.nodes: list[tuple] = []  # (vantage point, inner child, outer child, bounds) or (members,)
-        self._grow(np.arange(len(start)), leaf)
+        self._grow(points, np.arange(len(start)), leaf)
 
-    def _grow(self, members: np.ndarray, leaf: int) -> int:
+    def _grow(self, points: np.ndarray, members: np.ndarray, leaf: int) -> int:
         at = len(self.nodes)
         self.nodes.append(())
         if len(members) <= leaf:
             self.nodes[at] = (members,)
             return at
         vantage = int(members[len(members) // 2])
-        d = np.sqrt(((self.points[members] - self.points[vantage]) ** 2).sum(axis=1))
+        d = np.sqrt(((points[members] - points[vantage]) ** 2).sum(axis=1))
         order = d.argsort(kind="stable")
         half = len(members) // 2
         d = d[order]
-        inner, outer = self._grow(members[order[:half]], leaf), self._grow(members[order[half:]], leaf)
+        inner, outer = self._grow(points, members[order[:half]], leaf), self._grow(points, members[order[half:]], leaf)
         self.nodes[at] = (vantage, inner, outer, (d[0], d[half - 1], d[half], d[-1]))
         return at
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query position, vec_id, score) of the k best candidates of each query, its own id left out."""
-        q32 = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
-        q_norm = (q32**2).sum(axis=1)
-        p_norm = (self.points**2).sum(axis=1)
+        # all points have the norm M, so the nearest are those with the largest inner product; scores stay exact for any M
+        q32, x32 = queries.astype(np.float32), self.vectors.astype(np.float32)
+        square = (queries**2).sum(axis=1) + self.max_norm**2
+        slack = 1e-5 * np.sqrt((queries**2).sum(axis=1)) * self.max_norm
         # copies may hide behind the query's own row, so one more is kept than asked for
         keep = k + 1
-        best_d = np.full((len(queries), keep), np.inf, np.float32)
+        best_s = np.full((len(queries), keep), -np.inf, np.float32)
         best_i = np.full((len(queries), keep), -1)
 
         def visit(node: int, who: np.ndarray) -> None:
@@ -80,26 +86,26 @@ class Tree:
             entry = self.nodes[node]
             if len(entry) == 1:
                 members = entry[0]
-                d2 = q_norm[who, None] + p_norm[members][None] - 2 * (q32[who] @ self.points[members].T)
-                all_d = np.concatenate([best_d[who], d2], axis=1)
-                all_i = np.concatenate([best_i[who], np.broadcast_to(members, d2.shape)], axis=1)
-                part = all_d.argpartition(keep - 1, axis=1)[:, :keep] if all_d.shape[1] > keep else np.broadcast_to(np.arange(all_d.shape[1]), all_d.shape)
-                best_d[who, : part.shape[1]] = np.take_along_axis(all_d, part, axis=1)
+                s = q32[who] @ x32[members].T
+                all_s = np.concatenate([best_s[who], s], axis=1)
+                all_i = np.concatenate([best_i[who], np.broadcast_to(members, s.shape)], axis=1)
+                part = (-all_s).argpartition(keep - 1, axis=1)[:, :keep] if all_s.shape[1] > keep else np.broadcast_to(np.arange(all_s.shape[1]), all_s.shape)
+                best_s[who, : part.shape[1]] = np.take_along_axis(all_s, part, axis=1)
                 best_i[who, : part.shape[1]] = np.take_along_axis(all_i, part, axis=1)
                 return
             vantage, inner, outer, (lo_in, hi_in, lo_out, hi_out) = entry
-            d = np.sqrt(np.maximum(q_norm[who] + p_norm[vantage] - 2 * (q32[who] @ self.points[vantage]), 0))
+            d = np.sqrt(np.maximum(square[who] - 2 * (queries[who] @ self.vectors[vantage]), 0))
             bounds = [(inner, np.maximum(np.maximum(lo_in - d, d - hi_in), 0)), (outer, np.maximum(np.maximum(lo_out - d, d - hi_out), 0))]
             near_first = bounds[0][1] <= bounds[1][1]
             for first, group in ((0, near_first), (1, ~near_first)):
                 for child, bound in (bounds[first], bounds[1 - first]):
-                    limit = np.sqrt(np.maximum(best_d[who].max(axis=1), 0)) + 1e-4
+                    limit = np.sqrt(np.maximum(square[who] - 2 * best_s[who].min(axis=1).astype(np.float64), 0) + slack[who])
                     visit(child, who[group & (bound * factor <= limit)])
 
         visit(0, np.arange(len(queries)))
-        return self._answer(query_ids, queries, best_d, best_i, k)
+        return self._answer(query_ids, queries, best_i, k)
 
-    def _answer(self, query_ids: np.ndarray, queries: np.ndarray, best_d: np.ndarray, best_i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _answer(self, query_ids: np.ndarray, queries: np.ndarray, best_i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Exact scores of what was found, copies spelled out, ties to the smaller id."""
         row, col = np.nonzero(best_i >= 0)
         found = best_i[row, col]
@@ -125,8 +131,11 @@ def nearest(embeddings: DataFrame, k: int = K, factor: float = FACTOR, every: in
     An empty table gives an empty result.
     """
     clean = checkpoint(usable(embeddings).dropDuplicates(["vec_id"]))
-    stats = clean.agg(F.count(F.lit(1)).alias("n"), F.max(F.expr("aggregate(vector, 0D, (a, x) -> a + x * x)")).alias("m")).first()
+    square = F.expr("aggregate(vector, 0D, (a, x) -> a + x * x)")
+    stats = clean.agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("m"), F.min(square).alias("least")).first()
     shards, max_norm = max(1, -(-stats["n"] // shard_rows)), float(stats["m"] or 0) ** 0.5
+    if float(stats["least"] or 0) ** 0.5 < EQUAL_NORMS * max_norm:
+        factor = min(factor, 1.0)
     queries = clean.filter(F.col("vec_id") % every == 0)
     n_blocks = max(1, -(-queries.count() // query_rows))
 
