@@ -3,8 +3,10 @@
 Base entities (e-mail, IP, card and phone numbers) are found by patterns that are linear in the text.
 Terms near an entity are then judged by how strongly the corpus says that they reveal it: with document
 frequencies, PMI(entity; term) relative to the entity's own information content IC(entity) is the share of
-the entity's information that the term discloses. Terms at or above `remove_at` are removed, terms from
-`generalise_at` on are replaced with a placeholder of their kind.
+the entity's information that the term discloses. An entity of a single document counts; the term's document
+frequency is smoothed by one document over the number of documents that hold both. Terms at or above
+`remove_at` are removed, terms from `generalise_at` on are replaced with a placeholder of their kind, wherever
+they stand in any text.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WINDOW, WINDOW_CHARS = 6, 160
-MIN_SUPPORT, GENERALISE_AT, REMOVE_AT = 3, 0.8, 0.95
-#: A term: a run of letters with white space on both sides, apart from punctuation. Such a run lies outside every base entity.
-TERM = r"(?<=\s[\p{Punct}&&[^@]]{0,4})\p{L}{2,}+(?=[\p{Punct}&&[^@]]{0,4}\s)"
+GENERALISE_AT, REMOVE_AT = 0.8, 0.95
+#: Told terms up to this number meet the words of all texts by a broadcast instead of a shuffle of all words.
+BROADCAST_TERMS = 200_000
+#: A term: a run of letters between white space or ends, apart from punctuation.
+TERM = r"(?<=(?:^|\s)[\p{Punct}&&[^@]]{0,4})\p{L}{2,}+(?=[\p{Punct}&&[^@]]{0,4}(?:\s|$))"
 
 
 def _sql(s: str) -> str:
@@ -74,21 +78,12 @@ def find_entities(docs: DataFrame) -> DataFrame:
 
 
 def window_terms(entities: DataFrame) -> DataFrame:
-    """Rows (_k1, _k2, entity, term, start, end): the WINDOW terms on either side of each entity."""
-    t = _sql(TERM)
-
-    def terms(side: str) -> str:
-        """Terms in a short text with their positions in it; prefix sums over at most WINDOW_CHARS elements."""
-        return f"""aggregate(arrays_zip(split({side}, {t}), regexp_extract_all({side}, {t}, 0)), named_struct('at', 0, 'out', cast(array() AS array<struct<term:string,s:int,e:int>>)),
-          (a, x) -> CASE WHEN x.`1` IS NULL THEN a ELSE named_struct('at', a.at + char_length(x.`0`) + char_length(x.`1`), 'out',
-            array_append(a.out, named_struct('term', lower(x.`1`), 's', a.at + char_length(x.`0`), 'e', a.at + char_length(x.`0`) + char_length(x.`1`)))) END).out"""
-
-    sides = entities.select("_k1", "_k2", "entity", "start", "end", "tail", "head", F.expr(terms("tail")).alias("before"), F.expr(terms("head")).alias("after"))
-    near = F.concat(
-        F.expr(f"transform(slice(reverse(before), 1, {WINDOW}), x -> named_struct('term', x.term, 'start', start - char_length(tail) + x.s, 'end', start - char_length(tail) + x.e))"),
-        F.expr(f"coalesce(transform(slice(after, 1, {WINDOW}), x -> named_struct('term', x.term, 'start', end + x.s, 'end', end + x.e)), array())"),
-    )
-    return sides.select("_k1", "_k2", "entity", F.explode(near).alias("x")).select("_k1", "_k2", "entity", "x.term", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"))
+    """Distinct rows (_k1, _k2, entity, term): the WINDOW terms on either side of each entity."""
+    t, cut = _sql(TERM), WINDOW_CHARS
+    # a side that is longer than the window starts or ends within a word, which is left out
+    before = f"slice(reverse(regexp_extract_all(CASE WHEN char_length(tail) > {cut} THEN regexp_replace(tail, '^\\\\S+', '') ELSE tail END, {t}, 0)), 1, {WINDOW})"
+    after = f"slice(regexp_extract_all(CASE WHEN char_length(head) > {cut} THEN regexp_replace(head, '\\\\S+$', '') ELSE head END, {t}, 0), 1, {WINDOW})"
+    return entities.select("_k1", "_k2", "entity", F.explode(F.expr(f"transform(concat({before}, {after}), x -> lower(x))")).alias("term")).distinct()
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
@@ -97,28 +92,46 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return docs.filter("text IS NOT NULL").select(F.explode(terms).alias("th")).groupBy("th").agg(F.count(F.lit(1)).alias("df"))
 
 
-def disclosure(docs: DataFrame, near: DataFrame, entities: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
+def disclosure(docs: DataFrame, near: DataFrame, entities: DataFrame) -> DataFrame:
     """Rows (entity, term, share): the share of the entity's information content that the term discloses."""
     n = docs.count()
-    pairs = near.select("_k1", "_k2", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= min_support)
-    per_entity = entities.select("_k1", "_k2", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= min_support)
+    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
+    per_entity = entities.select("_k1", "_k2", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     terms = pairs.select(F.xxhash64("term").alias("th")).distinct()
     df = document_frequency(docs).join(terms, "th")
     joined = pairs.join(per_entity, "entity").withColumn("th", F.xxhash64("term")).join(df, "th")
-    pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("n_entity") * F.col("df")))
+    pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("n_entity") * (F.col("df") + 1 / F.col("both"))))
     ic = F.log2(F.lit(float(n)) / F.col("n_entity"))
     return joined.select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)).alias("share"))
 
 
-def find_spans(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, min_support: int = MIN_SUPPORT) -> DataFrame:
+def term_places(docs: DataFrame, told: DataFrame, entities: DataFrame) -> DataFrame:
+    """Rows (_k1, _k2, start, end, removed): where the words of told (term, removed) stand in any text, outside entities."""
+    told = checkpoint(told.withColumn("th", F.xxhash64("term")))
+    met = F.broadcast(told) if told.count() <= BROADCAST_TERMS else told
+    k1, k2 = row_key(docs)
+    words = docs.filter(docs["text"].isNotNull()).select(k1, k2, F.explode(F.expr(r"array_distinct(transform(split(lower(text), '[^\\p{L}]+'), w -> xxhash64(w)))")).alias("th"))
+    hits = checkpoint(words.join(met, "th").select("_k1", "_k2", "term", "removed").distinct())
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?iu:"), F.array_join(F.array_sort(F.collect_set("term")), "|"), F.lit(r")(?!\p{L})")).alias("pattern")
+    text = docs.select(*row_key(docs), F.col("text").alias("t")).join(hits.groupBy("_k1", "_k2").agg(pattern).hint("shuffle_hash"), ["_k1", "_k2"])
+    found = text.select("_k1", "_k2", F.posexplode(F.expr("arrays_zip(regexp_extract_all(t, pattern, 0), split(t, pattern))")).alias("i", "x"))
+    rows = found.select("_k1", "_k2", "i", F.char_length("x.1").alias("gap"), F.col("x.0").alias("m")).dropDuplicates(["_k1", "_k2", "i"])
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.coalesce(F.char_length("m"), F.lit(0))).over(Window.partitionBy("_k1", "_k2").orderBy("i"))).filter("m IS NOT NULL")
+    rows = rows.select("_k1", "_k2", F.lower("m").alias("term"), (F.col("end") - F.char_length("m")).cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    base = entities.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "end")).alias("s"))
+    placed = rows.join(hits, ["_k1", "_k2", "term"]).join(base, ["_k1", "_k2"], "left")
+    return placed.filter(~F.coalesce(F.expr("exists(s, x -> x.start < end AND start < x.end)"), F.lit(False))).select("_k1", "_k2", "start", "end", "removed")
+
+
+def find_spans(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """Rows (_k1, _k2, kind, start, end, removed): base entities and disclosing terms of each distinct row.
 
     removed: for terms, whether the term goes altogether; true for base entities.
     """
     entities = checkpoint(find_entities(docs))
-    near = window_terms(entities)
-    told = disclosure(docs, near, entities, min_support).filter(F.col("share") >= generalise_at)
-    terms = near.join(told, ["entity", "term"]).groupBy("_k1", "_k2", "start", "end").agg(F.max(F.col("share") >= remove_at).alias("removed"))
+    told = disclosure(docs, window_terms(entities), entities).filter(F.col("share") >= generalise_at)
+    told = told.groupBy("term").agg(F.max(F.col("share") >= remove_at).alias("removed"))
+    terms = term_places(docs, told, entities)
     base = entities.select("_k1", "_k2", "kind", "start", "end", F.lit(True).alias("removed"))
     return base.unionByName(terms.withColumn("kind", F.lit(4)))
 
