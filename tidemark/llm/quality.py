@@ -1,17 +1,22 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A text's UTF-8 bytes are embedded and convolved with learned filters over chunks of 32 bytes that overlap
-by half and cover the whole document. Beside the embedded bytes a chunk carries one more channel, the share
-of its bytes that repeat the bytes a few places before (the best of a range of lags), which no linear filter
-over single bytes could tell. Each filter's largest response over the document goes into a small dense
-layer and a logistic output. Training runs on the driver over a bounded sample of labelled rows.
+A text's UTF-8 bytes are cut into rows of 16. Two sets of learned filters run over overlapping chunks of rows
+that cover the whole document: filters over the places of a chunk of two rows (32 bytes), and filters over the
+bytes of a chunk of four rows (64 bytes) whatever their places, whose rectified responses are combined by a
+second layer of filters in each chunk. The largest response of each filter over the document goes into a small
+dense layer and a logistic output. All weights, the byte embeddings included, are learned from labels; training
+runs on the driver over a bounded sample of labelled rows.
+
+Matrix products run over tiles of a fixed shape and sums in a fixed order, so a document's score has the same
+bits whatever stands beside it in a batch.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -20,42 +25,52 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import text_chunks
 
-HALF, LAGS = 16, range(2, 41)
-EMBEDDING, FILTERS, HIDDEN = 6, 24, 12
+#: Bytes in a row; rows in a chunk of placed filters and of filters over all bytes; rows of a tile.
+ROW, PLACED_ROWS, WIDE_ROWS, TILE = 16, 2, 4, 2048
+EMBEDDING, PLACED, BYTE_FILTERS, WIDE, HIDDEN = 6, 24, 32, 16, 12
 #: Bounds of the training sample: documents of each label, and bytes of a document that may be in it (whole).
 MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 1500, 60_000
-EPOCHS, BATCH, RATE = 14, 32, 0.01
+EPOCHS, STEPS, BATCH, RATE, DECAY = 12, 600, 32, 0.01, 1e-4
 THRESHOLD, FOLDS, HELD_OUT = 0.7, 4, 2
 
 
-def blocks(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes in rows of HALF, share of repeats of each row, first row of each document; then the end).
+def byte_rows(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes in rows of ROW, first row of each document; then the end). A document has WIDE_ROWS rows at least, filled up with zero bytes."""
+    rows = np.array([max(WIDE_ROWS, -(-len(d) // ROW)) for d in data], np.int64)
+    flat = np.frombuffer(b"".join(d.ljust(int(n) * ROW, b"\0") for d, n in zip(data, rows)), np.uint8)
+    return flat.reshape(-1, ROW), np.concatenate([[0], np.cumsum(rows)])
+
+
+def tiled(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w by products of one fixed shape, so that a row of the result depends on that row of x alone."""
+    out = np.empty((len(x), w.shape[1]), np.float32)
+    for a in range(0, len(x), TILE):
+        part = x[a : a + TILE]
+        if len(part) < TILE:
+            part = np.concatenate([part, np.zeros((TILE - len(part), x.shape[1]), np.float32)])
+        out[a : a + TILE] = (part @ w)[: len(x) - a]
+    return out
 
-    Every document has at least two rows; the last ones are filled up with zero bytes.
-    """
-    rows = np.array([max(2, -(-len(d) // HALF)) for d in data], np.int64)
-    first = np.concatenate([[0], np.cumsum(rows)])
-    flat = np.frombuffer(b"".join(d.ljust(int(n) * HALF, b"\0") for d, n in zip(data, rows)), np.uint8)
-    repeats = np.zeros(len(flat) // HALF, np.uint8)
-    for lag in LAGS:
-        same = np.zeros(len(flat), np.uint8)
-        np.equal(flat[lag:], flat[:-lag], out=same[lag:].view(bool))
-        words = np.bitwise_count(same.view(np.uint64)).reshape(-1, 2)
-        np.maximum(repeats, words[:, 0] + words[:, 1], out=repeats)
-    filled = np.bitwise_count((flat != 0).view(np.uint8).view(np.uint64)).reshape(-1, 2).sum(axis=1)
-    repeats = np.where(filled < HALF, 0, repeats)
-    return flat.reshape(-1, HALF), repeats.astype(np.float32) / HALF, first
+
+def ordered_product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w, for few columns, summed in the order of the columns."""
+    out = np.zeros((len(x), w.shape[1]), np.float32)
+    for k in range(len(w)):
+        out += x[:, k : k + 1] * w[k]
+    return out
 
 
 @dataclass
 class Model:
-    """Weights: byte embedding, filters over both halves of a chunk and its repeat channel, dense layers."""
+    """Weights: embedding and placed filters, byte filters and their combinations, dense layer, output."""
 
     embedding: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    repeat: np.ndarray
-    bias: np.ndarray
+    placed: np.ndarray
+    placed_bias: np.ndarray
+    bytes: np.ndarray
+    bytes_bias: np.ndarray
+    wide: np.ndarray
+    wide_bias: np.ndarray
     dense: np.ndarray
     dense_bias: np.ndarray
     out: np.ndarray
@@ -66,78 +81,105 @@ class Model:
         r = np.random.default_rng(seed)
         n = lambda *shape, scale: (r.standard_normal(shape) * scale).astype(np.float32)
         z = lambda *shape: np.zeros(shape, np.float32)
-        wide = HALF * EMBEDDING
-        return cls(n(256, EMBEDDING, scale=0.5), n(wide, FILTERS, scale=wide**-0.5), n(wide, FILTERS, scale=wide**-0.5), n(4, FILTERS, scale=0.5), z(FILTERS), n(FILTERS, HIDDEN, scale=FILTERS**-0.5), z(HIDDEN), n(HIDDEN, 1, scale=HIDDEN**-0.5), z(1))
-
-    def parts(self) -> list[np.ndarray]:
-        return [self.embedding, self.left, self.right, self.repeat, self.bias, self.dense, self.dense_bias, self.out, self.out_bias]
-
-    def chunk_responses(self, rows: np.ndarray, repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(embedded rows, filter responses of the chunk that starts at each row but the last)."""
+        span, pooled = ROW * EMBEDDING, PLACED + WIDE
+        return cls(
+            n(256, EMBEDDING, scale=0.5), n(PLACED_ROWS, span, PLACED, scale=span**-0.5), z(PLACED),
+            n(256, BYTE_FILTERS, scale=0.2), z(BYTE_FILTERS), n(BYTE_FILTERS, WIDE, scale=BYTE_FILTERS**-0.5), z(WIDE),
+            n(pooled, HIDDEN, scale=pooled**-0.5), z(HIDDEN), n(HIDDEN, 1, scale=HIDDEN**-0.5), z(1),
+        )
+
+    def placed_responses(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(embedded rows, response of each placed filter for the chunk that starts at each row but the last)."""
         x = self.embedding[rows].reshape(len(rows), -1)
-        return x, x[:-1] @ self.left + x[1:] @ self.right + repeat_features(repeats) @ self.repeat + self.bias
+        both = tiled(x, np.concatenate([self.placed[0], self.placed[1]], axis=1))
+        return x, both[:-1, :PLACED] + both[1:, PLACED:] + self.placed_bias
+
+    def wide_responses(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rectified byte filters, response of each combination) of the chunk of WIDE_ROWS rows that starts at each row."""
+        s = self.bytes[rows[:, 0]].copy()
+        for k in range(1, ROW):
+            s += self.bytes[rows[:, k]]
+        n = len(s) - WIDE_ROWS + 1
+        chunk = s[:n] + s[1 : n + 1] + s[2 : n + 2] + s[3 : n + 3]
+        u = np.maximum(chunk / 8 + self.bytes_bias, 0)
+        return u, tiled(u, self.wide) + self.wide_bias
 
     def pooled(self, data: list[bytes]) -> np.ndarray:
         """Largest response of each filter over each document, at least zero."""
-        rows, repeats, first = blocks(data)
-        _, h = self.chunk_responses(rows, repeats)
-        h[first[1:-1] - 1] = -np.inf  # chunks that would reach into the next document
-        return np.maximum(np.maximum.reduceat(h, first[:-1], axis=0), 0)
+        rows, first = byte_rows(data)
+        h = self.placed_responses(rows)[1]
+        w = self.wide_responses(rows)[1]
+        for x, reach in ((h, PLACED_ROWS), (w, WIDE_ROWS)):
+            for k in range(1, reach):  # chunks that would reach into the next document
+                x[first[1:-1] - k] = -np.inf
+        most = [np.maximum.reduceat(x, first[:-1], axis=0) for x in (h, w)]
+        return np.maximum(np.concatenate(most, axis=1), 0)
 
     def head(self, pooled: np.ndarray) -> np.ndarray:
-        a = np.maximum(pooled @ self.dense + self.dense_bias, 0)
-        return 1 / (1 + np.exp(-np.clip((a @ self.out + self.out_bias)[:, 0].astype(np.float64), -40, 40)))
+        a = np.maximum(ordered_product(pooled, self.dense) + self.dense_bias, 0)
+        z = ordered_product(a, self.out)[:, 0] + self.out_bias[0]
+        return np.array([1 / (1 + math.exp(-x)) for x in np.clip(z, -40, 40).tolist()])
 
     def scores(self, data: list[bytes]) -> np.ndarray:
         """Probability of label 1 for each document."""
         return self.head(self.pooled(data)) if data else np.zeros(0)
 
 
-def repeat_features(repeats: np.ndarray) -> np.ndarray:
-    """Both halves' shares of repeats, and how far both together lie above two levels."""
-    low = np.minimum(repeats[:-1], repeats[1:])
-    return np.stack([repeats[:-1], repeats[1:], np.maximum(low - 0.7, 0) * 4, np.maximum(low - 0.9, 0) * 10], axis=1)
-
-
-def train(data: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Model:
-    """Adam on the logistic loss; gradients flow through the chunk that gave each filter its maximum."""
+def gradients(model: Model, data: list[bytes], labels: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the mean weighted logistic loss by all weights; they flow through the chunk that gave each filter its maximum."""
+    rows, first = byte_rows(data)
+    x, h = model.placed_responses(rows)
+    u, w = model.wide_responses(rows)
+    n = len(data)
+
+    def best(r: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.stack([first[k] + r[first[k] : first[k + 1] - reach + 1].argmax(axis=0) for k in range(n)])
+        return at, np.take_along_axis(r, at, axis=0)
+
+    (at_h, best_h), (at_w, best_w) = best(h, PLACED_ROWS), best(w, WIDE_ROWS)
+    top = np.concatenate([best_h, best_w], axis=1)
+    pooled = np.maximum(top, 0)
+    z = pooled @ model.dense + model.dense_bias
+    act = np.maximum(z, 0)
+    p = 1 / (1 + np.exp(-np.clip((act @ model.out + model.out_bias)[:, 0], -30, 30)))
+    d = ((p - labels) * weight / n).astype(np.float32)[:, None]
+    g_act = d @ model.out.T * (z > 0)
+    g_pool = g_act @ model.dense.T * (top > 0)
+    g_h, g_w = g_pool[:, :PLACED], g_pool[:, PLACED:]
+    doc, f = np.nonzero(g_h)
+    at, g = at_h[doc, f], g_h[doc, f]
+    g_placed, g_emb = np.zeros_like(model.placed), np.zeros_like(model.embedding)
+    for side in range(PLACED_ROWS):
+        np.add.at(g_placed[side].T, f, g[:, None] * x[at + side])
+        np.add.at(g_emb, rows[at + side].reshape(-1), (g[:, None] * model.placed[side].T[f]).reshape(-1, EMBEDDING))
+    doc, f = np.nonzero(g_w)
+    at, g = at_w[doc, f], g_w[doc, f]
+    g_wide = np.zeros_like(model.wide)
+    np.add.at(g_wide.T, f, g[:, None] * u[at])
+    g_u = (g[:, None] * model.wide.T[f]) * (u[at] > 0)
+    counts = np.zeros((len(at), 256), np.float32)
+    held = np.concatenate([rows[at + k] for k in range(WIDE_ROWS)], axis=1)
+    np.add.at(counts, (np.arange(len(at))[:, None], held), 1)
+    return [g_emb, g_placed, g_h.sum(axis=0), counts.T @ g_u / 8, g_u.sum(axis=0), g_wide, g_w.sum(axis=0), pooled.T @ g_act, g_act.sum(axis=0), act.T @ d, d.sum(axis=0)]
+
+
+def train(data: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int | None = None) -> Model:
+    """Adam on the logistic loss, both labels weighted alike, with a cosine schedule; EPOCHS epochs, and STEPS steps at least."""
+    epochs = epochs or max(EPOCHS, -(-STEPS * BATCH // max(len(data), 1)))
     model = Model.fresh(seed)
     r = np.random.default_rng(seed)
-    parts = model.parts()
+    parts = [getattr(model, f.name) for f in fields(model)]
     m, v, t = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], 0
     share = float(np.clip(labels.mean(), 0.02, 0.98)) if len(labels) else 0.5
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-    model.out_bias[:] = 0
     for epoch in range(epochs):
         rate = RATE * (0.5 + 0.5 * np.cos(np.pi * epoch / epochs))
         order = r.permutation(len(data))
         for a in range(0, len(order), BATCH):
             pick = order[a : a + BATCH]
-            rows, repeats, first = blocks([data[i] for i in pick])
-            x, h = model.chunk_responses(rows, repeats)
-            h[first[1:-1] - 1] = -np.inf
-            arg = np.stack([first[k] + h[first[k] : min(first[k + 1] - 1, len(h))].argmax(axis=0) for k in range(len(pick))])
-            best = np.take_along_axis(h, arg, axis=0)
-            pooled = np.maximum(best, 0)
-            z = pooled @ model.dense + model.dense_bias
-            act = np.maximum(z, 0)
-            p = 1 / (1 + np.exp(-np.clip((act @ model.out + model.out_bias)[:, 0], -30, 30)))
-            d = ((p - labels[pick]) * weight[pick] / len(pick)).astype(np.float32)[:, None]
-            g_act = d @ model.out.T * (z > 0)
-            g_pool = g_act @ model.dense.T * (best > 0)
-            doc, f = np.nonzero(g_pool)
-            at, g = arg[doc, f], g_pool[doc, f]
-            g_left, g_right, g_rep = np.zeros_like(model.left), np.zeros_like(model.right), np.zeros_like(model.repeat)
-            np.add.at(g_left.T, f, g[:, None] * x[at])
-            np.add.at(g_right.T, f, g[:, None] * x[at + 1])
-            np.add.at(g_rep.T, f, g[:, None] * repeat_features(repeats)[at])
-            g_emb = np.zeros_like(model.embedding)
-            for side, w in ((0, model.left), (1, model.right)):
-                np.add.at(g_emb, rows[at + side].reshape(-1), (g[:, None] * w.T[f]).reshape(-1, EMBEDDING))
-            grads = [g_emb, g_left, g_right, g_rep, g_pool.sum(axis=0), pooled.T @ g_act, g_act.sum(axis=0), act.T @ d, d.sum(axis=0)]
             t += 1
-            for q, grad, mm, vv in zip(parts, grads, m, v):
-                grad = grad + 1e-4 * q
+            for q, grad, mm, vv in zip(parts, gradients(model, [data[i] for i in pick], labels[pick], weight[pick]), m, v):
+                grad = grad + DECAY * q
                 mm += 0.1 * (grad - mm)
                 vv += 0.001 * (grad * grad - vv)
                 q -= rate * (mm / (1 - 0.9**t)) / (np.sqrt(vv / (1 - 0.999**t)) + 1e-7)
@@ -193,12 +235,20 @@ def score_column(docs: DataFrame, model: bytes, keep_columns: list[str]) -> Data
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs."""
+    """doc_id, held_out, score, predicted of every row of docs.
+
+    Null and empty texts are scored as zero bytes; repeated rows get the same score; extra columns of docs are
+    dropped. Rows of labels without a quality of 0 or 1 are ignored; two labels of one id count as the lesser.
+    An empty table gives an empty result.
+    """
     out = score_column(docs, fit(docs, labels), ["doc_id"])
     return out.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of docs whose score reaches the threshold, with the columns of docs."""
+    """Rows of docs whose score reaches the threshold, with the columns of docs.
+
+    Null and empty texts are scored like any other; repeated rows stay or go together. An empty table gives an empty result.
+    """
     scored = score_column(docs, fit(docs, labels), docs.columns)
     return scored.filter(F.col("score") >= THRESHOLD).select(*docs.columns)
