@@ -33,7 +33,7 @@ def naive_score(m: quality.Model, text: bytes) -> float:
 
 
 def test_scores_equal_plain_loops():
-    m = quality.Model.fresh()
+    m = quality.Model.fresh().snapped()
     data = texts(25)
     assert np.allclose(m.scores(data), [naive_score(m, t) for t in data], atol=1e-5)
 
@@ -53,7 +53,7 @@ def test_gradients_equal_differences():
     data = texts(12, seed=8)
     y = (np.arange(12) % 3 == 0).astype(np.float32)
     weight = np.linspace(0.5, 1.5, 12).astype(np.float32)
-    m = quality.Model.fresh(1)
+    m = quality.Model.fresh(1).snapped()
 
     def loss() -> float:
         p = np.array([naive_score(m, t) for t in data])

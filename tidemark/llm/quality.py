@@ -7,8 +7,9 @@ second layer of filters in each chunk. The largest response of each filter over
 dense layer and a logistic output. All weights, the byte embeddings included, are learned from labels; training
 runs on the driver over a bounded sample of labelled rows.
 
-Matrix products run over tiles of a fixed shape and sums in a fixed order, so a document's score has the same
-bits whatever stands beside it in a batch.
+A document's score has the same bits whatever stands beside it in a batch: embeddings and placed filters are
+rounded to grids so coarse that their sums of products are whole numbers that single precision holds exactly,
+in whatever order a matrix product adds them; all other sums have a fixed order.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import text_chunks
 
-#: Bytes in a row; rows in a chunk of placed filters and of filters over all bytes; rows of a tile.
-ROW, PLACED_ROWS, WIDE_ROWS, TILE = 16, 2, 4, 2048
+#: Bytes in a row; rows in a chunk of placed filters and of filters over all bytes; rows that a product in order takes at a time.
+ROW, PLACED_ROWS, WIDE_ROWS, TILE = 16, 2, 4, 512
 EMBEDDING, PLACED, BYTE_FILTERS, WIDE, HIDDEN = 6, 24, 32, 16, 12
+#: Largest whole numbers of the grids; ROW * EMBEDDING of their products add up to less than 2^24.
+EMBEDDING_TOP, PLACED_TOP = 127, 1023
 #: Bounds of the training sample: documents of each label, and bytes of a document that may be in it (whole).
 MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 1500, 60_000
 EPOCHS, STEPS, BATCH, RATE, DECAY = 12, 600, 32, 0.01, 1e-4
@@ -41,22 +44,19 @@ def byte_rows(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat.reshape(-1, ROW), np.concatenate([[0], np.cumsum(rows)])
 
 
-def tiled(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """x @ w by products of one fixed shape, so that a row of the result depends on that row of x alone."""
-    out = np.empty((len(x), w.shape[1]), np.float32)
-    for a in range(0, len(x), TILE):
-        part = x[a : a + TILE]
-        if len(part) < TILE:
-            part = np.concatenate([part, np.zeros((TILE - len(part), x.shape[1]), np.float32)])
-        out[a : a + TILE] = (part @ w)[: len(x) - a]
-    return out
+def on_grid(w: np.ndarray, top: int) -> tuple[np.ndarray, float]:
+    """(whole numbers from -top to top, step) whose product is w, or as near to it as the grid has it."""
+    step = float(np.abs(w).max()) / top or 1.0
+    return np.rint(w / step).astype(np.float32), step
 
 
 def ordered_product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """x @ w, for few columns, summed in the order of the columns."""
+    """x @ w, summed in the order of the columns of x."""
     out = np.zeros((len(x), w.shape[1]), np.float32)
-    for k in range(len(w)):
-        out += x[:, k : k + 1] * w[k]
+    for a in range(0, len(x), TILE):
+        part, to = np.ascontiguousarray(x[a : a + TILE].T)[:, :, None], out[a : a + TILE]
+        for k in range(len(w)):
+            to += part[k] * w[k]
     return out
 
 
@@ -88,11 +88,18 @@ class Model:
             n(pooled, HIDDEN, scale=pooled**-0.5), z(HIDDEN), n(HIDDEN, 1, scale=HIDDEN**-0.5), z(1),
         )
 
+    def snapped(self) -> Model:
+        """The model with embedding and placed filters moved onto the grids that scoring uses."""
+        snap = lambda w, top: np.multiply(*on_grid(w, top)).astype(np.float32)
+        return replace(self, embedding=snap(self.embedding, EMBEDDING_TOP), placed=snap(self.placed, PLACED_TOP))
+
     def placed_responses(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(embedded rows, response of each placed filter for the chunk that starts at each row but the last)."""
-        x = self.embedding[rows].reshape(len(rows), -1)
-        both = tiled(x, np.concatenate([self.placed[0], self.placed[1]], axis=1))
-        return x, both[:-1, :PLACED] + both[1:, PLACED:] + self.placed_bias
+        """(embedded rows as whole numbers of the grid, response of each placed filter for the chunk that starts at each row but the last)."""
+        embedding, step = on_grid(self.embedding, EMBEDDING_TOP)
+        placed, step_placed = on_grid(self.placed, PLACED_TOP)
+        x = embedding[rows].reshape(len(rows), -1)
+        both = x @ np.concatenate([placed[0], placed[1]], axis=1)
+        return x, (both[:-1, :PLACED] + both[1:, PLACED:]) * np.float32(step * step_placed) + self.placed_bias
 
     def wide_responses(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rectified byte filters, response of each combination) of the chunk of WIDE_ROWS rows that starts at each row."""
@@ -102,7 +109,7 @@ class Model:
         n = len(s) - WIDE_ROWS + 1
         chunk = s[:n] + s[1 : n + 1] + s[2 : n + 2] + s[3 : n + 3]
         u = np.maximum(chunk / 8 + self.bytes_bias, 0)
-        return u, tiled(u, self.wide) + self.wide_bias
+        return u, ordered_product(u, self.wide) + self.wide_bias
 
     def pooled(self, data: list[bytes]) -> np.ndarray:
         """Largest response of each filter over each document, at least zero."""
@@ -148,9 +155,10 @@ def gradients(model: Model, data: list[bytes], labels: np.ndarray, weight: np.nd
     g_h, g_w = g_pool[:, :PLACED], g_pool[:, PLACED:]
     doc, f = np.nonzero(g_h)
     at, g = at_h[doc, f], g_h[doc, f]
+    step = np.float32(on_grid(model.embedding, EMBEDDING_TOP)[1])
     g_placed, g_emb = np.zeros_like(model.placed), np.zeros_like(model.embedding)
     for side in range(PLACED_ROWS):
-        np.add.at(g_placed[side].T, f, g[:, None] * x[at + side])
+        np.add.at(g_placed[side].T, f, g[:, None] * (x[at + side] * step))
         np.add.at(g_emb, rows[at + side].reshape(-1), (g[:, None] * model.placed[side].T[f]).reshape(-1, EMBEDDING))
     doc, f = np.nonzero(g_w)
     at, g = at_w[doc, f], g_w[doc, f]
@@ -183,7 +191,7 @@ def train(data: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int | No
                 mm += 0.1 * (grad - mm)
                 vv += 0.001 * (grad * grad - vv)
                 q -= rate * (mm / (1 - 0.9**t)) / (np.sqrt(vv / (1 - 0.999**t)) + 1e-7)
-    return model
+    return model.snapped()
 
 
 def fold(doc_id: object) -> object:
@@ -206,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> b
     rows = training_sample(docs, labels, max_rows)
     y = np.array([r["quality"] for r in rows], np.float32)
     data = [r["text"].encode("utf-8", "surrogatepass") for r in rows]
-    return pickle.dumps(train(data, y) if len(set(y.tolist())) == 2 else Model.fresh())
+    return pickle.dumps(train(data, y) if len(set(y.tolist())) == 2 else Model.fresh().snapped())
 
 
 _MODELS: dict[bytes, Model] = {}
