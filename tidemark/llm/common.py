@@ -17,10 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Leave the folder that the cluster names in spark.checkpoint.dir; set one only where there is none."""
+    """Leave the folder that the cluster names in spark.checkpoint.dir; only a single-process session gets one of its own.
+
+    Executors of a cluster do not see the driver's disk, so a cluster without the setting is refused.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+    sc.setCheckpointDir(folder)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -41,3 +50,22 @@ def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> li
     Rows that share both are repeated rows and get the same result.
     """
     return [F.coalesce(df[id_col].cast("long"), F.lit(-(2**63))).alias("_k1"), F.xxhash64(F.coalesce(df[text_col], F.lit(""))).alias("_k2")]
+
+
+#: Bits of the filter that keeps rows without a match out of a shuffle, in words of 64: at most 2^20 rows to broadcast.
+FILTER_BITS = 1 << 26
+
+
+def join_found(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs (with _k1, _k2) left-joined with found (unique _k1, _k2); rows whose key's bit no row of found sets are not shuffled.
+
+    The filter has a fixed size. With more keys than bits it lets all rows through, and the join is a plain one.
+    found is read twice, so it should be a written table.
+    """
+    low = F.pmod(F.xxhash64("_k1", "_k2"), F.lit(64)).cast("int")
+    words = found.groupBy(F.expr(f"pmod(xxhash64(_k1, _k2), {FILTER_BITS}) div 64").cast("int").alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, int(pmod(xxhash64(_k1, _k2), 64)))")).alias("_bits"))
+    tagged = docs.withColumn("_w", F.expr(f"pmod(xxhash64(_k1, _k2), {FILTER_BITS}) div 64").cast("int")).join(F.broadcast(words), "_w", "left")
+    hit = F.coalesce(F.getbit("_bits", low), F.lit(0)) == 1
+    met = tagged.filter(hit).drop("_w", "_bits").join(found.hint("shuffle_hash"), ["_k1", "_k2"], "left")
+    rest = tagged.filter(~hit).drop("_w", "_bits")
+    return met.unionByName(rest, allowMissingColumns=True)

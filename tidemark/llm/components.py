@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., SoCC 2014).
 
 Each step is two joins and two aggregations over the edge table; no node list, edge list or label
-table ever reaches the driver, and a hub's neighbours are aggregated before they are shuffled.
+table ever reaches the driver, a hub's neighbours are aggregated before they are shuffled, and what is
+told to all edges of a hub is broadcast.
 """
 
 from __future__ import annotations
@@ -12,17 +13,29 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import checkpoint
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: A node with more than one of this many edges is a hub, so there are at most 2 * HUBS of them.
+HUBS = 1000
+
+
+def _with_least(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """rows joined with least (a, m, d) on a. The bounded number of hubs is broadcast, so no task gets all rows of one."""
+    hub = F.col("d") > n / HUBS
+    tagged = rows.join(F.broadcast(least.filter(hub).select("a", "m")), "a", "left")
+    rest = tagged.filter("m IS NULL").drop("m").join(least.filter(~hub).select("a", "m"), "a")
+    return tagged.filter("m IS NOT NULL").unionByName(rest)
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("d"))
+    return _with_least(both.filter("b > a"), least, n).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of them. Edges point from a to a smaller b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("d"))
+    moved = _with_least(edges, least, n).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
 
 
@@ -41,7 +54,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = checkpoint(now.filter("a != b").distinct())
     was = _digest(now)
     while was[0]:
-        now = checkpoint(_small_star(_large_star(now)))
+        now = checkpoint(_small_star(_large_star(now, was[0]), was[0]))
         digest = _digest(now)
         if digest == was:
             break
