@@ -2,12 +2,14 @@
 
 import base64
 import random
+import time
 
 import numpy as np
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, ego, packing, quality, simhash, vptree
 from tidemark.llm.queries import rank_file, word_tokenizer_file
@@ -54,9 +56,9 @@ def test_bpe_cache_can_be_cleared(codec):
 
 
 def test_word_tokenizer_equals_library():
-    t = packing.WordTokenizer(word_tokenizer_file())
-    texts = [*EDGE, "É 's don't <|endoftext|> x", "ΣΑΣ ΑΣ. ", "é ́x", "İstanbul ﬁ ​ x\u0085y", "The the THE", "a\x01b \x01 c", "\x01"]
-    assert t.encode(texts) == [np.array(t.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    t, plain = packing.WordTokenizer(word_tokenizer_file()), Tokenizer.from_file(word_tokenizer_file())
+    texts = [*EDGE, "É 's don't <|endoftext|> x", "a<|endoftext|>B <|startoftext|><|endoftext|>. <|ENDOFTEXT|> <|endoftext |>", "ΣΑΣ ΑΣ. ", "é ́x", "İstanbul ﬁ ​ x\u0085y", "The the THE", "a\x01b \x01 c", "\x01"]
+    assert t.encode(texts) == [np.array(plain.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 
 def brute_place(counts, capacity, length):
@@ -87,16 +89,28 @@ def test_sum_of_squares_takes_the_least_sum():
 
 
 def test_packing_has_no_gaps_and_few_bins():
-    rng = np.random.default_rng(1)
-    packer = packing.Packer(0)
-    rows = packer.rows(list(range(3000)), [b"\0\0\0\0" * int(n) for n in rng.lognormal(6.5, 1, 3000)])
-    placed = [p for i in range(0, len(rows), 1024) for p in packer.placed(rows[i : i + 1024])]
+    lengths = np.random.default_rng(1).lognormal(6.5, 1, 3000).astype(np.int64).clip(1, 4096)
     used = {}
-    for _, _, _, length, _, seq, offset in sorted(placed, key=lambda r: (r[5], r[6])):
+    for seq, offset, length in sorted(zip(*(x.tolist() for x in packing.place_all(lengths)), lengths.tolist())):
         assert used.get(seq, 0) == offset
         used[seq] = offset + length
     assert max(used.values()) <= 4096
-    assert len(used) <= 1.02 * sum(used.values()) / 4096 + 2
+    assert len(used) <= 1.01 * lengths.sum() / 4096 + 1
+
+
+def test_long_pieces_take_n_log_n_steps(codec, reference):
+    rng = random.Random(1)
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    texts = [run[:3000], "see " + "ab" * 900 + " and " + run[:1001] + "!", "é" * 500]
+    assert [x.tolist() for x in codec.encode(texts)] == [reference.encode_ordinary(t) for t in texts]
+    words = packing.WordTokenizer(word_tokenizer_file())
+    plain = Tokenizer.from_file(word_tokenizer_file())
+    assert words.encode(texts) == [np.array(plain.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    start = time.time()
+    ids = codec.encode([run])[0]
+    assert codec.decode(ids) == run.encode()
+    assert len(words.encode([run])[0]) > 0
+    assert time.time() - start < 90
 
 
 def test_golay_indices_meet_within_two_bits():

@@ -5,13 +5,15 @@ look-ahead that the pattern needs folded into the class), a class is a function
 automaton states, and function composition is associative: equal blocks of the text are scanned side by
 side for all start states at once, the block functions are composed, and a second pass gives every code
 point its state. A table of (state, class) then tells where a piece begins. Pieces feed a cache of merges;
-pieces that it does not hold are merged together, one pair a round for all of them at once.
+pieces that it does not hold are merged together, one pair a round for all of them at once, and very long ones
+by a heap of pairs.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import sys
 from collections.abc import Iterator
 
@@ -26,6 +28,8 @@ LETTER, NUMBER, OTHER, SHORT, LONG, SPACES, PREFIX, SINGLE = range(8)
 END, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACES, AFTER_PREFIX, ONE_LEFT, TWO_LEFT = range(8)
 BLOCK, CHUNK_CHARS, CACHE_PIECES = 128, 1 << 20, 700_000
 NO_PAIR = 1 << 40
+#: Words with more ids than this are merged by a heap, in n log n steps.
+LONG_WORD = 400
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -188,8 +192,61 @@ class PairMerger:
             open_ = open_[~found & (self.table_keys[at_k] != -1)]
         return out
 
+    def _merge_long(self, ids: np.ndarray) -> list[int]:
+        """The merged ids of one word: a heap of (id, place) over a linked list, stale entries skipped."""
+        n = len(ids)
+        merged = self._merged(ids[:-1], ids[1:])
+        at = np.flatnonzero(merged < NO_PAIR)
+        heap = (merged[at] << 32 | at).tolist()
+        heapq.heapify(heap)
+        token, after, before = ids.tolist(), [*range(1, n), -1], list(range(-1, n - 1))
+        known: dict[int, int] = {}
+
+        def pair(i: int, j: int) -> int:
+            key = token[i] << 32 | token[j]
+            if key not in known:
+                known[key] = int(self._merged(np.array([token[i]]), np.array([token[j]]))[0])
+            return known[key]
+
+        while heap:
+            top = heapq.heappop(heap)
+            new, i = top >> 32, top & 0xFFFFFFFF
+            j = after[i] if token[i] >= 0 else -1
+            if j < 0 or pair(i, j) != new:
+                continue
+            token[i], token[j] = new, -1
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+                x = pair(i, after[i])
+                if x < NO_PAIR:
+                    heapq.heappush(heap, x << 32 | i)
+            if before[i] >= 0:
+                x = pair(before[i], i)
+                if x < NO_PAIR:
+                    heapq.heappush(heap, x << 32 | before[i])
+        return [x for x in token if x >= 0]
+
     def merge_ids(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(merged ids of all words in a row, number of ids of each): the pair with the lowest id first, the leftmost of equals."""
+        long = np.flatnonzero(lengths > LONG_WORD)
+        if not len(long):
+            return self._merge_rounds(ids, lengths)
+        ends, counts, parts = np.cumsum(lengths), np.zeros(len(lengths), np.int64), []
+        for a, b in zip([-1, *long.tolist()], [*long.tolist(), len(lengths)]):
+            # the words between two long ones, then the long one
+            first = ends[a] if a >= 0 else 0
+            last = ends[b] - lengths[b] if b < len(lengths) else len(ids)
+            if b > a + 1:
+                short, counts[a + 1 : b] = self._merge_rounds(ids[first:last], lengths[a + 1 : b])
+                parts.append(short)
+            if b < len(lengths):
+                parts.append(np.array(self._merge_long(ids[last : ends[b]]), np.int64))
+                counts[b] = len(parts[-1])
+        return np.concatenate(parts), counts
+
+    def _merge_rounds(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """merge_ids for short words: one merge a round in each word, all words at once."""
         owner = np.repeat(np.arange(len(lengths)), lengths)
         pair = np.full(len(ids), NO_PAIR, np.int64)
         same = np.flatnonzero(owner[:-1] == owner[1:])

@@ -1,9 +1,9 @@
 """Sum-of-squares packing of token sequences.
 
-Every partition of the input packs its own documents as they stream by (Csirik et al., J. ACM 2006): with
-N(g) open bins of residual gap g, a document of length s goes to the gap whose choice leaves the sum of
-N(g)^2 smallest. Placement is final at once, so nothing but the open bins' gaps, at most one list for each
-of the 4096 gaps, and the documents of one batch is held in memory, and no row is shuffled.
+Texts become pieces where they lie; what moves is one short row for each piece. The rows are dealt evenly into
+groups of bounded size, however many partitions the input has, and each group is packed longest first (Csirik et
+al., J. ACM 2006): with N(g) open bins of residual gap g, a document of length s goes to the gap whose choice
+leaves the sum of N(g)^2 smallest.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tidemark.llm.bpe import PairMerger, byte_slices, text_chunks
+from tidemark.llm.common import checkpoint
 
-CAPACITY, END_ID, CACHE_WORDS, LOOKAHEAD = 4096, 1, 600_000, 4096
+CAPACITY, END_ID, CACHE_WORDS, CACHE_PIECES, GROUP_PIECES = 4096, 1, 600_000, 400_000, 65_536
 #: str.split() cuts at these, the tokenizer does not take them for white space.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 #: A control character between spaces is a token of its own, and no other character gives that token.
@@ -48,9 +49,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
+        # strings of added tokens in a text are these tokens, as the library has it; words that hold one are left to it
+        self.added = tuple(t["content"] for t in whole.get("added_tokens") or ())
+        self.spaced = tuple(t for t in self.added if t.split() != [t])
         vocab, suffix, pairs = model["vocab"], model["end_of_word_suffix"], {}
         for merge in model["merges"]:
             a, b = merge.split(" ") if isinstance(merge, str) else merge
@@ -64,6 +68,7 @@ class WordTokenizer:
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
         self.cache_words = cache_words
         self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -84,22 +89,29 @@ class WordTokenizer:
                 start = end + 4
         return out
 
+    def _merge(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces by merging the vocabulary's own pairs for all of them at once."""
+        flat = [p.encode() for p in pieces]
+        lengths = np.array(list(map(len, flat)), np.int64)
+        data = np.frombuffer(b"".join(flat), np.uint8)
+        ids = self.inner[data]
+        last = np.cumsum(lengths) - 1
+        ids[last] = self.final[data[last]]
+        return byte_slices(*self.pairs.merge_ids(ids, lengths))
+
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words without white space: plain Latin words by merging the vocabulary's own pairs for all of them at once, others by the library."""
-        plain = [i for i, w in enumerate(words) if LATIN_WORD.fullmatch(w)] if self.pairs else []
-        out: list[bytes | None] = [None] * len(words)
-        if plain:
-            split = [PIECES.findall(words[i].lower()) for i in plain]
-            flat = [p.encode() for ps in split for p in ps]
-            lengths = np.array(list(map(len, flat)), np.int64)
-            data = np.frombuffer(b"".join(flat), np.uint8)
-            ids = self.inner[data]
-            last = np.cumsum(lengths) - 1
-            ids[last] = self.final[data[last]]
-            merged, counts = self.pairs.merge_ids(ids, lengths)
-            first = np.cumsum([0, *map(len, split)])[:-1]
-            for i, x in zip(plain, byte_slices(merged, np.add.reduceat(counts, first))):
-                out[i] = x
+        """Ids of words without white space: plain Latin words piece by piece, others by the library."""
+        split: list[list[str] | None] = [None] * len(words)
+        if self.pairs:
+            plain, added, find = LATIN_WORD.fullmatch, self.added, PIECES.findall
+            split = [find(w.lower()) if plain(w) and not ("<" in w and any(a in w for a in added)) else None for w in words]
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        new = list({p for ps in split if ps for p in ps if p not in self.pieces})
+        if new:
+            self.pieces.update(zip(new, self._merge(new)))
+        get = self.pieces.__getitem__
+        out = [None if ps is None else b"".join(map(get, ps)) for ps in split]
         rest = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(rest, self._joined([words[i] for i in rest])):
             out[i] = x
@@ -107,7 +119,7 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        words = [None if any(c in t for c in NOT_SPACE) else t.split() for t in texts]
+        words = [None if any(c in t for c in (*NOT_SPACE, *self.spaced)) else t.split() for t in texts]
         flat = [w for ws in words if ws for w in ws]
         if len(self.cache) > self.cache_words:
             self.cache.clear()
@@ -129,7 +141,7 @@ class WordTokenizer:
 
 
 class SumOfSquares:
-    """Open bins of one partition."""
+    """Open bins of one group."""
 
     def __init__(self, capacity: int = CAPACITY) -> None:
         self.capacity = capacity
@@ -162,64 +174,59 @@ class SumOfSquares:
         return b, c - gap
 
 
-class Packer:
-    """Documents in, placed pieces out; a window of pieces is placed at a time, longest first."""
-
-    def __init__(self, base: int, capacity: int = CAPACITY, end_id: int = END_ID) -> None:
-        self.base, self.capacity = base, capacity
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.bins = SumOfSquares(capacity)
+def cut(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
+    """(piece, start, length, CRC-32) of the pieces of a document's ids."""
+    step = 4 * capacity
+    return [(piece, a // 4, len(ids[a : a + step]) // 4, zlib.crc32(ids[a : a + step])) for piece, a in enumerate(range(0, len(ids), step))]
 
-    def rows(self, keys: list, encoded: list[bytes]) -> list[tuple]:
-        """(doc_id, piece, start, length, ids_crc32) of each piece."""
-        out = []
-        step = 4 * self.capacity
-        for key, ids in zip(keys, encoded):
-            ids += self.end
-            for piece, a in enumerate(range(0, len(ids), step)):
-                part = ids[a : a + step]
-                out.append((key, piece, a // 4, len(part) // 4, zlib.crc32(part)))
-        return out
 
-    def placed(self, rows: list[tuple]) -> list[tuple]:
-        rows.sort(key=lambda r: -r[3])
-        out = []
-        for r in rows:
-            b, offset = self.bins.place(r[3])
-            out.append((*r, self.base + b, offset))
-        return out
+def place_all(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of each length, the longest placed first."""
+    bins, out = SumOfSquares(capacity), np.zeros((2, len(lengths)), np.int64)
+    for i in (-lengths).argsort(kind="stable").tolist():
+        out[:, i] = bins.place(int(lengths[i]))
+    return out[0], out[1]
 
 
-SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-_TYPES = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_TYPES = [pa.int64(), pa.int32(), *[pa.int64()] * 3]
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID, lookahead: int = LOOKAHEAD) -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """One row for each piece: doc_id, piece, start, length, ids_crc32; a document is its ids and then end_id."""
+    names = [c.split()[0] for c in PIECE.split(", ")]
+    end = np.array([end_id], "<u4").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _TOKENIZERS.get(tokenizer_file) or WordTokenizer(tokenizer_file)
+        _TOKENIZERS[tokenizer_file] = t
+        for keys, texts in text_chunks(batches):
+            rows = [(key, *piece) for key, ids in zip(keys, t.encode(texts)) for piece in cut(ids + end, capacity)]
+            yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows), _TYPES)], names)
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
+
+
+def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and then end_id; only documents longer than capacity are cut, into pieces of
-    capacity ids, the last one shorter. Null and empty texts are the one id end_id. Pieces of up to
-    `lookahead` at a time are placed longest first, and every piece lies whole in one sequence.
-    sequence_id: the partition's number in the upper bits, so ids are unique without any exchange.
+    capacity ids, the last one shorter. Null and empty texts are the one id end_id. Repeated rows and null
+    doc_ids are packed like any other; extra columns are dropped; an empty table gives an empty result.
+    Pieces are dealt in turn to groups of about `group_pieces`, whatever they hold, so no key can be hot.
+    sequence_id: the group's number in the upper bits.
     """
+    pieces = checkpoint(cut_documents(docs, tokenizer_file, capacity, end_id))
+    groups = max(1, -(-pieces.count() // group_pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _TOKENIZERS.setdefault(tokenizer_file, None) or WordTokenizer(tokenizer_file)
-        _TOKENIZERS[tokenizer_file] = t
-        packer = Packer(TaskContext.get().partitionId() << 40, capacity, end_id)
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*packer.placed(rows)), _TYPES)], names)
-
-        waiting: list[tuple] = []
-        for keys, texts in text_chunks(batches):
-            waiting += packer.rows(keys, t.encode(texts))
-            while len(waiting) >= lookahead:
-                yield batch(waiting[:lookahead])
-                waiting = waiting[lookahead:]
-        if waiting:
-            yield batch(waiting)
-
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+        rows = pa.Table.from_batches(list(batches), pieces_schema)
+        if len(rows):
+            b, offset = place_all(rows["length"].to_numpy(), capacity)
+            base = TaskContext.get().partitionId() << 40
+            for batch in rows.append_column("sequence_id", pa.array(base + b)).append_column("offset", pa.array(offset)).to_batches(10_000):
+                yield batch
+
+    pieces_schema = pa.schema(list(zip([c.split()[0] for c in PIECE.split(", ")], _TYPES)))
+    return pieces.repartition(groups).mapInArrow(run, PIECE + ", sequence_id long, offset long")
