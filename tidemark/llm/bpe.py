@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 LETTER, NUMBER, OTHER, SHORT, LONG, SPACES, PREFIX, SINGLE = range(8)
 #: States: a piece has just ended; inside letters, numbers, others, white space; after a prefix space; one or two letters of a contraction left.
 END, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACES, AFTER_PREFIX, ONE_LEFT, TWO_LEFT = range(8)
-BLOCK, CHUNK_CHARS, CACHE_PIECES = 128, 1 << 20, 700_000
+BLOCK, CHUNK_CHARS, CACHE_PIECES = 128, 1 << 20, 500_000
 NO_PAIR = 1 << 40
 #: Words with more ids than this are merged by a heap, in n log n steps.
 LONG_WORD = 400
@@ -312,6 +312,7 @@ class Codec:
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.cache_pieces = cache_pieces
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids of each piece as bytes; a piece that is a token itself is that token."""
@@ -327,11 +328,14 @@ class Codec:
         """Ids of each text, as uint32 arrays."""
         flat, counts = pieces(texts)
         if len(self.cache) > self.cache_pieces:
-            self.cache.clear()
+            # pieces that are still in use move on from the older half
+            self.cache, self.older = {}, self.cache
         found = list(map(self.cache.get, flat))
         if None in found:
             gaps = [i for i, x in enumerate(found) if x is None]
-            missing = list({flat[i] for i in gaps})
+            missing = {flat[i] for i in gaps}
+            self.cache.update((p, self.older[p]) for p in missing if p in self.older)
+            missing = [p for p in missing if p not in self.cache]
             self.cache.update(zip(missing, self.merge([p.encode("utf-8", "surrogatepass") for p in missing])))
             for i in gaps:
                 found[i] = self.cache[flat[i]]

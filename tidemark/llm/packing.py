@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from tidemark.llm.bpe import PairMerger, byte_slices, text_chunks
 from tidemark.llm.common import checkpoint
 
-CAPACITY, END_ID, CACHE_WORDS, CACHE_PIECES, GROUP_PIECES = 4096, 1, 600_000, 400_000, 65_536
+CAPACITY, END_ID, CACHE_WORDS, GROUP_PIECES = 4096, 1, 500_000, 65_536
 #: str.split() cuts at these, the tokenizer does not take them for white space.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 #: A control character between spaces is a token of its own, and no other character gives that token.
@@ -68,7 +68,7 @@ class WordTokenizer:
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
         self.cache_words = cache_words
         self.cache: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -105,12 +105,8 @@ class WordTokenizer:
         if self.pairs:
             plain, added, find = LATIN_WORD.fullmatch, self.added, PIECES.findall
             split = [find(w.lower()) if plain(w) and not ("<" in w and any(a in w for a in added)) else None for w in words]
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        new = list({p for ps in split if ps for p in ps if p not in self.pieces})
-        if new:
-            self.pieces.update(zip(new, self._merge(new)))
-        get = self.pieces.__getitem__
+        pieces = list({p for ps in split if ps for p in ps})
+        get = dict(zip(pieces, self._merge(pieces) if pieces else ())).__getitem__
         out = [None if ps is None else b"".join(map(get, ps)) for ps in split]
         rest = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(rest, self._joined([words[i] for i in rest])):
@@ -122,11 +118,14 @@ class WordTokenizer:
         words = [None if any(c in t for c in (*NOT_SPACE, *self.spaced)) else t.split() for t in texts]
         flat = [w for ws in words if ws for w in ws]
         if len(self.cache) > self.cache_words:
-            self.cache.clear()
+            # words that are still in use move on from the older half
+            self.cache, self.older = {}, self.cache
         found = list(map(self.cache.get, flat))
         if None in found:
             gaps = [i for i, x in enumerate(found) if x is None]
-            missing = list({flat[i] for i in gaps})
+            missing = {flat[i] for i in gaps}
+            self.cache.update((w, self.older[w]) for w in missing if w in self.older)
+            missing = [w for w in missing if w not in self.cache]
             self.cache.update(zip(missing, self._words(missing)))
             for i in gaps:
                 found[i] = self.cache[flat[i]]
