@@ -1,11 +1,11 @@
 """Line deduplication: range-partitioned line hashes, answered with keep bitmaps (DataFrame functions only).
 
-Lines travel as 128-bit hashes with document key and position. Occurrences are spread by (hash, salt of
-the document), so a line that a third of all documents holds is shared out over many tasks; each task
-reduces a (hash, salt) to its number of documents and its last document. Those short rows are
-range-partitioned by hash and sorted by hash and document, and one pass over each sorted range finds the
-keys held by enough documents and the document that keeps them. What goes back to a document is a bitmap
-of its dropped lines (64 lines to a word, nothing after the last word with a dropped line), not text.
+Lines travel as 128-bit hashes with document key and position. They are range-partitioned by hash and a salt of the
+document, so a line that a third of all documents holds is shared out over many tasks, and sorted by hash, then by
+document from the last one, then by position. One pass over each sorted range, which holds a row at a time, streams
+the first occurrence in each document and counts the documents so far; the first of all is the document that keeps
+the line. What goes back to a document is a compressed bitmap of the lines it keeps (64 lines to a word, words that
+keep all their lines left out), not text, and documents that lose no line are not shuffled.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ASCII_SPACE, ascii_lower, checkpoint, row_key
+from tidemark.llm.common import ASCII_SPACE, ascii_lower, checkpoint, join_found, row_key
 
 MIN_CHARS, MIN_DOCS, SALTS = 20, 3, 64
 
@@ -36,51 +36,59 @@ def line_occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return lines.select("_k1", "_k2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.pmod(F.xxhash64("_k1"), F.lit(SALTS)).cast("int").alias("salt"))
 
 
+def stream_firsts(seen: DataFrame) -> DataFrame:
+    """Rows (h1, h2, salt, n, last): how many documents of a salt hold a line, and the last of them.
+
+    Both windows run from the start of a sorted group to the current row, so no group is held in memory.
+    """
+    ranged = seen.repartitionByRange("h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", F.desc("_k1"), "pos")
+    order = Window.partitionBy("h1", "h2", "salt").orderBy(F.desc("_k1"), "pos")
+    first_in_doc = F.coalesce(F.lag("_k1").over(order) != F.col("_k1"), F.lit(True))
+    firsts = ranged.select("h1", "h2", "salt", "_k1", first_in_doc.alias("first")).filter("first")
+    return firsts.groupBy("h1", "h2", "salt").agg(F.count(F.lit(1)).alias("n"), F.max("_k1").alias("last"))
+
+
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Rows (_k1, _k2, drop_words) for documents that lose lines.
+    """Rows (_k1, _k2, keep_words) for documents that lose lines.
 
-    drop_words[i] holds lines 64*i to 64*i+63, least bit first; a set bit is a dropped line. Words after
-    the last one that drops a line are left out.
+    keep_words: (word, bits) by rising word, for the words that lose a line; bits says which of the lines 64 * word
+    to 64 * word + 63 stay, least bit first.
     """
-    # read twice below; as hashes and positions it is a small part of the text
-    seen = checkpoint(line_occurrences(docs, min_chars).repartition("h1", "h2", "salt"))
-    by_doc = seen.groupBy("h1", "h2", "salt", "_k1").agg(F.min("pos").alias("first_pos"))
-    salted = by_doc.groupBy("h1", "h2", "salt").agg(F.count(F.lit(1)).alias("n"), F.max("_k1").alias("last"))
-    ranged = salted.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", "last")
-    key = Window.partitionBy("h1", "h2")
-    decided = ranged.select("h1", "h2", "salt", F.sum("n").over(key).alias("n_docs"), F.max("last").over(key).alias("keeper")).filter(F.col("n_docs") >= min_docs)
+    # read twice below; as hashes and positions it is a small part of the text, and range bounds are sampled from it
+    seen = checkpoint(line_occurrences(docs, min_chars))
+    key = Window.partitionBy("h1", "h2")  # a row for each salt
+    decided = stream_firsts(seen).select("h1", "h2", "salt", F.sum("n").over(key).alias("n_docs"), F.max("last").over(key).alias("keeper")).filter(F.col("n_docs") >= min_docs)
     dropped = seen.join(decided.select("h1", "h2", "salt", "keeper"), ["h1", "h2", "salt"]).filter("_k1 < keeper")
-    words = (
+    return (
         dropped.select("_k1", "_k2", F.expr("int(pos div 64)").alias("word"), F.expr("shiftleft(1L, int(pos % 64))").alias("bit"))
         .repartition("_k1", "_k2")
         .groupBy("_k1", "_k2", "word")
-        .agg(F.bit_or("bit").alias("bits"))
+        .agg(F.bitwise_not(F.bit_or("bit")).alias("bits"))
         .groupBy("_k1", "_k2")
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("sparse"), F.max("word").alias("last_word"))
+        .agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("keep_words"))
     )
-    return words.select("_k1", "_k2", F.expr("transform(sequence(0, last_word), w -> coalesce(sparse[w], 0L))").alias("drop_words"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with repeated lines dropped, and the columns n_lines, n_dropped and drop_words.
+    """docs with repeated lines dropped, and the columns n_lines, n_dropped and keep_words.
 
     A key (see line_key) of at least min_chars code points that at least min_docs different documents hold
     loses all its lines, except in the largest doc_id that holds it. Null text: one empty line, and the
     text stays null; a null doc_id counts as the smallest. Rows with one doc_id count as one document;
     repeated rows all get the same result. An empty table gives an empty result.
     """
-    k1, k2 = row_key(docs)
     cols = docs.columns
-    maps = keep_bitmaps(docs, min_chars, min_docs)
-    joined = docs.select(F.struct(*[docs[c] for c in cols]).alias("_doc"), k1, k2).join(maps.hint("shuffle_hash"), ["_k1", "_k2"], "left")
-    lines = joined.select("_doc", "drop_words", split_lines(F.col("_doc")["text"]).alias("_lines"))
-    dropped = "(getbit(coalesce(try_element_at(drop_words, int(i div 64) + 1), 0L), i % 64) = 1)"
-    kept = F.when(F.col("drop_words").isNull(), F.col("_doc")["text"]).otherwise(F.expr(f"array_join(filter(_lines, (x, i) -> NOT {dropped}), '\n')"))
+    maps = checkpoint(keep_bitmaps(docs, min_chars, min_docs))
+    joined = join_found(docs.select(F.struct(*[docs[c] for c in cols]).alias("_doc"), *row_key(docs)), maps)
+    whole = "transform(keep_words, (x, i) -> concat(array_repeat(-1L, x.word - 1 - CASE WHEN i = 0 THEN -1 ELSE keep_words[i - 1].word END), array(x.bits)))"
+    lines = joined.select("_doc", "keep_words", F.expr(f"flatten({whole})").alias("_map"), split_lines(F.col("_doc")["text"]).alias("_lines"))
+    stays = "(getbit(coalesce(try_element_at(_map, int(i div 64) + 1), -1L), i % 64) = 1)"
+    kept = F.when(F.col("keep_words").isNull(), F.col("_doc")["text"]).otherwise(F.expr(f"array_join(filter(_lines, (x, i) -> {stays}), '\n')"))
     return lines.select(
         *[kept.alias("text") if c == "text" else F.col("_doc")[c].alias(c) for c in cols],
         F.size("_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.expr("aggregate(drop_words, 0L, (a, w) -> a + bit_count(w))"), F.lit(0)).cast("long").alias("n_dropped"),
-        "drop_words",
+        F.coalesce(F.expr("aggregate(keep_words, 0L, (a, w) -> a + bit_count(~w.bits))"), F.lit(0)).cast("long").alias("n_dropped"),
+        "keep_words",
     )
 
 

@@ -5,8 +5,9 @@ Terms near an entity are then judged by how strongly the corpus says that they r
 frequencies, PMI(entity; term) relative to the entity's own information content IC(entity) is the share of
 the entity's information that the term discloses. An entity of a single document counts; the term's document
 frequency is smoothed by one document over the number of documents that hold both. Terms at or above
-`remove_at` are removed, terms from `generalise_at` on are replaced with a placeholder of their kind, wherever
-they stand in any text.
+`remove_at` are removed, terms from `generalise_at` on are generalised to the class of words written like them (names,
+acronyms, other words), wherever they stand in any text. A class stands in nearly every document, so it says next
+to nothing about any entity.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, row_key
+from tidemark.llm.common import checkpoint, join_found, row_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Patterns that match what the plain ones of the contract match, at the same places, without backtracking:
@@ -61,8 +62,8 @@ def _valid() -> Column:
 def find_entities(docs: DataFrame) -> DataFrame:
     """Rows (_k1, _k2, kind, start, end, entity, tail, head), one for each base entity of each distinct row of docs.
 
-    Positions count code points, end is exclusive. Null text counts as empty. tail and head hold text
-    beside the entity, up to the next match of its kind.
+    Positions count code points, end is exclusive. Null text counts as empty. tail and head hold the text beside the
+    entity, one code point more than WINDOW_CHARS of it.
     """
     k1, k2 = row_key(docs)
     text = docs.select(k1, k2, F.coalesce(docs["text"], F.lit("")).alias("t"))
@@ -70,7 +71,14 @@ def find_entities(docs: DataFrame) -> DataFrame:
     # the last piece of split() has no match; it only gives the text after the last match
     rows = found.select("_k1", "_k2", F.explode("found").alias("f")).select("_k1", "_k2", "f.*").repartition("_k1", "_k2").dropDuplicates(["_k1", "_k2", "kind", "i"])
     order = Window.partitionBy("_k1", "_k2", "kind").orderBy("i")
-    rows = rows.withColumn("end", F.sum(F.col("gap") + F.coalesce(F.char_length("m"), F.lit(0))).over(order)).withColumn("after", F.lead("head").over(order))
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.coalesce(F.char_length("m"), F.lit(0))).over(order))
+    # a gap and a match have two code points at least, so this many of them fill a window; a longer gap fills it alone
+    wide = WINDOW_CHARS + 1
+    some = wide // 2 + 1
+    m = lambda side: F.coalesce(side("m", F.lit(wide)), F.lit(""))
+    rows = rows.withColumn("upto", F.concat(F.lag(m(F.right), 1, "").over(order), "tail")).withColumn("onward", F.concat("head", m(F.left)))
+    near = lambda c, a, b: F.array_join(F.collect_list(c).over(order.rowsBetween(a, b)), "")
+    rows = rows.withColumn("tail", F.right(near("upto", -some, 0), F.lit(wide))).withColumn("after", F.left(near("onward", 1, some), F.lit(wide)))
     rows = rows.filter("m IS NOT NULL").withColumn("_digits", F.when(F.col("kind") >= 2, F.regexp_replace("m", "[^0-9]", "")))
     rows = rows.filter(_valid())
     entity = F.when(F.col("kind") >= 2, F.col("_digits")).otherwise(F.lower("m"))
@@ -105,34 +113,43 @@ def disclosure(docs: DataFrame, near: DataFrame, entities: DataFrame) -> DataFra
     return joined.select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)).alias("share"))
 
 
+def form_of(m: Column) -> Column:
+    """The class of words written like m: ACRONYM (all upper case), NAME (first letter upper case) or WORD."""
+    first = F.substring(m, 1, 1)
+    return F.when((m == F.upper(m)) & (m != F.lower(m)), "ACRONYM").when(first != F.lower(first), "NAME").otherwise("WORD")
+
+
 def term_places(docs: DataFrame, told: DataFrame, entities: DataFrame) -> DataFrame:
-    """Rows (_k1, _k2, start, end, removed): where the words of told (term, removed) stand in any text, outside entities."""
+    """Rows (_k1, _k2, start, end, removed, form): where the words of told (term, removed) stand in any text, outside entities."""
     told = checkpoint(told.withColumn("th", F.xxhash64("term")))
     met = F.broadcast(told) if told.count() <= BROADCAST_TERMS else told
     k1, k2 = row_key(docs)
     words = docs.filter(docs["text"].isNotNull()).select(k1, k2, F.explode(F.expr(r"array_distinct(transform(split(lower(text), '[^\\p{L}]+'), w -> xxhash64(w)))")).alias("th"))
     hits = checkpoint(words.join(met, "th").select("_k1", "_k2", "term", "removed").distinct())
     pattern = F.concat(F.lit(r"(?<!\p{L})(?iu:"), F.array_join(F.array_sort(F.collect_set("term")), "|"), F.lit(r")(?!\p{L})")).alias("pattern")
-    text = docs.select(*row_key(docs), F.col("text").alias("t")).join(hits.groupBy("_k1", "_k2").agg(pattern).hint("shuffle_hash"), ["_k1", "_k2"])
+    patterns = checkpoint(hits.groupBy("_k1", "_k2").agg(pattern))
+    text = join_found(docs.select(*row_key(docs), F.col("text").alias("t")), patterns).filter("pattern IS NOT NULL")
     found = text.select("_k1", "_k2", F.posexplode(F.expr("arrays_zip(regexp_extract_all(t, pattern, 0), split(t, pattern))")).alias("i", "x"))
     rows = found.select("_k1", "_k2", "i", F.char_length("x.1").alias("gap"), F.col("x.0").alias("m")).dropDuplicates(["_k1", "_k2", "i"])
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.coalesce(F.char_length("m"), F.lit(0))).over(Window.partitionBy("_k1", "_k2").orderBy("i"))).filter("m IS NOT NULL")
-    rows = rows.select("_k1", "_k2", F.lower("m").alias("term"), (F.col("end") - F.char_length("m")).cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    rows = rows.select("_k1", "_k2", F.lower("m").alias("term"), form_of(F.col("m")).alias("form"), (F.col("end") - F.char_length("m")).cast("long").alias("start"), F.col("end").cast("long").alias("end"))
     base = entities.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "end")).alias("s"))
     placed = rows.join(hits, ["_k1", "_k2", "term"]).join(base, ["_k1", "_k2"], "left")
-    return placed.filter(~F.coalesce(F.expr("exists(s, x -> x.start < end AND start < x.end)"), F.lit(False))).select("_k1", "_k2", "start", "end", "removed")
+    return placed.filter(~F.coalesce(F.expr("exists(s, x -> x.start < end AND start < x.end)"), F.lit(False))).select("_k1", "_k2", "start", "end", "removed", "form")
 
 
 def find_spans(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
-    """Rows (_k1, _k2, kind, start, end, removed): base entities and disclosing terms of each distinct row.
+    """Rows (_k1, _k2, kind, start, end, removed, form): base entities and disclosing terms of each distinct row of docs.
+
+    Null and empty texts have none, repeated rows are one; an empty table gives an empty result.
 
-    removed: for terms, whether the term goes altogether; true for base entities.
+    removed: for terms, whether the term goes altogether; true for base entities. form: the class of a term, see form_of().
     """
     entities = checkpoint(find_entities(docs))
     told = disclosure(docs, window_terms(entities), entities).filter(F.col("share") >= generalise_at)
     told = told.groupBy("term").agg(F.max(F.col("share") >= remove_at).alias("removed"))
     terms = term_places(docs, told, entities)
-    base = entities.select("_k1", "_k2", "kind", "start", "end", F.lit(True).alias("removed"))
+    base = entities.select("_k1", "_k2", "kind", "start", "end", F.lit(True).alias("removed"), F.lit(None).cast("string").alias("form"))
     return base.unionByName(terms.withColumn("kind", F.lit(4)))
 
 
@@ -141,9 +158,12 @@ def _by_row(spans: DataFrame) -> DataFrame:
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, counts by kind, base_sha256 and spans of every row of docs; then n_generalised and n_removed terms."""
-    k1, k2 = row_key(docs)
-    joined = docs.select(docs["doc_id"], k1, k2).join(_by_row(find_spans(docs)), ["_k1", "_k2"], "left")
+    """doc_id, counts by kind, base_sha256 and spans of every row of docs; then n_generalised and n_removed terms.
+
+    Null and empty texts have no spans; repeated rows get the same result, extra columns are dropped. An empty
+    table gives an empty result.
+    """
+    joined = join_found(docs.select(docs["doc_id"], *row_key(docs)), checkpoint(_by_row(find_spans(docs))))
     named = "transform(filter(s, x -> {}), x -> concat_ws(':', element_at(array({}), x.kind + 1), x.start, x.end))".format("{}", ", ".join(f"'{k}'" for k in KINDS))
     count = lambda cond: F.coalesce(F.size(F.expr(f"filter(s, x -> {cond})")), F.lit(0)).cast("long")
     return joined.select(
@@ -158,7 +178,7 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame, **parameters: float) -> DataFrame:
     """docs with every base entity and disclosing term replaced in text.
 
-    An entity becomes [EMAIL], [IP], [CARD] or [PHONE], a generalised term [TERM], a removed term nothing.
+    An entity becomes [EMAIL], [IP], [CARD] or [PHONE], a generalised term [NAME], [ACRONYM] or [WORD], a removed term nothing.
     Overlapping spans are replaced as one, by the kind that starts first. Rows without spans stay as they
     are, nulls included; repeated rows are treated alike.
     """
@@ -166,11 +186,10 @@ def sanitise(docs: DataFrame, **parameters: float) -> DataFrame:
     order = Window.partitionBy("_k1", "_k2").orderBy("start", F.desc("end"), "kind")
     runs = spans.withColumn("before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     runs = runs.withColumn("run", F.sum(F.when(F.col("before").isNull() | (F.col("start") >= F.col("before")), 1).otherwise(0)).over(order))
-    label = "element_at(array('[EMAIL]', '[IP]', '[CARD]', '[PHONE]', CASE WHEN removed THEN '' ELSE '[TERM]' END), kind + 1)"
+    label = "element_at(array('[EMAIL]', '[IP]', '[CARD]', '[PHONE]', CASE WHEN removed THEN '' ELSE concat('[', form, ']') END), kind + 1)"
     merged = runs.groupBy("_k1", "_k2", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.expr(f"min_by({label}, struct(start, kind))").alias("label"))
-    cuts = merged.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("cuts"))
-    k1, k2 = row_key(docs)
-    joined = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), k1, k2).join(cuts.hint("shuffle_hash"), ["_k1", "_k2"], "left")
+    cuts = checkpoint(merged.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("cuts")))
+    joined = join_found(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), *row_key(docs)), cuts)
     text = "_doc.text"
     piece = f"substring({text}, int(CASE WHEN i = 0 THEN 1 ELSE cuts[i - 1].end + 1 END), int(x.start - CASE WHEN i = 0 THEN 0 ELSE cuts[i - 1].end END))"
     masked = F.expr(f"array_join(transform(cuts, (x, i) -> concat({piece}, x.label)), '') || substring({text}, int(element_at(cuts, -1).end + 1))")
