@@ -69,7 +69,7 @@ def brute_spans(texts):
 
 def test_spans_equal_plain_loops(spark):
     rng = random.Random(5)
-    common, rare = ["order", "ship", "the", "bill", "to", "Room", "of"], [f"{a}{b}x" for a in ("Qua", "zor", "Mil", "pen", "Vor") for b in ("ta", "ri", "lo", "ne") for c in range(8)]
+    common, rare = ["order", "ship", "the", "bill", "to", "Room", "of"], [f"{a}{b}{'abcdefgh'[c]}x" for a in ("Qua", "zor", "Mil", "pen", "Vor") for b in ("ta", "ri", "lo", "ne") for c in range(8)]
     cards = ["4111 1111 1111 1111", "5500-0000-0000-0004", "4111 1111 1111 1112"]
 
     def text():
