@@ -6,11 +6,12 @@ two bad segments each has one error, with one bad segment i is chosen so that th
 good one. The exact segment is paired with codeword indices of the next one: each 23-bit word (segments are
 padded with zeros) lies within distance 3 of exactly one codeword of the perfect Golay code, and words at
 distance 3 also get the five codewords at distance 4; two words at most two bits apart then share an index.
-That gives three to eighteen keys for each fingerprint. Fingerprints that share a key are compared.
+That gives three to eighteen keys for each fingerprint.
 
-Copies are collapsed before any key is made. Keys that many different fingerprints share are not expanded
-into pairs: each of their fingerprints is sent to the 65 words within distance 1 instead; two fingerprints
-share such a word exactly if they differ in at most two bits, and no word has more than 65 of them.
+Copies are collapsed before any key is made. Fingerprints that share a key are not expanded into pairs, as a key may
+have any number of them: the key is divided by a second one, the words at most one bit away (the exact segment kept).
+Two fingerprints of a key share such a word exactly if they differ in at most two bits, so each (key, word) is a
+group of at most 44 fingerprints; those are verified against its least one.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from tidemark.llm.bpe import text_chunks
 from tidemark.llm.common import checkpoint, row_key
 from tidemark.llm.components import connected_components
 
-SHINGLE, SEED, MAX_BITS, PAIR_LIMIT = 3, 42, 2, 32
+SHINGLE, SEED, MAX_BITS = 3, 42, 2
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -124,7 +125,7 @@ def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(where), np.concatenate(keys)
 
 
-def near_edges(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def near_edges(fps: DataFrame) -> DataFrame:
     """Edges (a, b) that join all fingerprints of fps (distinct, column fp) at most two bits apart.
 
     Every such pair is linked directly or through others at most two bits apart; no edge joins any other two.
@@ -137,15 +138,13 @@ def near_edges(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
             yield pa.record_batch([pa.array(key), pa.array(fp[at])], ["key", "fp"])
 
     keys = checkpoint(fps.mapInArrow(run, "key long, fp long"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    live = checkpoint(keys.join(shared, "key"))
-    few = live.filter(F.col("n") <= pair_limit).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    pairs = few.select(F.explode(F.expr("flatten(transform(fps, x -> transform(filter(fps, y -> y < x AND bit_count(x ^ y) <= 2), y -> struct(x AS a, y AS b))))")).alias("e")).select("e.a", "e.b").distinct()
-    crowd = live.filter(F.col("n") > pair_limit).select("fp").distinct()
-    words = crowd.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("word"))
-    # at most 65 fingerprints lie within distance 1 of a word
-    stars = words.groupBy("word").agg(F.collect_list("fp").alias("fps")).filter("size(fps) > 1").select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).filter("a != b").distinct()
-    return pairs.unionByName(stars)
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    live = keys.join(shared, "key")
+    others = F.array(*[F.array(*[F.lit(b) for b in range(64) if not at <= b < at + n]) for at, n in SEGMENTS])
+    free = live.select("key", "fp", F.element_at(others, F.shiftright("key", 34).cast("int") + 1).alias("bits"))
+    words = free.select("key", "fp", F.explode(F.expr("concat(array(fp), transform(bits, b -> fp ^ shiftleft(1L, b)))")).alias("word"))
+    met = words.groupBy("key", "word").agg(F.collect_list("fp").alias("fps")).filter("size(fps) > 1")
+    return met.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).filter(f"a != b AND bit_count(a ^ b) <= {MAX_BITS}").distinct()
 
 
 def members(docs: DataFrame) -> DataFrame:
