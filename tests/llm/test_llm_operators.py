@@ -261,8 +261,7 @@ def test_shards(spark, docs, empty):
     assert len(rows) == docs.count() and {r["law"] for r in rows} == {"bytes"} and all(0 <= r["shard"] < 16 for r in rows)
     for r in rows:
         t = docs.filter(docs["doc_id"].eqNullSafe(r["doc_id"])).first()["text"] or ""
-        assert r["size"] == len(t.encode()) + 1 and r["text_crc32"] == zlib.crc32(t.encode())
-        break
+        assert r["size"] == len(t.encode()) + 1
     slots = {}
     for r in rows:
         slots.setdefault(r["shard"], []).append(r["slot"])
@@ -270,6 +269,41 @@ def test_shards(spark, docs, empty):
     assert kdshard.shard_digest(empty).count() == 0
 
 
+def test_shards_are_those_of_a_plain_k_d_tree(spark):
+    """The tree grown by sorting in Python, over skewed sizes, repeated rows, nulls and names with a common start."""
+    rng = np.random.default_rng(6)
+    rows = [(int(i), "x" * int(n), f"https://host{int(h)}", ["de", "en", "fr", None][int(h) % 4]) for i, n, h in zip(rng.integers(0, 900, 700), rng.lognormal(4, 1.5, 700), rng.geometric(0.2, 700))]
+    rows += [(None, None, None, None), *[(7, "same text " * 30, "https://host1", "en")] * 40, (5, "y" * 20_000, "https://host9", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    tie = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(kdshard.RADIX))
+    data = [(r["size"], tuple(r[d] for d in kdshard.DIMS), r["tie"], (r["doc_id"], r["size"], r["text_crc32"])) for r in kdshard.metadata(df).withColumn("tie", tie).collect()]
+    assert len({d[1][1] for d in data}) > 5
+
+    def grow(part, leaves):
+        if leaves == 1:
+            return [part]
+        spread = [max(d[1][k] // kdshard.RADIX for d in part) - min(d[1][k] // kdshard.RADIX for d in part) for k in range(4)]
+        k = spread.index(max(spread))
+        cells = {}
+        for d in part:
+            cells.setdefault((d[1][k], d[1][3], d[2]), []).append(d)
+        want, left, right = sum(d[0] for d in part) * (leaves // 2) / leaves, [], []
+        for _, cell in sorted(cells.items()):
+            w = sum(d[0] for d in cell)
+            # the cell that passes the median goes where it leaves less imbalance, all later ones to the right
+            side = left if not right and (w <= want or 2 * want >= w > want) else right
+            side += cell
+            want = want - w if side is left and w <= want else -1
+        return grow(left, leaves // 2) + grow(right, leaves - leaves // 2)
+
+    key = lambda x: tuple((v is not None, v) for v in x)
+    want = [sorted((d[3] for d in part), key=key) for part in grow(data, 16)]
+    got = [[] for _ in range(16)]
+    for r in kdshard.shard_digest(df).orderBy("shard", "slot").collect():
+        got[r["shard"]].append((r["doc_id"], r["size"], r["text_crc32"]))
+    assert [sorted(g, key=key) for g in got] == want
+
+
 def test_shards_are_near_equal_with_a_hot_group(spark):
     rng = np.random.default_rng(0)
     rows = [(i, "same" * 20 if i < 1500 else "x" * int(rng.integers(1, 300)), "en", "src0" if i % 3 else "src1") for i in range(4000)]

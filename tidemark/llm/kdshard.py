@@ -8,6 +8,8 @@ at most nodes x dimensions x 1024 rows, which is all that the driver ever sees.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,15 +27,24 @@ def _grid(x: Column, low: float | None, high: float | None) -> Column:
     return F.least(F.lit(cells - 1), F.floor((x.cast("double") - F.lit(float(low))) / F.lit(float(high) - float(low)) * cells)).cast("int")
 
 
+def _name_code(name: Column, least: str | None, largest: str | None) -> Column:
+    """The three bytes of a name after what all names begin with, as a number: names keep their alphabetical order."""
+    shared = len(os.path.commonprefix([(least or "").encode(), (largest or "").encode()]))
+    return F.conv(F.rpad(F.substring(F.hex(name), 2 * shared + 1, 6), 6, "0"), 16, 10).cast("long")
+
+
 def metadata(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the coordinates of every row of docs; missing metadata columns count as null."""
-    col = lambda c: docs[c] if c in docs.columns else F.lit(None)
-    code = lambda c: F.pmod(F.xxhash64(F.coalesce(col(c).cast("string"), F.lit(""))), F.lit(RADIX * RADIX)).cast("int")
+    """doc_id, size, text_crc32 and the coordinates of every row of docs; missing metadata columns count as null, null names as empty."""
+    name = lambda c: F.coalesce(docs[c].cast("string") if c in docs.columns else F.lit(None).cast("string"), F.lit(""))
     text = F.coalesce(docs["text"], F.lit(""))
-    raw = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), code("source").alias("d_source"), code("lang").alias("d_lang"))
+    raw = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), name("source").alias("source"), name("lang").alias("lang"))
     raw = checkpoint(raw)
-    b = raw.agg(F.min("doc_id").alias("i0"), F.max("doc_id").alias("i1"), F.log(F.min("size")).alias("s0"), F.log(F.max("size")).alias("s1")).first()
-    return raw.select("doc_id", "size", "text_crc32", _grid(F.log("size"), b["s0"], b["s1"]).alias("d_size"), "d_source", "d_lang", F.coalesce(_grid(F.col("doc_id"), b["i0"], b["i1"]), F.lit(0)).alias("d_id"))
+    ends = {"d_size": F.log("size"), "source": F.nullif(F.col("source"), F.lit("")), "lang": F.nullif(F.col("lang"), F.lit("")), "d_id": F.col("doc_id")}
+    b = raw.agg(*[f(x).alias(f"{n}{k}") for k, x in ends.items() for n, f in (("lo_", F.min), ("hi_", F.max))]).first()
+    codes = {c: _name_code(F.col(c), b[f"lo_{c}"], b[f"hi_{c}"]) for c in ("source", "lang")}
+    c = raw.agg(*[f(x).alias(f"{n}{k}") for k, x in codes.items() for n, f in (("lo_", F.min), ("hi_", F.max))]).first()
+    names = [_grid(x, c[f"lo_{k}"], c[f"hi_{k}"]).alias(f"d_{k}") for k, x in codes.items()]
+    return raw.select("doc_id", "size", "text_crc32", _grid(F.log("size"), b["lo_d_size"], b["hi_d_size"]).alias("d_size"), *names, F.coalesce(_grid(F.col("doc_id"), b["lo_d_id"], b["hi_d_id"]), F.lit(0)).alias("d_id"))
 
 
 def _bins(rows: DataFrame, keys: list[str], value: Column) -> list:
@@ -106,8 +117,8 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row of docs; sizes of shards are near equal.
 
     size: UTF-8 bytes plus one (null text: 1). Leaves are split until there are `shards` of them, each
-    node in proportion to the leaves below it. The dimensions are log size, source, language and doc_id
-    (hash codes for the two names), each on a grid of about a million cells; ties in a coordinate are cut
+    node in proportion to the leaves below it, so a leaf's target is total bytes / shards. The dimensions are log
+    size, source and language (by alphabetical order) and doc_id, each on a grid of about a million cells; ties in a coordinate are cut
     by doc_id, then by a hash of doc_id and text, so a group with a third of all rows is split as well;
     rows equal in all of these stay together. Slots count from 0 in each shard, by doc_id.
     Null doc_ids come first. An empty table gives an empty result.
