@@ -18,11 +18,11 @@ HUBS = 1000
 
 
 def _with_least(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
-    """rows joined with least (a, m, d) on a. The bounded number of hubs is broadcast, so no task gets all rows of one."""
-    hub = F.col("d") > n / HUBS
-    tagged = rows.join(F.broadcast(least.filter(hub).select("a", "m")), "a", "left")
-    rest = tagged.filter("m IS NULL").drop("m").join(least.filter(~hub).select("a", "m"), "a")
-    return tagged.filter("m IS NOT NULL").unionByName(rest)
+    """rows (a, b) with m of least (a, m, d). The bounded number of hubs is broadcast, and their rows go by b, so no task gets all of one."""
+    hubs = least.filter(F.col("d") > n / HUBS).select("a", F.col("m").alias("hub_m"))
+    tagged = rows.join(F.broadcast(hubs), "a", "left").withColumn("hub", F.col("hub_m").isNotNull()).withColumn("k", F.when(F.col("hub"), F.col("b")).otherwise(F.col("a")))
+    found = tagged.join(least.select(F.col("a").alias("k"), F.lit(False).alias("hub"), "m"), ["k", "hub"], "left")
+    return found.select("a", "b", F.coalesce("hub_m", "m").alias("m"))
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
@@ -39,9 +39,12 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
 
 
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _measure(edges: DataFrame) -> tuple[int, int]:
+    """(number of edges, number of nodes that keep the edges from being stars around the least node of each component)."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    nodes = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    row = nodes.agg(F.coalesce(F.sum("down"), F.lit(0)).alias("n"), F.count_if((F.col("down") > 1) | (F.col("down") + F.col("up") > 1)).alias("bad")).first()
+    return row["n"], row["bad"]
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -52,11 +55,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     now = edges.select(F.greatest(F.col(a), F.col(b)).alias("a"), F.least(F.col(a), F.col(b)).alias("b"))
     now = checkpoint(now.filter("a != b").distinct())
-    was = _digest(now)
-    while was[0]:
-        now = checkpoint(_small_star(_large_star(now, was[0]), was[0]))
-        digest = _digest(now)
-        if digest == was:
-            break
-        was = digest
+    n, bad = _measure(now)
+    while bad:
+        now = checkpoint(_small_star(checkpoint(_large_star(now, n)), n))
+        n, bad = _measure(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -237,7 +237,8 @@ def _boxes(rows: DataFrame) -> DataFrame:
 def near_bands(blocks: DataFrame, parts: int, eps: float) -> DataFrame:
     """Rows (a, b), a <= b: pairs of bands whose boxes, and those of all stretches above them, are at most eps apart.
 
-    A pair meets at most FAN * FAN pairs of the next level, by two equi-joins on the stretches above.
+    A pair meets at most FAN * FAN pairs of the next level, by two equi-joins on the stretches above. parts: range
+    partitions that blocks were cut from.
     """
     levels = [checkpoint(_boxes(blocks.select(F.expr(f"(block >> 32) div {BAND}").alias("part"), "low", "high")))]
     n = -(-parts // BAND)
@@ -245,13 +246,14 @@ def near_bands(blocks: DataFrame, parts: int, eps: float) -> DataFrame:
         levels.append(checkpoint(_boxes(levels[-1].select(F.expr(f"part div {FAN}").alias("part"), "low", "high"))))
         n = -(-n // FAN)
     gap = F.expr("aggregate(zip_with(zip_with(la, hb, (x, y) -> x - y), zip_with(lb, ha, (x, y) -> x - y), (x, y) -> greatest(x, y, 0D)), 0D, (s, g) -> s + g * g)")
-    pairs = None
-    for boxes in reversed(levels):
-        left = boxes.select(F.col("part").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"), F.expr("0L" if pairs is None else f"part div {FAN}").alias("pa"))
-        right = boxes.select(F.col("part").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.expr("0L" if pairs is None else f"part div {FAN}").alias("pb"))
-        # the top level has at most FAN stretches
-        both = left.join(right, left["pa"] == right["pb"]) if pairs is None else pairs.join(left, "pa").join(right, "pb")
-        pairs = checkpoint(both.filter("a <= b").filter(gap <= float((eps + SLACK) ** 2)).select(F.col("a").alias("pa"), F.col("b").alias("pb")))
+    # above the top level, of at most FAN stretches, lies the whole sequence
+    pairs = blocks.sparkSession.range(1).select(F.col("id").alias("pa"), F.col("id").alias("pb"))
+    for depth, boxes in enumerate(reversed(levels)):
+        parent = F.expr(f"part div {FAN if depth else 1 << 40}")
+        left = boxes.select(F.col("part").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"), parent.alias("pa"))
+        right = boxes.select(F.col("part").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"), parent.alias("pb"))
+        both = pairs.join(left, "pa").join(right, "pb").filter("a <= b").filter(gap <= float((eps + SLACK) ** 2))
+        pairs = checkpoint(both.select(F.col("a").alias("pa"), F.col("b").alias("pb")))
     return pairs.select(F.col("pa").alias("a"), F.col("pb").alias("b"))
 
 
@@ -271,6 +273,7 @@ def link(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     axes = principal_axes(classes)
     parts = max(1, -(-classes.count() // INTERVAL))
     blocks = checkpoint(intervals(classes, axes, threshold, parts))
+    parts = 1 + (blocks.agg(F.max("block")).first()[0] >> 32)
     pairs = near_bands(blocks, parts, float(np.sqrt(max(2 - 2 * threshold, 1e-12))))
     sides = pairs.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("band"))
     payload = sides.join(blocks.select(F.expr(f"(block >> 32) div {BAND}").alias("band"), "block", "ids", "counts", "vectors"), "band")
