@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
+from tidemark.operators import compare
 from tidemark.sources import html, sections
 
 #: Relations that hold rows of reports; each is partitioned by report_id, so one report is one folder.
@@ -62,6 +63,26 @@ class Store:
         finally:
             cells.unpersist()
 
+    def create_comparison(self, pairs: DataFrame, metrics: DataFrame, reports: DataFrame, at: str) -> DataFrame:
+        """source_report_id, target_report_id, success, message of each pair; comparisons of valid pairs are stored.
+
+        A pair is valid if both reports exist. Summaries go to report_comparisons and the metrics of statements
+        to sql_comparison_metrics.
+        """
+        ids = reports.select("id")
+        source = ids.select(F.col("id").alias("source_report_id"), F.lit(True).alias("has_source"))
+        target = ids.select(F.col("id").alias("target_report_id"), F.lit(True).alias("has_target"))
+        checked = pairs.join(source, "source_report_id", "left").join(target, "target_report_id", "left")
+        missing = F.when(F.col("has_source").isNull(), F.concat(F.lit("Source report not found: "), F.col("source_report_id").cast("string"))).when(F.col("has_target").isNull(), F.concat(F.lit("Target report not found: "), F.col("target_report_id").cast("string")))
+        valid = checked.filter(missing.isNull()).select("source_report_id", "target_report_id")
+        key = ["source_report_id", "target_report_id"]
+        id_ = F.xxhash64(*key, F.lit(at)).alias("comparison_id")
+        compare.summaries(metrics.join(valid, key, "left_semi"), reports).select(id_, "*", F.lit(at).alias("created_at")).write.mode("append").parquet(f"{self.path}/report_comparisons")
+        metrics.join(valid, key, "left_semi").select(id_, "*").write.mode("append").parquet(f"{self.path}/sql_comparison_metrics")
+        saved = self.spark.read.parquet(f"{self.path}/report_comparisons").filter(F.col("created_at") == at).select(*key, "n_findings")
+        done = F.concat(F.lit("Comparison created successfully with "), F.coalesce("n_findings", F.lit(0)).cast("string"), F.lit(" key findings"))
+        return checked.join(saved, key, "left").select(*key, missing.isNull().alias("success"), F.coalesce(missing, done).alias("message"))
+
     def detail(self, report_id: int) -> DataFrame:
         """One row: the report with its single rows and lists nested, empty where there is nothing."""
         out = self.read("reports").filter(F.col("id") == report_id)
@@ -125,8 +146,3 @@ def integrity(rows: DataFrame, key: str) -> DataFrame:
 def same_schema(a: DataFrame, b: DataFrame) -> bool:
     """Whether two relations have the same columns with the same types."""
     return [(f.name, f.dataType) for f in a.schema] == [(f.name, f.dataType) for f in b.schema]
-
-
-def text_table(df: DataFrame, n: int = 20) -> str:
-    """The first n rows as an aligned text table."""
-    return df._show_string(n, False, False)

@@ -25,11 +25,11 @@ def index_of(operation: str = "operation") -> Column:
     return F.nullif(F.regexp_extract(F.col(operation), r"(?i)\busing\s+([^\s()]+)", 1), F.lit(""))
 
 
-def metadata(nodes: DataFrame) -> DataFrame:
-    """Highest cost, sum of rows, depth, number of nodes, actual figures and estimated milliseconds of each plan."""
+def metadata(nodes: DataFrame, *more: Column) -> DataFrame:
+    """Highest cost, sum of rows, depth, number of nodes, actual figures and estimated milliseconds of each plan; more: further aggregates."""
     return nodes.groupBy("plan_id").agg(
         F.max("total_cost").alias("total_cost"), F.sum("est_rows").alias("total_rows"), (F.max("depth") + 1).alias("plan_depth"), F.count(F.lit(1)).alias("node_count"),
-        F.bool_or(F.col("actual_rows").isNotNull()).alias("has_actual_stats"), (F.max("total_cost") * 0.01).alias("estimated_time_ms"),
+        F.bool_or(F.col("actual_rows").isNotNull()).alias("has_actual_stats"), (F.max("total_cost") * 0.01).alias("estimated_time_ms"), *more,
     )
 
 
@@ -41,30 +41,37 @@ def self_cost(nodes: DataFrame) -> DataFrame:
     return nodes.join(children, ["plan_id", "node_id"], "left").withColumn("self_cost", F.greatest(F.lit(0.0), own)).withColumn("percentage", F.when(root > 0, cost / F.nullif(root, F.lit(0.0)) * 100).otherwise(F.lit(0.0))).drop("child_cost")
 
 
+def _found(rules: list[tuple[str, Column, Column | None, Column | None]]) -> Column:
+    """Array of the rules that hold for a node: rule_id, warning, suggestion."""
+    found = [F.when(when, F.struct(F.lit(i).alias("rule_id"), (w if w is not None else F.lit(None).cast("string")).alias("warning"), (s if s is not None else F.lit(None).cast("string")).alias("suggestion"))) for i, when, w, s in rules]
+    return F.array_compact(F.array(*found))
+
+
 def _hits(nodes: DataFrame, rules: list[tuple[str, Column, Column | None, Column | None]]) -> DataFrame:
     """One row for each node and rule that holds: rule_id, warning, suggestion."""
-    found = [F.when(when, F.struct(F.lit(i).alias("rule_id"), (w if w is not None else F.lit(None).cast("string")).alias("warning"), (s if s is not None else F.lit(None).cast("string")).alias("suggestion"))) for i, when, w, s in rules]
-    return nodes.select("plan_id", "node_id", "operation", F.explode(F.array_compact(F.array(*found))).alias("h")).select("plan_id", "node_id", "operation", "h.*")
+    return nodes.select("plan_id", "node_id", "operation", F.explode(_found(rules)).alias("h")).select("plan_id", "node_id", "operation", "h.*")
 
 
-def core_rules(nodes: DataFrame) -> DataFrame:
+def _core() -> list[tuple[str, Column, Column | None, Column | None]]:
     """The six core rules. Texts are fixed values."""
     op, rows, cost = F.col("operation"), F.coalesce("est_rows", F.lit(0)), F.coalesce("total_cost", F.lit(0.0))
     actual = F.col("actual_rows")
     t = lambda *p: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in p])
     table = F.coalesce(table_of(), F.lit("unknown"))
     r, a = rows.cast("double"), actual.cast("double")
-    return _hits(
-        nodes,
-        [
-            ("seq_scan", op.contains("Seq Scan") & (rows > 100000), t("Full table scan on '", table, "' will process ", rows.cast("string"), " rows"), F.when(table_of().isNotNull(), t("Consider creating an index on table '", table, "' to reduce full table scans"))),
-            ("nested_loop", op.contains("Nested Loop") & (cost > 1000), t("Nested Loop join has high cost (", F.format_string("%.2f", cost), "), consider Hash Join instead"), F.lit("Consider increasing work_mem to enable Hash Join for better performance")),
-            ("filter_scan", op.contains("Seq Scan") & filter_of().isNotNull(), t("Sequential scan with filter condition may benefit from an index: ", F.coalesce(filter_of(), F.lit(""))), None),
-            ("sort", op.contains("Sort") & (rows > 10000), t("Sort operation on ", rows.cast("string"), " rows may be expensive"), F.lit("Consider adding an index with ORDER BY columns to avoid sorting")),
-            ("hash_join", op.contains("Hash Join") & (rows > 100000), t("Hash Join on ", rows.cast("string"), " rows may require significant memory"), F.lit("Ensure work_mem is sufficient for hash table size")),
-            ("estimate", (a > r * 10) | (a < r * 0.1), t("Row estimation error: estimated ", rows.cast("string"), " but actual ", actual.cast("string"), " rows (", (F.greatest(a, r) / F.nullif(F.least(a, r), F.lit(0.0))).cast("string"), "x difference)"), F.lit("Run ANALYZE on the involved tables to update statistics")),
-        ],
-    )
+    return [
+        ("seq_scan", op.contains("Seq Scan") & (rows > 100000), t("Full table scan on '", table, "' will process ", rows.cast("string"), " rows"), F.when(table_of().isNotNull(), t("Consider creating an index on table '", table, "' to reduce full table scans"))),
+        ("nested_loop", op.contains("Nested Loop") & (cost > 1000), t("Nested Loop join has high cost (", F.format_string("%.2f", cost), "), consider Hash Join instead"), F.lit("Consider increasing work_mem to enable Hash Join for better performance")),
+        ("filter_scan", op.contains("Seq Scan") & filter_of().isNotNull(), t("Sequential scan with filter condition may benefit from an index: ", F.coalesce(filter_of(), F.lit(""))), None),
+        ("sort", op.contains("Sort") & (rows > 10000), t("Sort operation on ", rows.cast("string"), " rows may be expensive"), F.lit("Consider adding an index with ORDER BY columns to avoid sorting")),
+        ("hash_join", op.contains("Hash Join") & (rows > 100000), t("Hash Join on ", rows.cast("string"), " rows may require significant memory"), F.lit("Ensure work_mem is sufficient for hash table size")),
+        ("estimate", (a > r * 10) | (a < r * 0.1), t("Row estimation error: estimated ", rows.cast("string"), " but actual ", actual.cast("string"), " rows (", (F.greatest(a, r) / F.nullif(F.least(a, r), F.lit(0.0))).cast("string"), "x difference)"), F.lit("Run ANALYZE on the involved tables to update statistics")),
+    ]
+
+
+def core_rules(nodes: DataFrame) -> DataFrame:
+    """Hits of the six core rules."""
+    return _hits(nodes, _core())
 
 
 def alternative_rules(nodes: DataFrame) -> DataFrame:
@@ -123,14 +130,14 @@ def rule_hits(hits: DataFrame) -> DataFrame:
 
 def analysis(nodes: DataFrame, cost_limit: float | None = None, rows_limit: int | None = None) -> DataFrame:
     """Score, potential and estimated improvement of each plan, by the core rules and optional limits."""
-    meta = metadata(nodes)
-    warned = core_rules(nodes).filter("warning IS NOT NULL").groupBy("plan_id").agg(F.count(F.lit(1)).alias("warnings"))
+    # the rules are judged in each node's row, so one aggregate of the nodes gives all
+    warned = F.size(F.filter(_found(_core()), lambda h: h["warning"].isNotNull()))
+    out = metadata(nodes, F.sum(warned).alias("warnings"))
     over = F.lit(0)
     if cost_limit is not None:
         over = over + F.when(F.col("total_cost") > cost_limit, 1).otherwise(0)
     if rows_limit is not None:
         over = over + F.when(F.col("total_rows") > rows_limit, 1).otherwise(0)
-    out = meta.join(warned, "plan_id", "left").withColumn("warnings", F.coalesce("warnings", F.lit(0)).cast("long"))
     out = out.withColumn("score", fn.plan_score("warnings", over))
     return out.withColumn("potential", fn.plan_potential("score")).withColumn("improvement", fn.plan_improvement("score"))
 
@@ -325,3 +332,12 @@ def root_lines(lines: DataFrame, gap: int = 10) -> DataFrame:
     fold = F.expr(f"aggregate(l, cast(array() AS array<int>), (a, x) -> CASE WHEN size(a) = 0 OR x > element_at(a, -1) + {gap} THEN array_append(a, x) ELSE a END)")
     return lines.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.col("line_no").cast("int"))).alias("l")).select("plan_id", fold.alias("roots"))
 
+
+
+def convert(nodes: DataFrame) -> DataFrame:
+    """Nodes in the model of the viewer: missing costs and rows are 0, condition, index and table stand in own columns."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return nodes.select(
+        "plan_id", "node_id", "parent_id", "operation", F.coalesce("total_cost", F.lit(0.0)).alias("cost"), zero("est_rows").alias("rows"), "actual_rows", "actual_time", "width",
+        filter_of().alias("filter"), index_of().alias("index_name"), table_of().alias("table_name"),
+    )

@@ -63,6 +63,24 @@ def _num(line: str, pattern: str, group: int, kind: str) -> str:
     return f"try_cast(nullif(regexp_extract({line}, '{p}', {group}), '') AS {kind})"
 
 
+#: SQL over a line x: whether it is a node, and the operator it names.
+IS_NODE = f"x RLIKE '{COST.replace(chr(92), chr(92) * 2)}' OR x RLIKE '{ACTUAL.replace(chr(92), chr(92) * 2)}' OR instr(x, '->') > 0 OR ltrim(x) RLIKE '^CTE [A-Za-z_]'"
+OPERATION = "trim(regexp_replace(trim(split(regexp_replace(x, '^[ \\t|]*', ''), '\\\\(cost=|\\\\(actual|  \\\\(')[0]), '^->', ''))"
+
+
+def parse_roots(plans: DataFrame) -> DataFrame:
+    """plan_id, node_id, operation, total_cost, est_rows, actual_time, actual_rows of the root of each plan in text form.
+
+    Only the first node's line is read, which parse_text() makes the root. Plans without a node give no row.
+    """
+    lines = F.filter(F.split("plan_text", "\r?\n"), lambda x: (F.trim(x) != "") & ~x.rlike(IGNORED))
+    root = barrier(plans.select("plan_id", lines.alias("lines"))).select("plan_id", F.expr(f"get(filter(lines, x -> {IS_NODE}), 0)").alias("x"))
+    return barrier(root).filter("x IS NOT NULL").select(
+        "plan_id", F.lit(0).alias("node_id"), F.expr(OPERATION).alias("operation"), F.expr(_num("x", COST, 2, "double")).alias("total_cost"), F.expr(_num("x", COST, 3, "bigint")).alias("est_rows"),
+        F.expr(_num("x", ACTUAL, 2, "double")).alias("actual_time"), F.expr(_num("x", ACTUAL, 3, "bigint")).alias("actual_rows"),
+    )
+
+
 def parse_text(plans: DataFrame) -> DataFrame:
     """Nodes of plans in text form; plans: plan_id, plan_text.
 
@@ -71,9 +89,9 @@ def parse_text(plans: DataFrame) -> DataFrame:
     included, give no row.
     """
     lines = F.filter(F.split("plan_text", "\r?\n"), lambda x: (F.trim(x) != "") & ~x.rlike(IGNORED))
+    is_node = IS_NODE
     indent = "CASE WHEN instr(x, '->') > 0 THEN instr(x, '->') - 1 WHEN ltrim(x) LIKE 'CTE%' THEN instr(x, 'CTE') - 1 ELSE length(regexp_extract(x, '^[ \\t|]*', 0)) END"
-    operation = "trim(regexp_replace(trim(split(regexp_replace(x, '^[ \\t|]*', ''), '\\\\(cost=|\\\\(actual|  \\\\(')[0]), '^->', ''))"
-    is_node = f"x RLIKE '{COST.replace(chr(92), chr(92) * 2)}' OR x RLIKE '{ACTUAL.replace(chr(92), chr(92) * 2)}' OR instr(x, '->') > 0 OR ltrim(x) RLIKE '^CTE [A-Za-z_]'"
+    operation = OPERATION
     marked = F.expr(
         f"transform(lines, (x, i) -> named_struct('at', i, 'is_node', {is_node}, 'indent', {indent}, 'operation', {operation}, 'startup_cost', {_num('x', COST, 1, 'double')}, 'total_cost', {_num('x', COST, 2, 'double')}, 'est_rows', {_num('x', COST, 3, 'bigint')}, 'width', {_num('x', COST, 4, 'bigint')},"
         f" 'actual_time', {_num('x', ACTUAL, 2, 'double')}, 'actual_rows', {_num('x', ACTUAL, 3, 'bigint')}, 'loops', {_num('x', ACTUAL, 4, 'bigint')}, 'line', trim(x)))"

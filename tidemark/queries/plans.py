@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
-from tidemark.operators import audit
+from tidemark.operators import audit, facade
 from tidemark.plans import analysis, lint, parse
 from tidemark.queries import query
 from tidemark.sources.adapters import duckdb_ctes as ctes
@@ -170,6 +170,16 @@ def fn_rec_priority(s: SparkSession, d: str) -> DataFrame:
     return analysis.core_rules(nodes(s, d)).filter("suggestion IS NOT NULL").select("plan_id", "node_id", "rule_id", fn.recommendation_priority("suggestion").alias("priority"))
 
 
+@query("plan.convert", PT + "SELECT plan_id, node_id, parent_id, operation, total_cost AS cost, est_rows AS rows, actual_rows, width, CASE WHEN starts_with(detail, 'Filter: ') THEN substr(detail, 9) END AS filter, CASE WHEN contains(operation, ' using ') THEN split_part(split_part(operation, ' using ', 2), ' ', 1) END AS index_name, table_name FROM plan_truth")
+def plan_convert(s: SparkSession, d: str) -> DataFrame:
+    return analysis.convert(nodes(s, d)).drop("actual_time")
+
+
+@query("cli.diagnose", ANALYSED.replace("SELECT m.plan_id, coalesce(w.n, 0) AS warnings, ", "SELECT m.plan_id, concat('Score: ', ").replace(" AS score FROM m", ", ' | Warnings: ', coalesce(w.n, 0)) AS text FROM m"))
+def cli_diagnose(s: SparkSession, d: str) -> DataFrame:
+    return facade.diagnose(nodes(s, d), cost_limit=5000).select("plan_id", "text")
+
+
 @query("plan.contains", PT + "SELECT plan_id, bool_or(contains(operation, 'Nested Loop')) AS found FROM plan_truth GROUP BY 1")
 def plan_contains(s: SparkSession, d: str) -> DataFrame:
     return analysis.contains(nodes(s, d), "Nested Loop")
@@ -177,7 +187,10 @@ def plan_contains(s: SparkSession, d: str) -> DataFrame:
 
 def other(s: SparkSession, d: str) -> DataFrame:
     """The same plans with costs and times changed, as the second side of diffs."""
-    n = nodes(s, d)
+    return changed(nodes(s, d))
+
+
+def changed(n: DataFrame) -> DataFrame:
     k = F.when(F.col("plan_id") % 3 == 0, 0.5).when(F.col("plan_id") % 3 == 1, 2.0).otherwise(1.0)
     return n.withColumn("total_cost", F.col("total_cost") * k).withColumn("actual_time", F.col("actual_time") * k)
 
@@ -197,7 +210,8 @@ def plan_diff_node_verdict(s: SparkSession, d: str) -> DataFrame:
 
 @query("plan.diff_verdict", PT + "SELECT plan_id, CASE plan_id % 3 WHEN 0 THEN 'Improved' WHEN 1 THEN 'Regressed' ELSE 'Similar' END AS verdict FROM plan_truth WHERE node_id = 0")
 def plan_diff_verdict(s: SparkSession, d: str) -> DataFrame:
-    return analysis.verdict(nodes(s, d), other(s, d))
+    roots = parse.parse_roots(texts(s, d))
+    return analysis.verdict(roots, changed(roots))
 
 
 RISKS = {"largeSeqScan": "contains(operation, 'Seq Scan') AND est_rows > 10000", "highCost": "total_cost > 10000", "nestLoop": "contains(operation, 'Nested Loop') AND est_rows > 10000", "badEst": "est_rows > 0 AND (CAST(actual_rows AS DOUBLE) / est_rows > 10 OR CAST(actual_rows AS DOUBLE) / est_rows < 0.1)"}
@@ -334,5 +348,5 @@ def rw_run(s: SparkSession, d: str) -> DataFrame:
 
 @query("set.rules_applied", TOP + "SELECT id, 1 AS n FROM top_sqls WHERE p_partkey % 6 = 0")
 def set_rules_applied(s: SparkSession, d: str) -> DataFrame:
-    r = lint.rewrite(load(s, d, "top_sqls").filter("p_partkey % 6 = 0")).filter("rule_id = 'eliminate-select-star'")
+    r = lint.rewrite(load(s, d, "top_sqls")).filter("rule_id = 'eliminate-select-star'")
     return r.groupBy("id").agg(F.size(F.array_distinct(F.flatten(F.array(F.collect_list("rule_id"), F.collect_list("rule_id"))))).alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import scalars as fn
-from tidemark.operators import audit, catalog, compare, store, thresholds
+from tidemark.operators import audit, catalog, compare, facade, store, thresholds
 from tidemark.queries import ORACLES, query
 from tidemark.sources.adapters import duckdb_ctes as ctes
 from tidemark.sources.adapters import load
@@ -296,17 +296,18 @@ def join_wait_event(s: SparkSession, d: str) -> DataFrame:
     return compare.left_by_name(base, other, "event", "waits", default=None).select("event", "base_value", "target_value")
 
 
-@query("join.sql_text_map", TOP.rstrip() + ", m AS (SELECT sql_id, min(sql_text) AS full_text FROM top_sqls WHERE report_id < 20000 GROUP BY sql_id) SELECT t.id, coalesce(m.full_text, '') AS full_text FROM top_sqls t LEFT JOIN m ON m.sql_id = t.sql_id")
+@query("join.sql_text_map", TOP.rstrip() + ", m AS (SELECT sql_id, min(sql_text) AS full_text FROM top_sqls GROUP BY sql_id) SELECT t.id, coalesce(m.full_text, '') AS full_text FROM top_sqls t LEFT JOIN m ON m.sql_id = t.sql_id")
 def join_sql_text_map(s: SparkSession, d: str) -> DataFrame:
     t = sqls(s, d)
-    m = t.filter("report_id < 20000").groupBy("sql_id").agg(F.min("sql_text").alias("full_text"))
+    m = t.groupBy("sql_id").agg(F.min("sql_text").alias("full_text"))
     return t.select("id", "sql_id").join(m, "sql_id", "left").select("id", F.coalesce("full_text", F.lit("")).alias("full_text"))
 
 
-@query("join.object_sql", ctes("top_sqls", "object_stats") + "SELECT DISTINCT t.id, replace(o.object_name, ' ', '_') AS object_name FROM top_sqls t JOIN (SELECT DISTINCT object_name FROM object_stats) o ON contains(lower(t.sql_text), lower(replace(o.object_name, ' ', '_'))) WHERE t.report_id = 1995")
+# every name against every statement is too slow in SQL; tests compare it with brute force
+@query("join.object_sql")
 def join_object_sql(s: SparkSession, d: str) -> DataFrame:
     names = load(s, d, "object_stats").select(F.expr("replace(object_name, ' ', '_')").alias("object_name"))
-    return catalog.objects_in_sql(sqls(s, d).filter("report_id = 1995"), names)
+    return catalog.objects_in_sql(sqls(s, d), names)
 
 
 # ---- aggregates
@@ -339,7 +340,7 @@ ISSUE_PARTS = {
 }
 #: Statements of every third part have a plan with a nested loop, as in plan_truth.
 FACTS = ", f AS (SELECT *, p_partkey % 3 = 0 AS has_nested_loop FROM top_sqls)\n"
-ISSUES = TOP.rstrip() + FACTS + ", issues AS (" + "\nUNION ALL ".join(f"SELECT report_id, id AS sql_id, '{k}' AS issue_type, {sev} AS severity FROM f WHERE {cond}" for k, (cond, sev) in ISSUE_PARTS.items()) + ")\n"
+ISSUES = TOP.rstrip() + FACTS + ", issues AS MATERIALIZED (" + "\nUNION ALL ".join(f"SELECT report_id, id AS sql_id, '{k}' AS issue_type, {sev} AS severity FROM f WHERE {cond}" for k, (cond, sev) in ISSUE_PARTS.items()) + ")\n"
 
 
 def issues(s: SparkSession, d: str) -> DataFrame:
@@ -355,11 +356,11 @@ def one_rule(name: str) -> None:
 for _name in ISSUE_PARTS:
     one_rule(_name)
 
-STORED = ", stored AS (SELECT report_id, sql_id, issue_type, CASE WHEN sql_id % 2 = 0 THEN 'Open' ELSE 'Fixed' END AS status FROM issues WHERE report_id < 20000)\n"
+STORED = ", stored AS (SELECT report_id, sql_id, issue_type, CASE WHEN sql_id % 2 = 0 THEN 'Open' ELSE 'Fixed' END AS status FROM issues)\n"
 
 
 def stored(s: SparkSession, d: str) -> DataFrame:
-    return issues(s, d).filter("report_id < 20000").select("report_id", "sql_id", "issue_type", F.when(F.col("sql_id") % 2 == 0, "Open").otherwise("Fixed").alias("status"))
+    return issues(s, d).select("report_id", "sql_id", "issue_type", F.when(F.col("sql_id") % 2 == 0, "Open").otherwise("Fixed").alias("status"))
 
 
 @query("aud.run", ISSUES + "SELECT report_id, issue_type, severity, count(*) AS n FROM issues GROUP BY 1, 2, 3")
@@ -367,7 +368,7 @@ def aud_run(s: SparkSession, d: str) -> DataFrame:
     return issues(s, d).groupBy("report_id", "issue_type", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("join.existing_issue", ISSUES.rstrip() + STORED + "SELECT i.report_id, i.sql_id, i.issue_type FROM issues i WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.status = 'Open' AND s.report_id = i.report_id AND s.sql_id = i.sql_id AND s.issue_type = i.issue_type)")
+@query("join.existing_issue", ISSUES.rstrip() + STORED + "SELECT i.report_id, i.sql_id, i.issue_type FROM issues i ANTI JOIN (SELECT report_id, sql_id, issue_type FROM stored WHERE status = 'Open') s USING (report_id, sql_id, issue_type)")
 def join_existing_issue(s: SparkSession, d: str) -> DataFrame:
     return audit.new_issues(issues(s, d), stored(s, d)).select("report_id", "sql_id", "issue_type")
 
@@ -377,6 +378,12 @@ def flt_issues(s: SparkSession, d: str) -> DataFrame:
     return audit.search(issues(s, d), report_id=1995, status="Open", severity="High").select("report_id", "sql_id", "issue_type", "severity")
 
 
+@query("cli.audit", ISSUES + "SELECT report_id, sql_id, issue_type, CASE severity WHEN 'Critical' THEN '🔴 CRITICAL' WHEN 'High' THEN '🟡 HIGH' WHEN 'Medium' THEN '⚠️ MEDIUM' ELSE 'ℹ️ LOW' END AS mark, concat('   Status: Open | Type: ', issue_type) AS last_line FROM issues")
+def cli_audit(s: SparkSession, d: str) -> DataFrame:
+    t = facade.audit_text(issues(s, d))
+    return t.select("report_id", "sql_id", "issue_type", F.substring_index("text", ": ", 1).alias("mark"), F.substring_index("text", "\n", -1).alias("last_line"))
+
+
 @query("flt.issue_types", ISSUES + "SELECT issue_type, count(*) AS n FROM issues WHERE issue_type IN ('SortOperation', 'MissingIndex') GROUP BY 1")
 def flt_issue_types(s: SparkSession, d: str) -> DataFrame:
     return audit.audit(sqls(s, d), only=["SortOperation", "MissingIndex", "no such type"]).groupBy("issue_type").agg(F.count(F.lit(1)).alias("n"))
@@ -486,9 +493,76 @@ def win_csv_rank(s: SparkSession, d: str) -> DataFrame:
     return store.export_csv(sqls(s, d))
 
 
-@query("snk.export_csv", CSV_SQL + " WHERE report_id = 1995")
+@query("snk.export_csv", f"SELECT report_id, rank, concat(sql_id, ',', executions, ',', buffer_gets, ',', CASE WHEN contains(sql_text, ',') THEN concat('\"', sql_text, '\"') ELSE sql_text END) AS line FROM ({CSV_SQL})")
 def snk_export_csv(s: SparkSession, d: str) -> DataFrame:
-    return store.export_csv(sqls(s, d).filter("report_id = 1995"))
+    return store.export_csv(sqls(s, d)).select("report_id", "rank", F.to_csv(F.struct("sql_id", "executions", "buffer_gets", "sql_text")).alias("line"))
+
+
+def scratch(s: SparkSession) -> store.Store:
+    """A new store in the session's checkpoint folder, which all executors share."""
+    import tempfile
+    import uuid
+
+    folder = s.sparkContext.getCheckpointDir() or s.conf.get("spark.checkpoint.dir", None)
+    if folder is None and s.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="tidemark-store-")
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return store.Store(s, f"{folder}/store-{uuid.uuid4()}")
+
+
+@query("snk.insert", ctes("top_sqls", "wait_events", "object_stats") + "SELECT 'top_sqls' AS relation, report_id, count(*) AS n FROM top_sqls GROUP BY 2 UNION ALL SELECT 'wait_events', report_id, count(*) FROM wait_events GROUP BY 2 UNION ALL SELECT 'object_stats', report_id, count(*) FROM object_stats GROUP BY 2")
+def snk_insert(s: SparkSession, d: str) -> DataFrame:
+    kept = scratch(s)
+    for name in ("top_sqls", "wait_events", "object_stats"):
+        kept.append(name, load(s, d, name))
+    parts = [kept.read(n).groupBy("report_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("relation"), "report_id", "n") for n in ("top_sqls", "wait_events", "object_stats")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("snk.import_report", ctes("reports", "top_sqls") + "SELECT r.id AS report_id, 'inst' AS instance_name, CAST(r.snapshot_start AS VARCHAR) AS snapshot_start, least(count(*), 200) AS statements, min(t.sql_id) FILTER (WHERE t.rank_by_time = 1) AS first_sql FROM reports r JOIN top_sqls t ON t.report_id = r.id GROUP BY ALL")
+def snk_import_report(s: SparkSession, d: str) -> DataFrame:
+    from tidemark.queries.shredding import pages
+
+    kept = scratch(s)
+    files = pages(s, d).select("report_id", F.concat(F.lit("r"), F.col("report_id").cast("string"), F.lit(".html")).alias("file_path"), F.octet_length("html").cast("long").alias("file_size"), "html")
+    kept.import_reports(files, "inst", "2024-01-01")
+    kept.import_reports(files, "inst", "2024-01-02")  # known reports are passed over
+    t = kept.read("top_sqls").groupBy("report_id").agg(F.count(F.lit(1)).alias("statements"), F.min(F.when(F.col("rank_by_time") == 1, F.col("sql_id"))).alias("first_sql"))
+    return kept.read("reports").select(F.col("id").alias("report_id"), "instance_name", "snapshot_start").join(t, "report_id")
+
+
+@query("cmp.create", f"SELECT source_report_id, target_report_id, true AS success, concat('Comparison created successfully with ', n_findings, ' key findings') AS message FROM ({SUMMARY_SQL}) UNION ALL SELECT CAST(-1 AS BIGINT), CAST(1995 AS BIGINT), false, 'Source report not found: -1' UNION ALL SELECT CAST(1995 AS BIGINT), CAST(-2 AS BIGINT), false, 'Target report not found: -2'")
+def cmp_create(s: SparkSession, d: str) -> DataFrame:
+    reports = load(s, d, "reports")
+    wrong = s.createDataFrame([(-1, 1995), (1995, -2)], "source_report_id long, target_report_id long")
+    m = metrics(s, d)
+    pairs = m.select("source_report_id", "target_report_id").distinct().unionByName(wrong)
+    return scratch(s).create_comparison(pairs, m, reports, "2024-01-01")
+
+
+LIST_SQL = REP.rstrip() + """, c AS (SELECT id, CAST(id AS VARCHAR) AS a, instance_name AS b, CAST(snapshot_start AS VARCHAR) AS x, CAST(snapshot_end AS VARCHAR) AS y, status AS z FROM reports)
+, w AS (SELECT greatest(2, max(length(a))) AS wa, greatest(8, max(length(b))) AS wb, greatest(14, max(length(x))) AS wx, greatest(12, max(length(y))) AS wy, greatest(6, max(length(z))) AS wz FROM c)
+, l AS (SELECT 1 AS k, NULL AS id, 'ID' AS a, 'Instance' AS b, 'Snapshot Start' AS x, 'Snapshot End' AS y, 'Status' AS z UNION ALL SELECT 2, NULL, repeat('-', wa), repeat('-', wb), repeat('-', wx), repeat('-', wy), repeat('-', wz) FROM w UNION ALL SELECT 3, * FROM c)
+SELECT row_number() OVER (ORDER BY k, id) AS position, concat(rpad(a, CAST(wa AS INTEGER), ' '), '  ', rpad(b, CAST(wb AS INTEGER), ' '), '  ', rpad(x, CAST(wx AS INTEGER), ' '), '  ', rpad(y, CAST(wy AS INTEGER), ' '), '  ', rpad(z, CAST(wz AS INTEGER), ' ')) AS line FROM l, w"""
+
+
+@query("cli.list", LIST_SQL)
+def cli_list(s: SparkSession, d: str) -> DataFrame:
+    return facade.list_reports(load(s, d, "reports"))
+
+
+@query("snk.text_table", TOP.rstrip() + """, c AS (SELECT id, CAST(id AS VARCHAR) AS a, CAST(executions AS VARCHAR) AS b FROM top_sqls), w AS (SELECT greatest(2, max(length(a))) AS wa, greatest(5, max(length(b))) AS wb FROM c)
+, l AS (SELECT 1 AS k, NULL AS id, 'ID' AS a, 'Calls' AS b UNION ALL SELECT 2, NULL, repeat('-', wa), repeat('-', wb) FROM w UNION ALL SELECT 3, * FROM c)
+SELECT row_number() OVER (ORDER BY k, id) AS position, concat(rpad(a, CAST(wa AS INTEGER), ' '), '  ', rpad(b, CAST(wb AS INTEGER), ' ')) AS line FROM l, w""")
+def snk_text_table(s: SparkSession, d: str) -> DataFrame:
+    return facade.text_table(sqls(s, d), {"id": "ID", "executions": "Calls"}, [F.col("id")])
+
+
+@query("cli.analyze", TOP_REP.rstrip() + """, l AS (SELECT report_id, string_agg(concat('  #', rank_by_time, '  SQL ID: ', sql_id, '   Elapsed: ', CAST(round(total_elapsed_time) AS BIGINT), 'ms  CPU: ', CAST(round(cpu_time) AS BIGINT), 'ms  Execs: ', executions, chr(10), '      ', CASE WHEN length(sql_text) > 80 THEN concat(substr(sql_text, 1, 80), '...') ELSE sql_text END), chr(10) ORDER BY rank_by_time) AS lines FROM top_sqls GROUP BY 1)
+SELECT r.id, md5(concat('=== Report #', r.id, ': ', instance_name, ' ===', chr(10), 'Snapshot: ', snapshot_start, '  ->  ', snapshot_end, chr(10), 'Status: ', status, chr(10), chr(10), CASE WHEN lines IS NULL THEN concat('--- Top SQL ---', chr(10), '  (none)') ELSE concat('--- Top SQL (by elapsed time) ---', chr(10), lines) END)) AS text_md5 FROM reports r LEFT JOIN l ON l.report_id = r.id""")
+def cli_analyze(s: SparkSession, d: str) -> DataFrame:
+    return facade.analyze(load(s, d, "reports"), sqls(s, d)).select("id", F.md5("text").alias("text_md5"))
 
 
 @query("win.latest_per_key", "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
@@ -575,10 +649,10 @@ def set_risk_diff(s: SparkSession, d: str) -> DataFrame:
     return catalog.set_difference(i.filter("report_id = 1995"), i.filter("report_id = 1996"), ["k", "issue_type"])
 
 
-@query("set.dedup_consecutive", TOP + "SELECT id, 2 AS n FROM top_sqls WHERE p_partkey % 6 = 0 AND report_id = 1995")
+@query("set.dedup_consecutive", TOP + "SELECT id, (1 + p_size % 5) // 2 + 1 AS n FROM top_sqls")
 def set_dedup_consecutive(s: SparkSession, d: str) -> DataFrame:
-    t = sqls(s, d).filter("p_partkey % 6 = 0 AND report_id = 1995")
-    return t.select("id", F.size(fn.dedup_consecutive(F.array(F.lit("a"), F.lit("a"), F.lit("b"), F.lit("b")))).alias("n"))
+    runs = F.expr("transform(sequence(1, 1 + int(p_size % 5)), x -> string(x div 2))")
+    return sqls(s, d).select("id", F.size(fn.dedup_consecutive(runs)).cast("long").alias("n"))
 
 
 # ---- scalars over statements

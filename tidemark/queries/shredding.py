@@ -16,8 +16,6 @@ from tidemark.sources.adapters import load
 
 REP = ctes("reports")
 TOP = ctes("top_sqls")
-#: Statements of a page: the first by rank.
-PER_PAGE = 40
 
 
 def tr(*cells: Column | str, head: bool = False) -> Column:
@@ -35,9 +33,9 @@ def escaped(text: str) -> Column:
     return F.replace(F.replace(F.col(text), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
 
-def pages(s: SparkSession, d: str) -> DataFrame:
-    """report_id, html of all reports."""
-    t = load(s, d, "top_sqls").filter(F.col("rank_by_time") <= PER_PAGE)
+def pages(s: SparkSession, d: str, statements: bool = True) -> DataFrame:
+    """report_id, html of all reports, with all their statements or, for queries on other sections, without that table."""
+    t = load(s, d, "top_sqls")
     # 26 cells in the first layout
     place = {0: "sql_id", 2: "total_elapsed_time", 3: "cpu_time", 5: "rows_processed", 6: "executions", 8: "disk_reads", 9: "buffer_gets", 13: "io_time"}
     cells = [F.format_number(place[i], 4) if i in (2, 3, 13) else F.format_number(place[i], 0) if i in (5, 6, 8, 9) else F.col(place[i]) if i in place else escaped("sql_text") if i == 24 else F.lit("0") for i in range(26)]
@@ -45,7 +43,8 @@ def pages(s: SparkSession, d: str) -> DataFrame:
     lines = t.groupBy(F.col("report_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank_by_time", row.alias("row")))).alias("l"))
     body = F.array_join(F.expr("transform(l, x -> x.row)"), "")
     heads = tr("Unique SQL Id", *[f"h{i}" for i in range(1, 26)], head=True)
-    r = load(s, d, "reports").join(lines, "id")
+    r = load(s, d, "reports")
+    r = r.join(lines, "id") if statements else r.withColumn("l", F.expr("cast(array() AS array<struct<rank_by_time: int, row: string>>)"))
     i = F.col("id")
     text = F.concat(
         F.lit('<html><body><h1>Report</h1><div class="instance-name">'), "instance_name", F.lit("</div>"),
@@ -67,11 +66,12 @@ def pages(s: SparkSession, d: str) -> DataFrame:
         F.lit("<h3>SQL Text</h3>"), table("", tr("Unique SQL Id", "SQL Text", head=True), tr(i, "SELECT 1<br>FROM x &amp; y")),
         F.lit("</body></html>"),
     )
-    return r.select(i.alias("report_id"), text.alias("html"))
+    # few rows, but much work in each
+    return r.select(i.alias("report_id"), text.alias("html")).repartition(4 * s.sparkContext.defaultParallelism, "report_id")
 
 
-def cells(s: SparkSession, d: str) -> DataFrame:
-    return html.cells(pages(s, d))
+def cells(s: SparkSession, d: str, statements: bool = False) -> DataFrame:
+    return html.cells(pages(s, d, statements))
 
 
 @query("src.html_file", REP + "SELECT id AS report_id, 14 AS tables FROM reports")
@@ -82,7 +82,7 @@ def src_html_file(s: SparkSession, d: str) -> DataFrame:
 
 @query("src.html_basic", REP + "SELECT id AS report_id, instance_name FROM reports")
 def src_html_basic(s: SparkSession, d: str) -> DataFrame:
-    return html.basic_metadata(pages(s, d)).select("report_id", "instance_name")
+    return html.basic_metadata(pages(s, d, False)).select("report_id", "instance_name")
 
 
 @query("src.headings", r"SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h[1-6]\b[^>]*>.*?</h[1-6]>')) FROM pages) GROUP BY 1")
@@ -135,21 +135,21 @@ def src_database_stats(s: SparkSession, d: str) -> DataFrame:
     return sections.database_stats(cells(s, d)).select("report_id", "db_name", "backends", "deadlocks", "blk_read_time", "stats_reset")
 
 
-STATEMENTS = "SELECT report_id, sql_id, sql_text, executions, buffer_gets, disk_reads, rows_processed, round(total_elapsed_time, 2) AS total_elapsed_time, rank_by_time AS rank_by_time FROM top_sqls WHERE rank_by_time <= 40"
+STATEMENTS = "SELECT report_id, sql_id, sql_text, executions, buffer_gets, disk_reads, rows_processed, round(total_elapsed_time, 2) AS total_elapsed_time, rank_by_time AS rank_by_time FROM top_sqls WHERE rank_by_time <= 200"
 COLS = ["report_id", "sql_id", "sql_text", "executions", "buffer_gets", "disk_reads", "rows_processed", "total_elapsed_time", "rank_by_time"]
 for _name in ("src.top_sql_core", "src.top_sql_row"):
-    query(_name, TOP + STATEMENTS)(lambda s, d: sections.top_sql(cells(s, d)).select(*COLS))
+    query(_name, TOP + STATEMENTS)(lambda s, d: sections.top_sql(cells(s, d, True)).select(*COLS))
 
 
-@query("src.top_sql_distinct", TOP + "SELECT report_id, count(*) AS n FROM top_sqls WHERE rank_by_time <= 40 GROUP BY 1")
+@query("src.top_sql_distinct", TOP + "SELECT report_id, count(*) AS n FROM top_sqls WHERE rank_by_time <= 200 GROUP BY 1")
 def src_top_sql_distinct(s: SparkSession, d: str) -> DataFrame:
-    t = sections.top_sql(cells(s, d))
+    t = sections.top_sql(cells(s, d, True))
     return sections.top_sql_distinct(t.unionByName(t)).groupBy("report_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 # rows of a page hold "0" where the second layout has its calls and times
-query("src.top_sql_row_v2", TOP + "SELECT report_id, sql_id, 0 AS executions, cpu_time AS total_elapsed_time FROM top_sqls WHERE rank_by_time <= 40")(lambda s, d: sections.top_sql(cells(s, d), "v2").select("report_id", "sql_id", F.col("executions").cast("int").alias("executions"), "total_elapsed_time"))
-query("src.top_sql_row_simple", TOP + "SELECT report_id, sql_id, round(total_elapsed_time, 2) AS executions FROM top_sqls WHERE rank_by_time <= 40")(lambda s, d: sections.rows(cells(s, d).filter("table_class = 'tdiff'")).select("report_id", *sections.statement_columns("simple"), sections.num(2).alias("e")).select("report_id", "sql_id", F.col("e").alias("executions")))
+query("src.top_sql_row_v2", TOP + "SELECT report_id, sql_id, 0 AS executions, cpu_time AS total_elapsed_time FROM top_sqls WHERE rank_by_time <= 200")(lambda s, d: sections.top_sql(cells(s, d, True), "v2").select("report_id", "sql_id", F.col("executions").cast("int").alias("executions"), "total_elapsed_time"))
+query("src.top_sql_row_simple", TOP + "SELECT report_id, sql_id, round(total_elapsed_time, 2) AS executions FROM top_sqls")(lambda s, d: sections.rows(cells(s, d, True).filter("table_class = 'tdiff'")).select("report_id", *sections.statement_columns("simple"), sections.num(2).alias("e")).select("report_id", "sql_id", F.col("e").alias("executions")))
 
 
 @query("src.sql_text", REP + "SELECT id AS report_id, CAST(id AS VARCHAR) AS sql_id, concat('SELECT 1', chr(10), 'FROM x & y') AS sql_text FROM reports")
@@ -164,7 +164,7 @@ def src_wait_events(s: SparkSession, d: str) -> DataFrame:
 
 @query("src.top_sql_header", REP + "SELECT id AS report_id, CAST(id AS VARCHAR) AS sql_id, 'ann' AS user_name, 1000.0::DOUBLE AS total_time, 4.0::DOUBLE AS calls, 250.0::DOUBLE AS avg_time, concat('SELECT 1', chr(10), 'FROM x & y') AS sql_text FROM reports")
 def src_top_sql_header(s: SparkSession, d: str) -> DataFrame:
-    p = pages(s, d)
+    p = pages(s, d, False)
     extra = F.concat(F.lit("<h3>SQL ordered by Elapsed Time</h3>"), table("", tr("Unique SQL Id", "User Name", "Total Elapse Time(us)", "Calls", head=True), tr(F.col("report_id"), "ann", "1,000", "4")))
     c = html.cells(p.select("report_id", F.replace("html", F.lit("</body>"), F.concat(extra, F.lit("</body>"))).alias("html")))
     return sections.top_sql_by_header(c, sections.sql_texts(c)).select("report_id", "sql_id", "user_name", "total_time", "calls", "avg_time", "sql_text")

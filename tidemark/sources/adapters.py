@@ -23,7 +23,7 @@ FROM {v_base} GROUP BY report_id, instance_name""",
  count(*) * (1 + p_size) AS executions, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DOUBLE) AS total_elapsed_time,
  CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS cpu_time,
  CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_tax AS DECIMAL(4,2))) AS DOUBLE) AS io_time,
- CAST(sum(l_quantity) AS BIGINT) * 1000 AS buffer_gets, CAST(sum(l_quantity * l_linenumber) AS BIGINT) * 100 AS disk_reads,
+ CAST(sum(l_quantity) AS BIGINT) * 20000 AS buffer_gets, CAST(sum(l_quantity * l_linenumber) AS BIGINT) * 2000 AS disk_reads,
  CAST(floor(CAST(sum(floor(l_extendedprice)) AS DOUBLE) * (p_size % 20) * (p_size % 20) / 20.0) AS BIGINT) AS rows_processed
 FROM {v_base} GROUP BY report_id, p_partkey, p_name, p_brand, p_type, p_size""",
     "top_sqls": """SELECT report_id * 100000 + p_partkey AS id, report_id, CAST(p_partkey AS {STR}) AS sql_id,
