@@ -1,7 +1,9 @@
 """Near duplicates of the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates share a band of MinHash values: 24 bands of 5 values miss a pair of similarity 0.8 with probability
-(1 - 0.8^5)^24 = 7e-5, more similar ones less. Every candidate pair is then compared by its shingle sets.
+The first candidates come from the SimHash operator: sets whose fingerprints its Golay keys find at most two bits
+apart. Sets of similarity 0.8 differ in about ten bits, which no key of it can reach, so all others share a band of
+MinHash values: 24 bands of 5 values miss a pair of similarity 0.8 with probability (1 - 0.8^5)^24 = 7e-5, more
+similar ones less. Every candidate pair is then compared by its shingle sets.
 Equal sets collapse before. Keys that many sets share are not expanded into all pairs at once: chains through
 small groups of each key are compared first, and then only pairs that the links found so far leave apart, which
 gives the same components.
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import text_chunks
 from tidemark.llm.common import checkpoint, row_key
 from tidemark.llm.components import connected_components
-from tidemark.llm.simhash import SEED, keep_one
+from tidemark.llm.simhash import SEED, keep_one, majority, near_edges
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 5
 #: Keys with more sets than PAIR_LIMIT are compared by ROUNDS of chains through groups of about CHAIN sets first.
@@ -83,11 +85,15 @@ def set_hash(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64)) if len(shingles) else 0
 
 
+def _marks(shingles: np.ndarray) -> tuple:
+    return set_hash(shingles), len(shingles), int(np.uint64(majority(shingles)).view(np.int64)), band_keys(shingles)
+
+
 def set_documents(docs: DataFrame) -> DataFrame:
-    """_k1, doc_id, text_hash, fp (hash of the shingle set), size of the set and band keys of every row of docs."""
+    """_k1, doc_id, text_hash, fp (hash of the shingle set), size and SimHash of the set and band keys of every row of docs."""
     k1, k2 = row_key(docs)
     given = [k1, F.col("doc_id").cast("long").alias("doc_id"), k2.alias("text_hash")]
-    return _map_texts(docs, given, lambda s: (set_hash(s), len(s), band_keys(s)), "_k1 long, doc_id long, text_hash long, fp long, size long, keys array<long>")
+    return _map_texts(docs, given, _marks, "_k1 long, doc_id long, text_hash long, fp long, size long, sim long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -111,45 +117,63 @@ def _pairs(x: DataFrame, a: str, b: str, at_least: float) -> DataFrame:
     return x.filter(apart & fits).select(F.least(f"{a}.fp", f"{b}.fp").alias("a"), F.greatest(f"{a}.fp", f"{b}.fp").alias("b")).distinct()
 
 
-def similar_edges(live: DataFrame, sets: DataFrame, at_least: float = SIMILAR, pair_limit: int = PAIR_LIMIT, chain: int = CHAIN, rounds: int = ROUNDS) -> DataFrame:
-    """Edges (a, b) that join all sets that share a key and are similar, directly or through others; no other edge.
+def simhash_pairs(sets: DataFrame, at_least: float = SIMILAR) -> DataFrame:
+    """Candidates (a, b) of the SimHash operator among sets (distinct fp, size, sim).
+
+    The least set of a fingerprint stands for it: it meets the other sets of that fingerprint and the least
+    sets of the fingerprints that near_edges() links to it.
+    """
+    one = F.struct("fp", "size", F.col("fp").alias("root"))
+    heads = checkpoint(sets.groupBy("sim").agg(F.min(one).alias("p")))
+    same = sets.join(heads, "sim").select("p", one.alias("q"))
+    links = near_edges(heads.select(F.col("sim").alias("fp")))
+    near = links.join(heads.withColumnRenamed("sim", "a"), "a").join(heads.select(F.col("sim").alias("b"), F.col("p").alias("q")), "b").select("p", "q")
+    return _pairs(same.unionByName(near), "p", "q", at_least)
+
+
+def similar_roots(live: DataFrame, sets: DataFrame, given: DataFrame, at_least: float = SIMILAR, pair_limit: int = PAIR_LIMIT, chain: int = CHAIN, rounds: int = ROUNDS) -> DataFrame:
+    """(fp, root) of all sets but the roots, in the components of the similar sets that share a key or are a pair of given.
 
-    live: key, fp, size and n, the number of sets that share the key.
+    live: key, fp, size and n, the number of sets that share the key. given: further candidates (a, b).
     """
     one = F.struct("fp", "size", "root")
     few = live.filter(F.col("n") <= pair_limit).withColumn("root", F.col("fp")).groupBy("key").agg(F.collect_list(one).alias("x"))
     few = few.select(F.explode("x").alias("p"), "x").select("p", F.explode("x").alias("q")).filter("p.fp < q.fp")
-    compared = checkpoint(_pairs(few, "p", "q", at_least))
-    edges = checkpoint(similar(compared, sets, at_least))
+    compared = checkpoint(_pairs(few, "p", "q", at_least).unionByName(given).distinct())
+    roots = connected_components(similar(compared, sets, at_least)).withColumnRenamed("node", "fp")
     crowd = checkpoint(live.filter(F.col("n") > pair_limit))
-    if crowd.isEmpty():
-        return edges
 
     def apart() -> DataFrame:
-        """Rows of keys whose sets the edges leave in several components; most: the root of the most of them."""
-        rooted = crowd.join(connected_components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        rooted = checkpoint(rooted)
+        """Rows of keys whose sets still lie in several components; most: the root of the most of them."""
+        rooted = checkpoint(crowd.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
         split = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("m", "root")).alias("most"))
-        return rooted.join(split.filter("roots > 1").drop("roots"), "key")
+        return checkpoint(rooted.join(split.filter("roots > 1").drop("roots"), "key"))
 
     def compare(pairs: DataFrame) -> None:
-        nonlocal compared, edges
+        """Links among pairs not compared so far join the stars of the components known."""
+        nonlocal compared, roots
         new = checkpoint(pairs.join(compared, ["a", "b"], "left_anti"))
-        edges = checkpoint(edges.unionByName(similar(new, sets, at_least)))
-        compared = checkpoint(compared.unionByName(new))
-
-    for t in range(rounds):
-        # like places on one circle for all keys, so that keys of the same sets give the same chains
-        place = F.pmod(F.xxhash64(F.lit(t), "fp"), F.lit(1 << 30))
-        dealt = apart().withColumn("place", place).withColumn("group", (F.col("place") * F.ceil(F.col("n") / chain) / (1 << 30)).cast("int"))
-        rows = dealt.groupBy("key", "group").agg(F.array_sort(F.collect_list(F.struct("place", "fp", "size", "root"))).alias("x"))
-        steps = rows.filter("size(x) > 1").select(F.explode(F.expr("arrays_zip(slice(x, 1, size(x) - 1), slice(x, 2, size(x) - 1))")).alias("z"))
-        compare(_pairs(steps.select(F.col("z")["0"].alias("p"), F.col("z")["1"].alias("q")), "p", "q", at_least))
-    left = checkpoint(apart())
-    # of two sets in different components at least one lies outside the key's largest
-    p = left.filter("root != most").select("key", one.alias("p"))
-    compare(_pairs(p.join(left.select("key", one.alias("q")), "key"), "p", "q", at_least))
-    return edges
+        found = checkpoint(similar(new, sets, at_least))
+        compared = compared.unionByName(new)
+        if not found.isEmpty():
+            roots = connected_components(roots.select(F.col("fp").alias("a"), F.col("root").alias("b")).unionByName(found)).withColumnRenamed("node", "fp")
+
+    for t in range(rounds + 1):
+        left = apart()
+        if left.isEmpty():
+            break
+        if t < rounds:
+            # like places on one circle for all keys, so that keys of the same sets give the same chains
+            place = F.pmod(F.xxhash64(F.lit(t), "fp"), F.lit(1 << 30))
+            dealt = left.withColumn("place", place).withColumn("group", (F.col("place") * F.ceil(F.col("n") / chain) / (1 << 30)).cast("int"))
+            rows = dealt.groupBy("key", "group").agg(F.array_sort(F.collect_list(F.struct("place", "fp", "size", "root"))).alias("x"))
+            steps = rows.filter("size(x) > 1").select(F.explode(F.expr("arrays_zip(slice(x, 1, size(x) - 1), slice(x, 2, size(x) - 1))")).alias("z"))
+            compare(_pairs(steps.select(F.col("z")["0"].alias("p"), F.col("z")["1"].alias("q")), "p", "q", at_least))
+        else:
+            # of two sets in different components at least one lies outside the key's largest
+            p = left.filter("root != most").select("key", one.alias("p"))
+            compare(_pairs(p.join(left.select("key", one.alias("q")), "key"), "p", "q", at_least))
+    return roots
 
 
 def members(docs: DataFrame, at_least: float = SIMILAR) -> DataFrame:
@@ -159,8 +183,10 @@ def members(docs: DataFrame, at_least: float = SIMILAR) -> DataFrame:
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     live = checkpoint(keys.join(shared, "key"))
     first = prints.groupBy("fp").agg(F.min(F.struct("_k1", F.col("text_hash").alias("_k2"))).alias("r")).select("fp", "r._k1", "r._k2")
-    sets = checkpoint(shingle_sets(docs, first.join(live.select("fp").distinct(), "fp")))
-    roots = checkpoint(connected_components(similar_edges(live, sets, at_least)).withColumnRenamed("node", "fp"))
+    given = checkpoint(simhash_pairs(prints.select("fp", "size", "sim").distinct(), at_least))
+    wanted = live.select("fp").unionByName(given.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
+    sets = checkpoint(shingle_sets(docs, first.join(wanted, "fp")))
+    roots = similar_roots(live, sets, given, at_least)
     return prints.select("doc_id", "fp", "text_hash").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 

@@ -43,7 +43,11 @@ def fingerprint(text: str, width: int = SHINGLE) -> int:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
+    return majority(np.fromiter((digest(s, SEED) for s in shingles), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of some 64-bit hashes set; none: zero."""
     ones = np.zeros(64, np.int64)
     for a in range(0, len(h), 8192):
         bits = np.unpackbits(h[a : a + 8192, None].view(np.uint8), axis=1, bitorder="little")
