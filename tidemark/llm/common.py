@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder: compressed, and later reads take only the columns they need."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A key with more than one of this many rows is heavy, so there are at most this many heavy keys.
+HEAVY = 1 << 16
+
+
 def ascii_lower(s: Column) -> Column:
     """A-Z lower-cased, all else kept. Pure ASCII strings take the fast path, where lower() does the same."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

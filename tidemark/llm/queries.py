@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, ego, kdshard, linededup, packing, pii, quality, simhash, vptree, warc
+from tidemark.llm import align, bpe, ego, kdshard, linededup, merkle, packing, pii, quality, simhash, vptree, warc
 from tidemark.llm.common import table
 
 
@@ -62,6 +62,16 @@ def op10_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ego.link(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,10 +79,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_warc_derivatives, op2_information_pii, op3_line_dedup, op4_sum_of_squares_packing, op5_byte_conv_quality, op6_golay_simhash, op7_kd_sharding, op8_vp_tree_search, op9_byte_bpe, op10_grid_order_join)
+    ops = (op1_warc_derivatives, op2_information_pii, op3_line_dedup, op4_sum_of_squares_packing, op5_byte_conv_quality, op6_golay_simhash, op7_kd_sharding, op8_vp_tree_search, op9_byte_bpe, op10_grid_order_join, op11_merkle_manifest, op13_tokenizer_alignment)
     return {f.__name__: f for f in (*ops, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others are tested against brute force, round trips or held-out labels in tests/llm."""
-    return {"op3_line_dedup": linededup.DIGEST_SQL}
+    return {"op3_line_dedup": linededup.DIGEST_SQL, "op11_merkle_manifest": merkle.manifest_sql()}
