@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import align, bpe, ego, kdshard, linededup, merkle, packing, pii, quality, simhash, vptree, warc
+from tidemark.llm import align, bpe, ego, extract, kdshard, linededup, merkle, packing, pii, quality, simhash, vptree, warc
 from tidemark.llm.common import table
 
 
@@ -66,6 +66,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_warc_derivatives, op2_information_pii, op3_line_dedup, op4_sum_of_squares_packing, op5_byte_conv_quality, op6_golay_simhash, op7_kd_sharding, op8_vp_tree_search, op9_byte_bpe, op10_grid_order_join, op11_merkle_manifest, op13_tokenizer_alignment)
+    ops = (op1_warc_derivatives, op2_information_pii, op3_line_dedup, op4_sum_of_squares_packing, op5_byte_conv_quality, op6_golay_simhash, op7_kd_sharding, op8_vp_tree_search, op9_byte_bpe, op10_grid_order_join, op11_merkle_manifest, op12_template_extraction, op13_tokenizer_alignment)
     return {f.__name__: f for f in (*ops, pipeline)}
 
 
