@@ -2,8 +2,7 @@
 
 Python runs only to tokenise: it returns the ids of both tokenizers and the byte offset at which each token ends.
 All else is done by higher-order functions. array_intersect of the two end arrays gives the common ends, which cut both
-token rows into groups; where the ends lie in each row is found by sorting the ends, packed with their places, together
-with the common ones. A sequence over the groups then slices and joins their ids, and zip_with gives the linked id
+token rows into groups; where the common ends lie in each row is found by sorting them in among all of its ends. A sequence over the groups then slices and joins their ids, and zip_with gives the linked id
 pairs. Pairs are counted over the corpus with partial aggregation; documents get the counts back by a join in which
 the pairs that fill the corpus are broadcast (at most 65,536 of them, by their share) and the others are shuffled.
 """
@@ -12,9 +11,10 @@ from __future__ import annotations
 
 import base64
 import itertools
+import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,24 +30,48 @@ from tidemark.llm.packing import byte_symbols
 B_BITS = 16
 #: No array holds a null, so Spark sorts and intersects them as plain integers.
 TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.ArrayType(T.IntegerType(), False), False) for c in ("a_ids", "a_ends", "b_ids", "b_ends")]])
-#: Words in a worker's cache, twice at most, and the longest one that goes there.
-CACHE_WORDS, CACHED_CHARS = 250_000, 200
+#: Words in a worker's cache, twice at most, the longest one that goes there, and characters encoded at a time.
+CACHE_WORDS, CACHED_CHARS, CHUNK_CHARS = 120_000, 100, 400_000
 
 
+MISSING = object()
 #: A space between two characters that are no white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-def byte_level_tokens(path: str) -> tuple[object, dict[int, bytes]]:
-    """The tokenizer of a byte-level BPE file, and the bytes of each of its tokens."""
+def byte_level_tokens(path: str) -> dict[int, bytes]:
+    """The bytes of each token of a byte-level BPE file."""
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    value = {c: b for b, c in enumerate(byte_symbols())}
+    return {i: bytes(map(value.__getitem__, t)) for t, i in vocab.items() if all(c in value for c in t)}
+
+
+def byte_level_encoder(path: str, tokens: dict[int, bytes]) -> Callable[[list[str]], list[list[int]]]:
+    """Ids of texts by a byte-level BPE file, strings of special tokens as plain text.
+
+    If the same vocabulary lies beside it as ranks, that file is used: several times as fast, with the same ids.
+    """
+    ranks = os.path.splitext(path)[0] + ".tiktoken"
+    if os.path.exists(ranks):
+        import public_tokenizers
+        import tiktoken
+
+        with open(ranks, "rb") as f:
+            merges = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
+        if all(tokens.get(i) == t for t, i in merges.items()):
+            encode = tiktoken.Encoding("pair", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
+            return lambda texts: list(map(encode, texts))
+    return library_encoder(path)
+
+
+def library_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    value = {c: b for b, c in enumerate(byte_symbols())}
-    plain = {i: t for t, i in tokenizer.get_vocab(with_added_tokens=False).items()}
-    return tokenizer, {i: bytes(map(value.__getitem__, t)) for i, t in plain.items() if all(c in value for c in t)}
+    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def piece_tokens(path: str) -> tuple[object, dict[int, bytes]]:
@@ -63,58 +87,58 @@ class TokenPair:
     """Both tokenizers of a worker."""
 
     def __init__(self, a_file: str, b_file: str) -> None:
-        self.a, a_bytes = byte_level_tokens(a_file)
+        a_bytes = byte_level_tokens(a_file)
+        self.a = byte_level_encoder(a_file, a_bytes)
         self.b, b_bytes = piece_tokens(b_file)
-        self.bytes = (self._table(a_bytes), self._table(b_bytes))
-        self.lengths = tuple(np.array([len(t) for t in table], np.int64) for table in self.bytes)
-        self.fast = self._ranked(a_file, a_bytes)
+        self.bytes = [[tokens.get(i, b"") for i in range(max(tokens) + 1)] for tokens in (a_bytes, b_bytes)]
+        self.lengths = [np.array([len(t) for t in table], np.int32) for table in self.bytes]
         self.cut = not any(re.search(r"\S ", t.decode(errors="replace")) for table in self.bytes for t in table)
         self.cache: dict[str, tuple[bytes, bytes] | None] = {}
         self.older: dict[str, tuple[bytes, bytes] | None] = {}
 
-    @staticmethod
-    def _table(tokens: dict[int, bytes]) -> list[bytes]:
-        return [tokens.get(i, b"") for i in range(max(tokens) + 1)]
-
-    @staticmethod
-    def _ranked(a_file: str, tokens: dict[int, bytes]) -> object | None:
-        """The same vocabulary as ranks, if the file lies beside: several times as fast, with the same ids."""
-        ranks = os.path.splitext(a_file)[0] + ".tiktoken"
-        if not os.path.exists(ranks):
-            return None
-        import public_tokenizers
-        import tiktoken
-
-        with open(ranks, "rb") as f:
-            merges = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
-        if merges != {t: i for i, t in tokens.items()}:
-            return None
-        return tiktoken.Encoding("pair", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-
     def _direct(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Ids of both sides of each text, little-endian; None where the bytes of one side are not those of the text."""
         spaced = [" " + t for t in texts]
-        if self.fast:
-            a_all = [self.fast.encode_ordinary(t) for t in spaced]
-        else:
-            a_all = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
         out = []
-        for s, ids in zip(spaced, zip(a_all, self.b.encode(texts, num_threads=1))):
+        for s, ids in zip(spaced, zip(self.a(spaced), self.b.encode(texts, num_threads=1))):
             whole = s.encode()
             same = all(b"".join(map(t.__getitem__, i)) == whole for t, i in zip(self.bytes, ids))
             out.append(tuple(np.array(i, "<i4").tobytes() for i in ids) if same else None)
         return out
 
+    def _joined(self, words: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """_direct for words without white space at their ends, all in one text: their tokens end where they end."""
+        if not words:
+            return []
+        text = " ".join(words)
+        whole = (" " + text).encode()
+        ends = np.array([len(w) if w.isascii() else len(w.encode()) for w in words], np.int64).cumsum() + np.arange(1, len(words) + 1)
+        sides = []
+        for ids, table, lengths in zip((self.a([" " + text])[0], self.b.encode(text)), self.bytes, self.lengths):
+            if b"".join(map(table.__getitem__, ids)) != whole:
+                return self._direct(words)
+            ids = np.array(ids, "<i4")
+            at = lengths[ids].cumsum(dtype=np.int64)
+            last = np.searchsorted(at, ends)
+            if not np.array_equal(at[last], ends):
+                return self._direct(words)
+            data, cuts = ids.tobytes(), ((last + 1) * 4).tolist()
+            sides.append([data[x:y] for x, y in zip([0, *cuts], cuts)])
+        return list(zip(*sides))
+
     def _chunked(self, texts: list[list[str]]) -> list[list[tuple[bytes, bytes] | None]]:
         """_direct for each chunk of each text, chunks in use kept in a cache of two halves."""
         flat = [c for t in texts for c in t]
         if len(self.cache) > CACHE_WORDS:
             self.cache, self.older = {}, self.cache
-        found = list(map(self.cache.get, flat, itertools.repeat(0)))
-        gaps = [i for i, x in enumerate(found) if x == 0]
-        missing = list({flat[i] for i in gaps})
+        found = list(map(self.cache.get, flat, itertools.repeat(MISSING)))
+        gaps = [i for i, x in enumerate(found) if x is MISSING]
+        missing = {flat[i] for i in gaps}
         new = {c: self.older[c] for c in missing if c in self.older}
-        rest = [c for c in missing if c not in new]
+        missing.difference_update(new)
+        words = [c for c in missing if not c[0].isspace() and not c[-1].isspace()]
+        rest = list(missing.difference(words))
+        new.update(zip(words, self._joined(words) if self.cut else self._direct(words)))
         new.update(zip(rest, self._direct(rest)))
         for i in gaps:
             found[i] = new[flat[i]]
@@ -150,7 +174,7 @@ def tokenised(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
         key = (a_file, b_file)
         _PAIRS[key] = _PAIRS.get(key) or TokenPair(*key)
         kind = pa.list_(pa.field("element", pa.int32(), False))
-        for keys, texts in text_chunks(batches):
+        for keys, texts in text_chunks(batches, CHUNK_CHARS):
             columns = zip(*_PAIRS[key].encode(texts))
             yield pa.record_batch([pa.array(keys, pa.int64()), *[pa.array(list(c), kind) for c in columns]], TOKENS.names)
 
@@ -158,35 +182,34 @@ def tokenised(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
 
 
 def _places(ends: str) -> str:
-    """SQL: places (from 0) of the common ends in an array of ends, in order.
+    """SQL: the numbers p at which ends and common, sorted together, hold a value twice.
 
-    The ends, each with its place in the lower 32 bits, are sorted together with the common ones, which have all lower
-    bits set: a token ends at a common end if the next number is its own with these bits set.
+    The r-th common end (from 0) then stands at place p - r of ends.
     """
-    return f"sort_array(concat(transform({ends}, (e, i) -> shiftleft(bigint(e), 32) | i), transform(common, e -> shiftleft(bigint(e), 32) | 4294967295)))"
+    return f"filter(sequence(0, size({ends}) - 2), p -> {ends}[p] = {ends}[p + 1])"
 
 
 def _slice(ids: str, at: str) -> str:
-    """SQL: the ids of group g, joined by commas."""
-    begin = f"(CASE WHEN g = 0 THEN 0 ELSE {at}[g - 1] + 1 END)"
-    return f"CASE WHEN {at}[g] = {begin} THEN {ids}[{at}[g]] ELSE array_join(slice({ids}, {begin} + 1, {at}[g] + 1 - {begin}), ',') END"
+    """SQL: the ids of group g, joined by commas; a group of one is the usual case."""
+    begin = f"coalesce(get({at}, g - 1) + 1, 0)"
+    return f"CASE WHEN {at}[g] = {begin} THEN string({ids}[{at}[g]]) ELSE array_join(cast(slice({ids}, {begin} + 1, {at}[g] + 1 - {begin}) AS array<string>), ',') END"
 
 
 def groups(tokens: DataFrame) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and pairs (array of a_id * 65536 + b_id, one a link)."""
     step = tokens.withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    step = step.withColumns({"a_sorted": F.expr(_places("a_ends")), "b_sorted": F.expr(_places("b_ends"))})
-    found = "transform(filter({0}, (x, p) -> get({0}, p + 1) = (x | 4294967295)), x -> int(x & 4294967295))"
-    step = step.withColumns({"a_at": F.expr(found.format("a_sorted")), "b_at": F.expr(found.format("b_sorted")), "a_text": F.col("a_ids").cast("array<string>"), "b_text": F.col("b_ids").cast("array<string>")})
-    n = F.size("common").cast("long")
-    text = f"array_join(transform(sequence(0, size(common) - 1), g -> concat({_slice('a_text', 'a_at')}, '|', {_slice('b_text', 'b_at')})), ';')"
+    both = {f"{x}_both": F.sort_array(F.concat(f"{x}_ends", "common")) for x in "ab"}
+    step = step.select("doc_id", "a_ids", "b_ids", F.size("common").cast("long").alias("n"), *[c.alias(k) for k, c in both.items()])
+    none = "CASE WHEN n = 0 THEN cast(array() AS array<int>) ELSE transform({0}, (p, r) -> p - r) END"
+    step = step.select("doc_id", "a_ids", "b_ids", "n", *[F.expr(none.format(_places(f"{x}_both"))).alias(f"{x}_at") for x in "ab"])
+    text = f"array_join(transform(sequence(0, int(n) - 1), g -> concat({_slice('a_ids', 'a_at')}, '|', {_slice('b_ids', 'b_at')})), ';')"
     return step.select(
         "doc_id",
         F.size("a_ids").cast("long").alias("n_a"),
         F.size("b_ids").cast("long").alias("n_b"),
-        n.alias("n_groups"),
-        n.alias("n_links"),
-        F.when(n == 0, F.lit("")).otherwise(F.sha2(F.expr(text), 256)).alias("groups_sha256"),
+        F.col("n").alias("n_groups"),
+        F.col("n").alias("n_links"),
+        F.when(F.col("n") == 0, F.lit("")).otherwise(F.sha2(F.expr(text), 256)).alias("groups_sha256"),
         F.expr(f"zip_with(a_at, b_at, (x, y) -> shiftleft(bigint(a_ids[x]), {B_BITS}) | b_ids[y])").alias("pairs"),
     )
 
