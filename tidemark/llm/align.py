@@ -2,7 +2,7 @@
 
 Python runs only to tokenise: it returns the ids of both tokenizers and the byte offset at which each token ends.
 All else is done by higher-order functions. array_intersect of the two end arrays gives the common ends, which cut both
-token rows into groups; where the common ends lie in each row is found by sorting them in among all of its ends. A sequence over the groups then slices and joins their ids, and zip_with gives the linked id
+token rows into groups; where the common ends lie in each row is found by sorting them in among all of its ends. A sequence over the groups then joins their ids, and zip_with gives the linked id
 pairs. Pairs are counted over the corpus with partial aggregation; documents get the counts back by a join in which
 the pairs that fill the corpus are broadcast (at most 65,536 of them, by their share) and the others are shuffled.
 """
@@ -189,10 +189,13 @@ def _places(ends: str) -> str:
     return f"filter(sequence(0, size({ends}) - 2), p -> {ends}[p] = {ends}[p + 1])"
 
 
-def _slice(ids: str, at: str) -> str:
-    """SQL: the ids of group g, joined by commas; a group of one is the usual case."""
+def _ids(ids: str, at: str) -> str:
+    """SQL: the ids of group g, joined by commas; a group of one is the usual case.
+
+    A sequence names the places: slice() would copy the whole array for each group.
+    """
     begin = f"coalesce(get({at}, g - 1) + 1, 0)"
-    return f"CASE WHEN {at}[g] = {begin} THEN string({ids}[{at}[g]]) ELSE array_join(cast(slice({ids}, {begin} + 1, {at}[g] + 1 - {begin}) AS array<string>), ',') END"
+    return f"CASE WHEN {at}[g] = {begin} THEN string({ids}[{at}[g]]) ELSE array_join(transform(sequence({begin}, {at}[g]), i -> string({ids}[i])), ',') END"
 
 
 def groups(tokens: DataFrame) -> DataFrame:
@@ -202,7 +205,7 @@ def groups(tokens: DataFrame) -> DataFrame:
     step = step.select("doc_id", "a_ids", "b_ids", F.size("common").cast("long").alias("n"), *[c.alias(k) for k, c in both.items()])
     none = "CASE WHEN n = 0 THEN cast(array() AS array<int>) ELSE transform({0}, (p, r) -> p - r) END"
     step = step.select("doc_id", "a_ids", "b_ids", "n", *[F.expr(none.format(_places(f"{x}_both"))).alias(f"{x}_at") for x in "ab"])
-    text = f"array_join(transform(sequence(0, int(n) - 1), g -> concat({_slice('a_ids', 'a_at')}, '|', {_slice('b_ids', 'b_at')})), ';')"
+    text = f"array_join(transform(sequence(0, int(n) - 1), g -> concat({_ids('a_ids', 'a_at')}, '|', {_ids('b_ids', 'b_at')})), ';')"
     return step.select(
         "doc_id",
         F.size("a_ids").cast("long").alias("n_a"),
