@@ -3,18 +3,16 @@
 A node row is (plan_id, node_id, parent_id, depth, path, operation, startup_cost, total_cost, est_rows, width,
 actual_time, actual_rows, loops, details, ext_id). Text and tabular plans are parsed by Column expressions:
 the lines of a plan form one array, the parent of a node is the last earlier node with a smaller indent, and
-depth and path are folded over the array, so no plan is shuffled. JSON plans are walked in Python.
+depth and path are folded over the array, so no plan is shuffled. JSON plans are walked by json_plans.py.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.json_plans import parse_json
+
 COST = r"\(cost=([0-9.]+)\.\.([0-9.]+)\s+rows=([0-9]+)(?:\s+width=([0-9]+))?"
 ACTUAL = r"\(actual time=([0-9.]+)\.\.([0-9.]+)\s+rows=([0-9]+)\s+loops=([0-9]+)\)"
 IGNORED = r"(?i)^\s*(set\s|explain[\s(]|select\s|insert\s|update\s|delete\s|create\s|drop\s|with\s|--|-+\s*$|=+\s*$|query plan|\(\d+ rows?\)|gaussdb=#|total runtime|planning time|execution time)"
@@ -129,54 +127,6 @@ def parse_tabular(plans: DataFrame) -> DataFrame:
     return _explode(barrier(out.withColumn("starts", starts)).withColumn("nodes", F.expr(nodes)).select("plan_id", "nodes"))
 
 
-SCHEMA = "plan_id long, node_id int, parent_id int, depth int, path array<int>, operation string, startup_cost double, total_cost double, est_rows long, width long, actual_time double, actual_rows long, loops long, details string, ext_id string"
-#: Property names of JSON plans; the second names are those of the engine's own node form.
-JSON_KEYS = {"operation": ("Node Type", "operation"), "startup_cost": ("Startup Cost",), "total_cost": ("Total Cost", "cost"), "est_rows": ("Plan Rows", "rows"), "width": ("Plan Width", "width"), "actual_rows": ("Actual Rows", "actual_rows"), "actual_time": ("Actual Total Time", "actual_time"), "loops": ("Actual Loops",)}
-JSON_DETAILS = ("Filter", "Index Cond", "Hash Cond", "Join Filter", "Join Type", "Index Name", "Sort Key")
-
-
-def walk_json(plan_id: int, text: str) -> list[tuple]:
-    """Node rows of one JSON plan, in pre-order; none if the text is no plan."""
-    try:
-        data = json.loads(text)
-    except (TypeError, ValueError):
-        return []
-    data = data[0] if isinstance(data, list) and data else data
-    root = data.get("Plan", data) if isinstance(data, dict) else None
-    out: list[tuple] = []
-    stack = [(root, None, 0, [0])] if isinstance(root, dict) else []
-    while stack:
-        node, parent, depth, path = stack.pop()
-        get = {k: next((node[n] for n in names if n in node), None) for k, names in JSON_KEYS.items()}
-        op = str(get["operation"] or "")
-        if index := node.get("Index Name"):
-            op += f" using {index}"
-        if relation := node.get("Relation Name"):
-            op += f" on {relation}"
-        real = lambda x: float(x) if isinstance(x, (int, float)) else None
-        whole = lambda x: int(x) if isinstance(x, (int, float)) else None
-        details = "\n".join(f"{k}: {node[k]}" for k in JSON_DETAILS if k in node)
-        me = len(out)
-        out.append((plan_id, me, parent, depth, path, op, real(get["startup_cost"]), real(get["total_cost"]), whole(get["est_rows"]), whole(get["width"]), real(get["actual_time"]), whole(get["actual_rows"]), whole(get["loops"]), details, None))
-        children = [c for c in node.get("Plans", node.get("children")) or [] if isinstance(c, dict)]
-        stack += [(c, me, depth + 1, [*path, i]) for i, c in reversed(list(enumerate(children)))]
-    return out
-
-
-def parse_json(plans: DataFrame) -> DataFrame:
-    """Nodes of plans in JSON form: an object with Plan, a list of one, or the engine's own node form."""
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [r for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in walk_json(i, t)]
-            if rows:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-    return plans.select("plan_id", "plan_text").mapInArrow(run, SCHEMA)
-
-
 def parse_plans(plans: DataFrame) -> DataFrame:
     """Nodes of plans in any of the three forms."""
     kind = plan_format(F.col("plan_text"))
@@ -193,23 +143,38 @@ def split_sql_and_plan(texts: DataFrame) -> DataFrame:
     return out.select("plan_id", sql.alias("sql_text"), F.expr("array_join(slice(lines, cut + 1, size(lines)), '\n')").alias("plan_text"))
 
 
+#: Lines that separate two plans, in the order in which they are tried.
+SEPARATORS = ("^-{10,}$", "^={10,}$", "(?i)^Plan *2:?$", "(?i)^Optimized *Plan:?$")
+
+
 def split_two(texts: DataFrame) -> DataFrame:
-    """plan_id, left_text, right_text: one text cut into two plans, the second empty if there is none.
+    """plan_id, left_text, right_text: one text cut into two plans, the second empty if there is none. Null counts as empty.
 
-    Cut before the second EXPLAIN, else before the second table header, else before the second root that
-    stands more than ten lines after the first, else at a separator line.
+    The first rule that finds two plans cuts: before the second EXPLAIN; before the second table header; before the
+    first root that stands more than ten lines after the first root, with all from the first blank or comment line
+    between them on (a lone hyphen ends the search); at separator lines, of which the first kind with two parts of over 20 characters decides.
     """
-    lines = F.split("plan_text", "\r?\n")
+    lines = F.split(F.coalesce("plan_text", F.lit("")), "\n")
     at = lambda p: rf"filter(transform(lines, (x, i) -> CASE WHEN x RLIKE '{p}' THEN i END), z -> z IS NOT NULL)"
-    explain, header, root = at(r"(?i)^\\s*explain\\b"), at(r"(?i)id\\s*[|]\\s*operation"), at(r"^\\s{0,2}[a-zA-Z].+\\((cost|actual time)=|^\\s*1\\s*[|]")
-    separator = at(r"(?i)^(-{10,}|={10,}|Plan\\s*2:?|Optimized\\s*Plan:?)\\s*$")
-    out = barrier(texts.select("plan_id", lines.alias("lines"))).withColumn("e", F.expr(explain)).withColumn("h", F.expr(header)).withColumn("r", F.expr(root)).withColumn("s", F.expr(separator))
-    apart = "get(filter(r, z -> z > r[0] + 10), 0)"
-    # blank and comment lines right before the second root go with it
-    cut = F.expr(f"coalesce(get(e, 1), get(h, 1), CASE WHEN size(r) > 1 THEN {apart} END, CASE WHEN size(s) > 0 THEN s[0] END)")
-    half = lambda a, n: F.expr(rf"trim(regexp_replace(array_join(slice(lines, {a}, {n}), '\n'), '^[-=]{{10,}}\\s*\n', ''))")
-    out = barrier(barrier(out).withColumn("cut", cut))
-    return out.select("plan_id", F.when(F.col("cut").isNull(), F.array_join("lines", "\n")).otherwise(half("1", "cut")).alias("left_text"), F.when(F.col("cut").isNull(), F.lit("")).otherwise(half("cut + 1", "size(lines)")).alias("right_text"))
+    found = {"e": at(r"(?i)^\\s*explain\\s+"), "h": at(r"(?i)id\\s*[|]\\s*operation"), "r": at(r"^\\s{0,2}[a-zA-Z].+[(](cost|actual time)=|^\\s*1\\s*[|]")}
+    out = barrier(barrier(texts.select("plan_id", lines.alias("lines"))).withColumns({k: F.expr(v) for k, v in found.items()}))
+    out = barrier(out.withColumn("root", F.expr("get(filter(r, z -> z > get(r, 0) + 10), 0)")))
+    # the last lone hyphen between the roots, and the first of the blank and comment lines after it
+    ruler = "coalesce(array_max(filter(transform(slice(lines, 1, root), (x, i) -> CASE WHEN i > get(r, 0) AND trim(x) RLIKE '^-+$' AND NOT startswith(trim(x), '--') THEN i END), z -> z IS NOT NULL)), get(r, 0))"
+    out = barrier(out.withColumn("ruler", F.expr(ruler)))
+    back = "coalesce(array_min(filter(transform(slice(lines, 1, root), (x, i) -> CASE WHEN i > ruler AND (trim(x) = '' OR startswith(trim(x), 'set explain') OR startswith(trim(x), '--')) THEN i END), z -> z IS NOT NULL)), root)"
+    out = barrier(out.withColumn("cut", F.expr(f"coalesce(get(e, 1), get(h, 1), {back})")))
+    text = lambda a, n: rf"trim(BOTH ' \t\r\n' FROM array_join(slice(lines, {a}, {n}), '\n'))"
+    ends = lambda p: f"concat(array(-1), {at(p)}, array(size(lines)))"
+    pieces = [f"filter(transform(slice({ends(p)}, 2, size(lines) + 1), (b, k) -> {text(f'get({ends(p)}, k) + 2', f'b - get({ends(p)}, k) - 1')}), t -> length(t) > 20)" for p in SEPARATORS]
+    out = barrier(out.withColumn("pieces", F.when(F.col("cut").isNull(), F.expr(f"get(filter(array({', '.join(pieces)}), p -> size(p) > 1), 0)"))))
+    left, right = F.expr(text("1", "cut")), F.expr(text("cut + 1", "size(lines)"))
+    by_line = F.col("cut").isNotNull()
+    return out.select(
+        "plan_id",
+        F.when(by_line, left).when(F.col("pieces").isNotNull(), F.get("pieces", F.lit(0))).otherwise(F.array_join("lines", "\n")).alias("left_text"),
+        F.when(by_line, right).when(F.col("pieces").isNotNull(), F.get("pieces", F.lit(1))).otherwise(F.lit("")).alias("right_text"),
+    )
 
 
 def text_of(nodes: DataFrame) -> DataFrame:

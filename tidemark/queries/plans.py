@@ -6,12 +6,12 @@ gives what the parsed plans must give.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
 from tidemark.operators import audit, facade
-from tidemark.plans import analysis, lint, parse
+from tidemark.plans import analysis, dialects, json_plans, lint, parse
 from tidemark.queries import query
 from tidemark.sources.adapters import duckdb_ctes as ctes
 from tidemark.sources.adapters import load
@@ -39,21 +39,123 @@ def tabular(s: SparkSession, d: str) -> DataFrame:
     return rows.select("plan_id", F.concat(head, F.array_join(F.expr("transform(l, x -> x.line)"), "\n"), F.lit("\n\n Predicate Information (identified by plan id)\n ---\n"), pred).alias("plan_text"))
 
 
-def documents(s: SparkSession, d: str) -> DataFrame:
-    """plan_id, plan_text: JSON form of two nodes of the same plans."""
-    t = load(s, d, "plan_truth").filter("node_id < 2").groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "operation", "total_cost", "est_rows"))).alias("l"))
-    child = "named_struct('Node Type', l[1].operation, 'Total Cost', l[1].total_cost, 'Plan Rows', l[1].est_rows)"
-    return t.select("plan_id", F.to_json(F.expr(f"array(named_struct('Plan', named_struct('Node Type', l[0].operation, 'Total Cost', l[0].total_cost, 'Plan Rows', l[0].est_rows, 'Plans', array({child}))))")).alias("plan_text"))
-
-
 FULL = "SELECT plan_id, node_id, parent_id, depth, operation, total_cost, est_rows, width, actual_time, actual_rows FROM plan_truth"
 FULL_COLS = ["plan_id", "node_id", "parent_id", "depth", "operation", "total_cost", "est_rows", "width", "actual_time", "actual_rows"]
-for _name in ("plan.parse_text_ui", "plan.parse_text_core", "plan.parse_diff", "plan.get"):
+for _name in ("plan.parse_text_ui", "plan.get"):
     query(_name, PT + FULL)(lambda s, d: nodes(s, d).select(*FULL_COLS))
-for _name in ("plan.parse_tabular_ui", "plan.parse_tabular_core"):
-    query(_name, PT + FULL)(lambda s, d: parse.parse_tabular(tabular(s, d)).select(*FULL_COLS))
-for _name in ("plan.parse_json", "plan.parse_native_json"):
-    query(_name, PT + "SELECT plan_id, node_id, parent_id, depth, operation, total_cost, est_rows FROM plan_truth WHERE node_id < 2")(lambda s, d: parse.parse_json(documents(s, d)).select("plan_id", "node_id", "parent_id", "depth", "operation", "total_cost", "est_rows"))
+query("plan.parse_tabular_ui", PT + FULL)(lambda s, d: parse.parse_tabular(tabular(s, d)).select(*FULL_COLS))
+
+# ---- plans of many shapes
+
+SHAPES = ctes("plan_shapes")
+
+
+def shapes(s: SparkSession, d: str) -> DataFrame:
+    return load(s, d, "plan_shapes")
+
+
+def shape_nodes(s: SparkSession, d: str) -> DataFrame:
+    return parse.parse_text(parse.text_of(shapes(s, d)))
+
+
+def joined(t: DataFrame, line: Column, sep: str = "\n") -> DataFrame:
+    """plan_id and text: a line of each node, in order. A plan has at most seven nodes."""
+    return t.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("node_id", line.alias("line")))).alias("l")).select("plan_id", F.array_join("l.line", sep).alias("text"))
+
+
+def core_texts(s: SparkSession, d: str) -> DataFrame:
+    """Text plans whose lines hold actual rows in either order; every fifth one stands behind a prompt with its statement."""
+    arrow = F.when(F.col("node_id") == 0, "").otherwise(F.expr("concat(repeat(' ', depth * 6 - 4), '->  ')"))
+    real = F.expr("CASE WHEN plan_id % 2 = 0 THEN concat(' (actual rows=', actual_rows, ' loops=1)') ELSE concat(' (actual time=0.010..', actual_time, ' rows=', actual_rows, ' loops=1)') END")
+    line = F.concat(arrow, F.expr("concat(operation, '  (cost=0.00..', cast(total_cost AS decimal(20,2)), ' rows=', est_rows, ' width=', width, ')')"), real, F.expr("coalesce(concat('\n', repeat(' ', depth * 6 + 2), detail), '')"))
+    asked = F.expr("CASE WHEN plan_id % 5 = 0 THEN concat('gaussdb=# EXPLAIN SELECT ', plan_id, ';\n QUERY PLAN\n------\n ') ELSE '' END")
+    return joined(shapes(s, d), line).select("plan_id", F.concat(asked, "text").alias("plan_text"))
+
+
+CORE_ROWS = """, x AS (SELECT *, CASE WHEN node_id = 0 THEN '' ELSE '->  ' END AS arrow, CASE WHEN plan_id % 2 = 0 THEN actual_rows END AS seen,
+ CASE WHEN contains(operation, ' on ') THEN split_part(split_part(operation, ' on ', 2), ' ', 1) WHEN operation = 'CTE Scan recent' THEN 'recent' WHEN operation = 'Sample Scan' THEN '' END AS tbl,
+ CASE WHEN contains(operation, ' using ') THEN split_part(split_part(operation, ' using ', 2), ' ', 1) END AS idx, CASE WHEN contains(operation, 'Hash Join') THEN 'Hash Join' WHEN contains(operation, 'Merge Join') THEN 'Merge Join' WHEN contains(operation, 'Nested Loop') THEN 'Nested Loop' END AS joins FROM plan_shapes)
+, y AS (SELECT *, CASE WHEN contains(operation, ' on ') THEN arrow || split_part(operation, ' on ', 1) WHEN node_id = 0 THEN split_part(operation, ' ', 1) ELSE '->' END AS op FROM x)
+, z AS (SELECT plan_id, node_id, 0 AS part, parent_id AS up, depth, op AS operation, total_cost, est_rows, seen AS actual_rows, tbl AS table_name, idx AS index_name, joins AS join_type FROM y
+ UNION ALL SELECT plan_id, node_id, 1, node_id, depth + 1, split_part(detail, ' ', 1), 0, 0, NULL, NULL, NULL, NULL FROM y WHERE detail IS NOT NULL)
+, w AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY node_id, part) - 1 AS id FROM z WHERE plan_id % 5 <> 0)
+SELECT w.plan_id, w.id AS node_id, u.id AS parent_id, w.depth, w.operation, w.total_cost, w.est_rows, w.actual_rows, w.table_name, w.index_name, w.join_type, NULL AS output FROM w LEFT JOIN w u ON u.plan_id = w.plan_id AND u.node_id = w.up AND u.part = 0
+UNION ALL SELECT plan_id, 0, NULL, 0, 'SQL+PLAN', total_cost, est_rows, seen, tbl, idx, joins, 'SQL: EXPLAIN SELECT ' || plan_id || ';' FROM y WHERE node_id = 0 AND plan_id % 5 = 0
+UNION ALL SELECT plan_id, 1, 0, 1, op, total_cost, est_rows, seen, tbl, idx, joins, NULL FROM y WHERE node_id = 0 AND plan_id % 5 = 0"""
+
+
+@query("plan.parse_text_core", SHAPES.rstrip() + CORE_ROWS)
+def plan_parse_text_core(s: SparkSession, d: str) -> DataFrame:
+    return dialects.parse_core_text(core_texts(s, d)).drop("filter", "hash_keys", "buffers")
+
+
+CELLS = "concat(' ', node_id + 1, ' | ', repeat('  ', depth), '->  ', operation, ' | ', cast(actual_time AS bigint), ' | ', actual_rows, ' | ', est_rows, ' | ', total_cost)"
+
+
+def core_tables(s: SparkSession, d: str) -> DataFrame:
+    """Tables behind a prompt with its statement, with a predicate section that has rows of its own."""
+    head = F.expr("concat('gaussdb=# EXPLAIN SELECT ', plan_id, ' /* seq scan */;\n id | operation | A-time | A-rows | E-rows | E-costs\n----+------\n')")
+    return joined(shapes(s, d), F.expr(CELLS)).select("plan_id", F.concat(head, "text", F.lit("\n(7 rows)\n\n Predicate Information (identified by plan id)\n-----\n 9 | Filter: no node | 1 | 1 | 1 | 1\n")).alias("plan_text"))
+
+
+CORE_TABLE = """, x AS (SELECT *, CASE WHEN contains(operation, '(') THEN trim(split_part(operation, '(', 1)) ELSE split_part(operation, ' ', 1) END AS op, CASE WHEN contains(operation, ' on ') THEN split_part(operation, ' on ', 2) END AS tbl FROM plan_shapes)
+SELECT plan_id, node_id + 1 AS node_id, CASE WHEN node_id = 0 THEN 0 ELSE 1 END AS parent_id, CASE WHEN node_id = 0 THEN 1 ELSE 2 END AS depth, op AS operation, total_cost, actual_rows AS est_rows, tbl AS table_name, '->  ' || operation AS output FROM x
+UNION ALL SELECT plan_id, 0, NULL, 0, 'SQL+PLAN', total_cost, CAST(actual_time AS BIGINT), tbl, 'SQL: EXPLAIN SELECT ' || plan_id || ' /* seq scan */' FROM x WHERE node_id = 0"""
+
+
+@query("plan.parse_tabular_core", SHAPES.rstrip() + CORE_TABLE)
+def plan_parse_tabular_core(s: SparkSession, d: str) -> DataFrame:
+    return dialects.parse_core_tabular(core_tables(s, d)).select("plan_id", "node_id", "parent_id", "depth", "operation", "total_cost", "est_rows", "table_name", "output")
+
+
+def noisy(s: SparkSession, d: str) -> DataFrame:
+    """What is pasted into a diff: text plans and, for odd ids, tables, amid statements, settings, comments and rules."""
+    noise = F.expr("concat('SET work_mem = 1;\nEXPLAIN ANALYZE SELECT ', plan_id, ';\n-- note -> (cost=1..2)\n-----------\n')")
+    text = parse.text_of(shapes(s, d)).select("plan_id", F.concat(noise, "plan_text", F.lit("\ndelete from t -> x\nTotal runtime: 1 ms\n")).alias("plan_text"))
+    cells = joined(shapes(s, d), F.expr(CELLS.replace("cast(actual_time AS bigint)", "'[1.5,', actual_time, ']'").replace("' | ', total_cost", "' | 0.00..', total_cost")), "\n x7 | no number | 1 | 2 | 3 | 4\n select | 1\n")
+    table = cells.select("plan_id", F.concat(noise, F.lit(" id | operation | A-time | A-rows | E-rows | E-costs\n----+-----\n"), "text").alias("plan_text"))
+    return text.filter("plan_id % 2 = 0").unionByName(table.filter("plan_id % 2 = 1"))
+
+
+@query("plan.parse_diff", SHAPES + "SELECT plan_id, node_id, parent_id, depth, CASE WHEN plan_id % 2 = 0 THEN trim(split_part(operation, '(', 1)) ELSE operation END AS operation, total_cost, est_rows, actual_time, actual_rows, CASE WHEN plan_id % 2 = 1 THEN CAST(node_id + 1 AS VARCHAR) END AS ext_id FROM plan_shapes")
+def plan_parse_diff(s: SparkSession, d: str) -> DataFrame:
+    return dialects.parse_diff(noisy(s, d))
+
+
+def nested(t: DataFrame, properties: Column, children: str) -> DataFrame:
+    """plan_id and text: JSON objects nested as the nodes are; every node's line closes what the next one doesn't need."""
+    after = F.coalesce(F.lead("depth").over(Window.partitionBy("plan_id").orderBy("node_id")), F.lit(-1))
+    closed = F.when(F.col("after") > F.col("depth"), "").otherwise(F.concat(F.lit("]}"), F.expr("repeat(']}', depth - greatest(after, 0))"), F.when(F.col("after") >= 0, ", ").otherwise("")))
+    line = F.concat(F.lit("{"), F.expr("substring(properties, 2, length(properties) - 2)"), F.lit(f', "{children}": ['), closed)
+    return joined(t.withColumns({"properties": properties, "after": after}), line, "")
+
+
+def documents(s: SparkSession, d: str) -> DataFrame:
+    """plan_id, plan_text: JSON plans with both sets of property names, every third one in a list."""
+    own = F.to_json(F.struct(F.col("operation").alias("operation"), F.col("total_cost").alias("cost"), F.col("est_rows").alias("rows"), "actual_time"))
+    public = F.to_json(F.struct(F.col("operation").alias("Node Type"), F.col("total_cost").alias("Total Cost"), F.col("est_rows").alias("Plan Rows"), F.col("width").alias("Plan Width"), F.col("actual_time").alias("Actual Total Time"), F.col("detail").alias("Filter")))
+    t = shapes(s, d)
+    kinds = nested(t.filter("plan_id % 3 = 0"), own, "children").unionByName(nested(t.filter("plan_id % 3 <> 0"), public, "Plans"))
+    return kinds.select("plan_id", F.expr("CASE plan_id % 3 WHEN 0 THEN text WHEN 1 THEN concat('[{\"Plan\": ', text, '}]') ELSE concat('{\"Plan\": ', text, '}') END").alias("plan_text"))
+
+
+@query("plan.parse_json", SHAPES + "SELECT plan_id, node_id, parent_id, depth, operation, total_cost, est_rows, actual_time, CASE WHEN plan_id % 3 <> 0 THEN width END AS width, CASE WHEN plan_id % 3 <> 0 AND detail IS NOT NULL THEN 'Filter: ' || detail ELSE '' END AS details FROM plan_shapes")
+def plan_parse_json(s: SparkSession, d: str) -> DataFrame:
+    return parse.parse_json(documents(s, d)).select("plan_id", "node_id", "parent_id", "depth", "operation", "total_cost", "est_rows", "actual_time", "width", "details")
+
+
+def native(s: SparkSession, d: str) -> DataFrame:
+    """plan_id, plan_text: native JSON plans. In every fourth one the last node has no cost, in every seventh the rows are negative."""
+    bad = F.expr("node_id = max(node_id) OVER (PARTITION BY plan_id) AND plan_id % 4 = 0")
+    rows = F.when(F.col("plan_id") % 7 == 0, -F.col("est_rows")).otherwise(F.col("est_rows"))
+    properties = F.to_json(F.struct(F.col("operation").alias("node_type"), F.when(~F.col("bad"), F.col("total_cost")).alias("cost"), rows.alias("rows"), "width", "actual_rows", F.col("detail").alias("filter"), F.array(F.col("operation")).alias("output")))
+    return nested(shapes(s, d).withColumn("bad", bad), properties, "children").select("plan_id", F.col("text").alias("plan_text"))
+
+
+@query("plan.parse_native_json", SHAPES + "SELECT plan_id, node_id, parent_id, depth, operation AS node_type, total_cost AS cost, est_rows AS rows, width, actual_rows, detail AS filter, operation AS output FROM plan_shapes WHERE plan_id % 4 <> 0 AND plan_id % 7 <> 0")
+def plan_parse_native_json(s: SparkSession, d: str) -> DataFrame:
+    out = json_plans.parse_native_json(native(s, d))
+    return out.select("plan_id", "node_id", "parent_id", "depth", "node_type", "cost", "rows", "width", "actual_rows", "filter", F.array_join("output", ",").alias("output"))
 
 
 @query("win.plan_parent", PT + "SELECT plan_id, node_id, parent_id FROM plan_truth WHERE parent_id IS NOT NULL")
@@ -69,12 +171,24 @@ def plan_parse_sqlplan(s: SparkSession, d: str) -> DataFrame:
     return both.select("plan_id", "sql_text").join(n, "plan_id")
 
 
-@query("plan.split_two", PT + "SELECT plan_id, 4 AS n_left, 4 AS n_right FROM plan_truth WHERE node_id = 0")
+def pairs(s: SparkSession, d: str) -> DataFrame:
+    """Texts of two plans that each of the four rules of the cut has to part, and texts of one plan."""
+    both = parse.text_of(shapes(s, d)).join(joined(shapes(s, d), F.expr(CELLS)), "plan_id")
+    k, text, head = F.col("plan_id") % 5, F.col("plan_text"), " id | operation | A-time | A-rows | E-rows | E-costs\n----+---\n"
+    table = F.concat(F.lit(head), "text")
+    long = F.concat(text, F.lit("\n  Heap: x" * 12), F.lit("\n\n-- second\n"), text)
+    ruled = F.concat(text, F.when(F.col("plan_id") % 2 == 0, "\n==============\n").otherwise("\nOptimized Plan:\n"), text)
+    whole = F.when(k == 0, F.concat(F.lit("EXPLAIN ANALYZE x\n"), text, F.lit("\nexplain verbose y\n"), text)).when(k == 1, F.concat(table, F.lit("\n"), table)).when(k == 2, long).when(k == 3, ruled).otherwise(text)
+    return both.select("plan_id", whole.alias("plan_text"))
+
+
+@query("plan.split_two", SHAPES + "SELECT plan_id, count(*) AS n_left, CASE WHEN plan_id % 5 = 4 THEN 0 ELSE count(*) END AS n_right, CASE plan_id % 5 WHEN 0 THEN 'explain' WHEN 1 THEN 'id' WHEN 2 THEN '-- second' WHEN 4 THEN '' ELSE 'plan' END AS starts FROM plan_shapes GROUP BY 1")
 def plan_split_two(s: SparkSession, d: str) -> DataFrame:
-    t = texts(s, d).select("plan_id", F.concat(F.lit("EXPLAIN ANALYZE\n"), "plan_text", F.lit("\nEXPLAIN ANALYZE\n"), "plan_text").alias("plan_text"))
-    two = parse.split_two(t)
-    n = lambda side: parse.parse_text(two.select("plan_id", F.col(f"{side}_text").alias("plan_text"))).groupBy("plan_id").agg(F.count(F.lit(1)).cast("int").alias(f"n_{side}"))
-    return n("left").join(n("right"), "plan_id")
+    two = parse.split_two(pairs(s, d))
+    n = lambda side: parse.parse_plans(two.select("plan_id", F.col(f"{side}_text").alias("plan_text"))).groupBy("plan_id").agg(F.count(F.lit(1)).alias(f"n_{side}"))
+    right = F.col("right_text")
+    starts = F.when(right == "", "").when(right.startswith("explain verbose"), "explain").when(right.startswith("id |"), "id").when(right.startswith("-- second"), "-- second").otherwise("plan")
+    return two.select("plan_id", starts.alias("starts")).join(n("left"), "plan_id", "left").join(n("right"), "plan_id", "left").select("plan_id", "n_left", F.coalesce("n_right", F.lit(0)).alias("n_right"), "starts")
 
 
 @query("win.root_spacing", TOP + "SELECT report_id AS plan_id, 2 AS n FROM top_sqls GROUP BY report_id")
@@ -125,11 +239,23 @@ def plan_rules_alt(s: SparkSession, d: str) -> DataFrame:
 
 UI = {"Gauss-XN-001": "node_id = 0 AND total_cost > 1000", "Gauss-XN-002": "contains(operation, 'Seq Scan') AND est_rows > 10000 AND total_cost > 100", "Gauss-XN-006": "node_id = 0 AND actual_time > 3000"}
 UI_SQL = " UNION ALL ".join(f"SELECT plan_id, node_id, '{k}' AS rule_id FROM plan_truth WHERE {c}" for k, c in UI.items())
+#: The other nine rules, which plans of many shapes meet.
+UI_SHAPES = UI | {
+    "Gauss-XN-003": "contains(operation, 'SubPlan') OR contains(operation, 'Subquery Scan')",
+    "Gauss-XN-004": "operation = 'Nested Loop' AND detail IS NULL AND NOT EXISTS (SELECT 1 FROM plan_shapes c WHERE c.plan_id = plan_shapes.plan_id AND c.parent_id = plan_shapes.node_id AND contains(c.operation, 'Index Scan'))",
+    "Gauss-XN-005": "operation = 'Partition Iterator' AND detail <> 'Iterations: 1'",
+    "Gauss-XN-007": "contains(operation, 'Bitmap Heap Scan')",
+    "Gauss-XN-008": "contains(detail, 'Disk')",
+    "Gauss-XN-009": "contains(operation, 'Index Scan') AND starts_with(detail, 'Filter:')",
+    "Gauss-XN-011": "contains(lower(operation), 'func')",
+    "Gauss-XN-012": "(SELECT count(*) FROM plan_shapes c WHERE c.plan_id = plan_shapes.plan_id AND c.parent_id = plan_shapes.node_id AND (contains(c.operation, 'Subquery') OR contains(c.operation, 'InitPlan'))) >= 3",
+    "Gauss-XN-013": "operation = 'Rownum' AND est_rows > 10000",
+}
 
 
-@query("plan.rules_ui", PT + UI_SQL)
+@query("plan.rules_ui", SHAPES + " UNION ALL ".join(f"SELECT plan_id, node_id, '{k}' AS rule_id FROM plan_shapes WHERE {c}" for k, c in UI_SHAPES.items()))
 def plan_rules_ui(s: SparkSession, d: str) -> DataFrame:
-    return analysis.ui_rules(nodes(s, d)).select("plan_id", "node_id", "rule_id")
+    return analysis.ui_rules(shape_nodes(s, d)).select("plan_id", "node_id", "rule_id")
 
 
 @query("agg.node_severity", PT + f"SELECT lower(split_part(operation, ' ', 1)) AS node_type, min(CASE WHEN rule_id = 'Gauss-XN-002' THEN 2 ELSE 1 END) AS rank FROM ({UI_SQL.replace('plan_id, node_id,', 'plan_id, node_id, operation,')}) GROUP BY 1")

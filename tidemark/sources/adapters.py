@@ -58,6 +58,24 @@ GROUP BY s.s_nationkey, p.p_name, CASE WHEN p.p_size % 4 = 0 THEN 'index' ELSE '
  CASE n.node_id WHEN 2 THEN concat('Filter: (k = ', CAST(t.p_size AS {STR}), ')') WHEN 1 THEN 'Hash Cond: (a.k = b.k)' END AS detail,
  CASE n.node_id WHEN 2 THEN t.tbl WHEN 3 THEN concat(t.tbl, '_dim') END AS table_name
 FROM {top_sqls} t CROSS JOIN (VALUES (0, NULL, 0), (1, 0, 1), (2, 1, 2), (3, 1, 2)) AS n(node_id, parent_id, depth)""",
+    # a plan of one of ten shapes for each order, up to six levels deep: joins of all kinds, subplans, partitions, bitmaps, spills
+    "plan_shapes": """SELECT o.o_orderkey AS plan_id, n.shape, n.node_id, n.parent_id, n.depth, n.operation, n.detail,
+ CAST(CAST(floor(o.o_totalprice) AS BIGINT) % 3000 + 10 * (8 - n.node_id) AS DOUBLE) AS total_cost,
+ (CAST(floor(o.o_totalprice) AS BIGINT) + 7919 * n.node_id) % 200000 + 1 AS est_rows, CAST(4 + 4 * n.node_id AS BIGINT) AS width,
+ ((CAST(floor(o.o_totalprice) AS BIGINT) + 7919 * n.node_id) % 200000 + 1) * CASE WHEN o.o_orderkey % 3 = 0 THEN 11 ELSE 1 END AS actual_rows,
+ CAST(CAST(floor(o.o_totalprice) AS BIGINT) % 7000 AS DOUBLE) AS actual_time
+FROM {orders} o JOIN (VALUES
+  (0, 0, NULL, 0, 'Sort', 'Sort Method: external merge  Disk: 1024kB'), (0, 1, 0, 1, 'Hash Join', 'Hash Cond: (o.k = l.k)'), (0, 2, 1, 2, 'Seq Scan on lines l', 'Filter: (qty > 5)'), (0, 3, 1, 2, 'Hash', NULL), (0, 4, 3, 3, 'Index Scan using idx_o on heads o', 'Filter: (k > 1)'),
+  (1, 0, NULL, 0, 'Limit', NULL), (1, 1, 0, 1, 'Nested Loop', NULL), (1, 2, 1, 2, 'Seq Scan on parts p', NULL), (1, 3, 1, 2, 'Materialize', NULL), (1, 4, 3, 3, 'CTE Scan recent', NULL),
+  (2, 0, NULL, 0, 'Nested Loop', NULL), (2, 1, 0, 1, 'Seq Scan on lands n', NULL), (2, 2, 0, 1, 'Index Scan using pk_c on buyers c', 'Index Cond: (c.k = n.k)'),
+  (3, 0, NULL, 0, 'Nested Loop', 'Join Filter: (a.x < b.x)'), (3, 1, 0, 1, 'Seq Scan on a', NULL), (3, 2, 0, 1, 'Sample Scan', NULL),
+  (4, 0, NULL, 0, 'HashAggregate', NULL), (4, 1, 0, 1, 'Partition Iterator', 'Iterations: 12'), (4, 2, 1, 2, 'Partitioned Seq Scan on sales', 'Selected Partitions:  1..12'),
+  (5, 0, NULL, 0, 'Aggregate', NULL), (5, 1, 0, 1, 'Partition Iterator', 'Iterations: 1'), (5, 2, 1, 2, 'Partitioned Seq Scan on sales', NULL),
+  (6, 0, NULL, 0, 'Bitmap Heap Scan on parts', 'Recheck Cond: (k = 3)'), (6, 1, 0, 1, 'Bitmap Index Scan on idx_parts', 'Index Cond: (k = 3)'),
+  (7, 0, NULL, 0, 'Result', NULL), (7, 1, 0, 1, 'InitPlan 1 (returns $0)', NULL), (7, 2, 0, 1, 'Subquery Scan on q1', NULL), (7, 3, 2, 2, 'Seq Scan on t1', NULL), (7, 4, 0, 1, 'Subquery Scan on q2', NULL), (7, 5, 4, 2, 'Merge Join', 'Merge Cond: (a = b)'),
+  (8, 0, NULL, 0, 'Function Scan on func_report', NULL),
+  (9, 0, NULL, 0, 'Rownum', NULL), (9, 1, 0, 1, 'Sort', 'Sort Key: a'), (9, 2, 1, 2, 'HashAggregate', NULL), (9, 3, 2, 3, 'Hash Right Join', 'Hash Cond: (a = b)'), (9, 4, 3, 4, 'Hash', NULL), (9, 5, 4, 5, 'Seq Scan on deep_one', 'Filter: (f(x) > 1)'), (9, 6, 3, 4, 'Seq Scan on deep_two', NULL)) AS n(shape, node_id, parent_id, depth, operation, detail)
+ ON n.shape = CAST(floor(o.o_totalprice) AS BIGINT) % 10""",
 }
 
 
