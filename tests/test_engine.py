@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.operators import audit, catalog, compare, store, thresholds
+from tidemark.operators import audit, catalog, compare, facade, store, thresholds
 from tidemark.sources import html, sections
 
 HEAD = "".join(f"<th>h{i}</th>" for i in range(25))
@@ -74,6 +74,71 @@ def test_store_round_trip(spark, tmp_path):
     assert st.read("audit_logs").first()["action"] == "Delete" and st.read("comparisons").count() == 0
 
 
+def test_import_that_fails_midway(spark, tmp_path, monkeypatch):
+    """Nothing of a batch is seen before its commit; run again, under its name or another, rows are there once."""
+    (tmp_path / "in").mkdir()
+    for i in range(2):
+        (tmp_path / "in" / f"{i}.html").write_text(REPORT)
+    st = store.Store(spark, str(tmp_path / "store"))
+    pages = html.read_reports(spark, str(tmp_path / "in"))
+    whole = store.sections.memory
+    monkeypatch.setattr(store.sections, "memory", lambda cells: cells.select(F.raise_error(F.lit("lost")).cast("long").alias("report_id")))
+    for name in ("first", "first", None):
+        with pytest.raises(Exception, match="lost"):
+            st.import_reports(pages, "inst", "2024-01-01", name)
+        assert st.read("reports").count() == 0 and st.read("top_sqls").count() == 0 and st.commits() == []
+    assert (tmp_path / "store" / "data" / "top_sqls").exists()
+    monkeypatch.setattr(store.sections, "memory", whole)
+    st.import_reports(pages, "inst", "2024-01-01", "first")
+    st.import_reports(pages, "inst", "2024-01-01", "first")
+    st.import_reports(pages, "inst", "2024-01-01")
+    assert st.read("reports").count() == 2 and st.read("top_sqls").count() == 4
+
+
+def test_batches_deletes_and_compaction(spark, tmp_path):
+    st = store.Store(spark, str(tmp_path / "store"))
+    rows = lambda *ids: spark.createDataFrame([(i, i % 2) for i in ids], "id long, source_report_id long")
+    seen = lambda: sorted(r["id"] for r in st.read("comparisons").collect())
+    assert st.batch("a", {"comparisons": rows(1, 2, 3)}) and not st.batch("a", {"comparisons": rows(9)})
+    st.delete("comparison", spark.createDataFrame([(2,), (2,), (7,)], "id long"))
+    assert seen() == [1, 3]
+    st.append("comparisons", rows(2, 4))  # stored after the delete, so it is there again
+    assert seen() == [1, 2, 3, 4] and st.read("execution_plans").count() == 0
+    st.compact()
+    assert seen() == [1, 2, 3, 4]
+    st.clean()
+    assert seen() == [1, 2, 3, 4] and len(st.commits()) == 1 and len(list((tmp_path / "store" / "data" / "comparisons").iterdir())) == 1
+    st.delete("comparison", spark.createDataFrame([(4,)], "id long"))
+    assert seen() == [1, 2, 3]
+
+
+def test_commit_numbers_are_taken_once(spark, tmp_path):
+    """A writer that sees an old list takes the next free number."""
+    st, other = store.Store(spark, str(tmp_path / "s")), store.Store(spark, str(tmp_path / "s"))
+    st._commit({"batch": "a", "tables": [], "replaces": False})
+    real, stale = other.commits, [[]]
+    other.commits = lambda: stale.pop() if stale else real()
+    other._commit({"batch": "b", "tables": [], "replaces": False})
+    assert [(c["number"], c["batch"]) for c in st.commits()] == [(1, "a"), (2, "b")]
+
+
+def test_checksum_is_one_of_a_multiset(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "id long, v string")
+    check = lambda df: store.integrity(df, "id").first()["checksum"]
+    a, b, c = (1, "x"), (2, None), (2, "")
+    sums = [check(rows(*x)) for x in ((a, b), (a, b, b), (a, b, b, b), (a, c), (a, b, c, c), ((12, "x"), b))]
+    assert len(set(sums)) == len(sums) and check(rows(b, a)) == sums[0] and check(rows()) == "0-0"
+    assert check(rows(*[a] * 500).repartition(7)) == check(rows(*[a] * 500))
+
+
+def test_text_table_stays_in_the_jvm(spark):
+    df = spark.range(1000).withColumn("name", F.concat(F.lit("n"), "id")).repartition(7)
+    out = facade.text_table(df, {"id": "ID", "name": "Name"}, [F.col("id")])
+    got = sorted(map(tuple, out.collect()))
+    assert [p for p, _ in got] == list(range(1, 1003)) and got[2][1].split() == ["0", "n0"] and got[-1][1].split() == ["999", "n999"]
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_streaming_import(spark, tmp_path):
     from tidemark.streaming import ingest
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans import analysis
+from tidemark.sources.shared import written
 
 #: What stands before an issue of each severity.
 SEVERITY_MARKS = {"critical": "🔴 CRITICAL", "high": "🟡 HIGH", "medium": "⚠️ MEDIUM", "low": "ℹ️ LOW"}
@@ -23,9 +24,11 @@ def text_table(df: DataFrame, headers: dict[str, str], order: list) -> DataFrame
     width = [max(len(h.encode()), widest[f"w{i}"]) for i, h in enumerate(headers.values())]
     pad = lambda c, w: F.concat(c, F.repeat(F.lit(" "), F.lit(w) - F.octet_length(c)))
     line = F.concat_ws("  ", *[pad(F.col(f"_c{i}"), w) for i, w in enumerate(width)])
-    # zipWithIndex numbers sorted partitions without moving their rows together
-    lines = cells.orderBy(*order).select(line.alias("line")).rdd.zipWithIndex().map(lambda r: (r[1] + 3, r[0]["line"]))
-    numbered = df.sparkSession.createDataFrame(lines, "position long, line string")
+    # a range partitioning and the rows before each partition number the lines without moving them together
+    placed = written(cells.orderBy(*order).select(line.alias("line"), F.monotonically_increasing_id().alias("at"))).withColumn("part", F.shiftright("at", 33))
+    parts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition
+    numbered = placed.join(F.broadcast(before), "part").select((F.col("at").bitwiseAND((1 << 33) - 1) + F.col("before") + 3).alias("position"), "line")
     head = [(1, "  ".join(h.ljust(w) for h, w in zip(headers.values(), width))), (2, "  ".join("-" * w for w in width))]
     return df.sparkSession.createDataFrame(head, "position long, line string").unionByName(numbered)
 

@@ -1,16 +1,36 @@
-"""Parquet store of the relations: append, replace and delete by report, logs, export, import and integrity."""
+"""Parquet store of the relations: batches that are there as a whole or not at all, deletes, logs, export and integrity.
+
+A batch writes the rows of any relations to folders of its own, named by the batch, and is made visible by one commit
+file, whose number nobody else can take. A batch that failed midway left no commit, so nobody reads its rows; run
+again under its name it overwrites its folders, and once committed it is not run twice. Deletes are batches of keys
+that hide earlier rows; compact() rewrites what is left. The number of files follows the number of batches and their
+size, not the number of reports.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.operators import compare
 from tidemark.sources import html, sections
+from tidemark.sources.shared import written
 
-#: Relations that hold rows of reports; each is partitioned by report_id, so one report is one folder.
-CHILDREN = ("top_sqls", "efficiency_metrics", "load_profile", "database_stats", "cache_io_stats", "object_stats", "wait_events", "config_settings", "io_profile", "memory_stats")
+#: Relations that hold rows of reports.
+CHILDREN = ("top_sqls", "efficiency_metrics", "load_profile", "database_stats", "cache_io_stats", "object_stats", "wait_events", "config_settings", "io_profile", "memory_stats", "sql_texts", "host_cpu", "sql_audit_issues")
+#: What a deleted key hides: relations and their column that holds it.
+DELETES = {
+    "report": {"reports": "id", **dict.fromkeys(CHILDREN, "report_id")},
+    "comparison": {"comparisons": "id", "sql_comparison_metrics": "comparison_id", "report_comparisons": "comparison_id", "comparison_rows": "comparison_id"},
+    "plan": {"execution_plans": "id"},
+}
+#: Child relations of a whole report; the first two are single rows.
+DOCUMENT = ("efficiency_metrics", "load_profile", "top_sqls", "object_stats", "cache_io_stats", "database_stats")
 
 
 class Store:
@@ -19,55 +39,136 @@ class Store:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
+    def _fs(self, path: str) -> tuple:
+        """The file system of a path, and the path, as Hadoop has them."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
+
+    def commits(self) -> list[dict]:
+        """The committed batches in order: number, batch and its tables. compact() bounds their number."""
+        fs, folder = self._fs(f"{self.path}/commits")
+        if not fs.exists(folder):
+            return []
+        out = []
+        for status in sorted(fs.listStatus(folder), key=lambda x: x.getPath().getName()):
+            stream = fs.open(status.getPath())
+            out.append(json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")) | {"number": int(status.getPath().getName())})
+            stream.close()
+        return out
+
+    def batch(self, name: str, parts: dict[str, DataFrame | Callable[[], DataFrame]], replaces: bool = False) -> bool:
+        """Write rows of relations as one batch; False if a batch of this name is committed already.
+
+        Rows get the relation's columns in order; missing columns are null, extra ones are dropped. With replaces the
+        batch takes the place of all before it.
+        """
+        if any(c["batch"] == name for c in self.commits()):
+            return False
+        for table, rows in parts.items():
+            rows = rows() if callable(rows) else rows
+            if table in schemas.TABLES:
+                schema = schemas.empty(self.spark, table).schema
+                rows = rows.select(*[(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema])
+            rows.write.mode("overwrite").parquet(f"{self.path}/data/{table}/batch={name}")
+        self._commit({"batch": name, "tables": list(parts), "replaces": replaces})
+        return True
+
+    def _commit(self, entry: dict) -> None:
+        """Take the next free number; creating a file that exists fails, so two writers never share one."""
+        while True:
+            known = self.commits()
+            if any(c["batch"] == entry["batch"] for c in known):
+                return
+            number = known[-1]["number"] + 1 if known else 1
+            fs, file = self._fs(f"{self.path}/commits/{number:012d}")
+            try:
+                stream = fs.create(file, False)
+            except Exception:
+                if fs.exists(file):
+                    continue
+                raise
+            stream.write(bytearray(json.dumps(entry).encode()))
+            stream.close()
+            return
+
+    def _rows(self, table: str, commits: list[dict]) -> DataFrame | None:
+        """Rows of a relation with the number of their batch, deletes not yet heeded; None if no batch has any."""
+        mine = {c["batch"]: c["number"] for c in commits if table in c["tables"]}
+        if not mine:
+            return None
+        reader = self.spark.read.option("basePath", f"{self.path}/data/{table}")
+        if table in schemas.TABLES:
+            reader = reader.schema(f"{schemas.TABLES[table]}, batch string")
+        numbers = self.spark.createDataFrame(list(mine.items()), "batch string, number long")
+        rows = reader.parquet(*[f"{self.path}/data/{table}/batch={b}" for b in mine])
+        # as many rows as there are batches
+        return rows.withColumn("batch", F.col("batch").cast("string")).join(F.broadcast(numbers), "batch").drop("batch")
+
     def read(self, table: str) -> DataFrame:
-        """A relation; an empty one where nothing is stored yet."""
-        folder = f"{self.path}/{table}"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
+        """A relation, without deleted rows; an empty one where nothing is stored yet."""
+        commits = self.commits()
+        since = max((i for i, c in enumerate(commits) if c["replaces"]), default=0)
+        commits = commits[since:]
+        rows = self._rows(table, commits)
+        if rows is None:
             return schemas.empty(self.spark, table)
-        return self.spark.read.schema(schemas.TABLES[table]).parquet(folder)
+        for kind, tables in DELETES.items():
+            if table in tables and (gone := self._rows(f"deleted_{kind}", commits)) is not None:
+                last = gone.groupBy(F.col("key").alias("_key")).agg(F.max("number").alias("_until"))
+                rows = rows.join(last, F.col(tables[table]) == F.col("_key"), "left").filter(F.col("_until").isNull() | (F.col("number") > F.col("_until"))).drop("_key", "_until")
+        return rows.drop("number")
 
     def append(self, table: str, rows: DataFrame) -> None:
-        """Rows with the relation's columns in order; missing columns are null, extra ones are dropped."""
-        schema = schemas.empty(self.spark, table).schema
-        full = rows.select(*[(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema])
-        writer = full.write.mode("append")
-        (writer.partitionBy("report_id") if table in CHILDREN else writer).parquet(f"{self.path}/{table}")
+        """Rows of one relation, as a batch of its own."""
+        self.batch(uuid.uuid4().hex, {table: rows})
+
+    def delete(self, kind: str, keys: DataFrame, name: str | None = None) -> None:
+        """Hide all rows of reports, comparisons or plans (see DELETES) that are stored now; keys: one column of ids."""
+        self.batch(name or uuid.uuid4().hex, {f"deleted_{kind}": keys.select(F.col(keys.columns[0]).cast("long").alias("key")).distinct()})
 
     def delete_report(self, report_id: int) -> None:
-        """A report and all rows that hang on it: the folders of its partitions are dropped, the list is rewritten."""
-        jvm = self.spark._jvm
-        for table in CHILDREN:
-            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/report_id={report_id}")
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
-        kept = self.read("reports").filter(F.col("id") != report_id)
-        kept.write.mode("overwrite").parquet(f"{self.path}/reports.new")
-        self.spark.read.schema(schemas.TABLES["reports"]).parquet(f"{self.path}/reports.new").write.mode("overwrite").parquet(f"{self.path}/reports")
-
-    def import_reports(self, pages: DataFrame, instance: str, created_at: str) -> None:
-        """HTML reports (report_id, file_path, file_size, html) into the list and all child relations.
-
-        Pages are shredded once; reports that are stored already are skipped, so an import can be repeated.
+        """A report and all rows that hang on it."""
+        self.delete("report", self.spark.createDataFrame([(report_id,)], "id long"))
+
+    def compact(self) -> None:
+        """One batch with all rows that are left; readers of the old ones are served until clean()."""
+        tables = {t for c in self.commits() for t in c["tables"] if not t.startswith("deleted_")}
+        self.batch(f"compact-{uuid.uuid4().hex}", {t: self.read(t) for t in sorted(tables)}, replaces=True)
+
+    def clean(self) -> None:
+        """Delete the folders and commits that a compact() has replaced."""
+        commits = self.commits()
+        since = max((i for i, c in enumerate(commits) if c["replaces"]), default=0)
+        for c in commits[:since]:
+            # the commit goes last: what is left after a failure is cleaned the next time
+            for t in c["tables"]:
+                fs, folder = self._fs(f"{self.path}/data/{t}/batch={c['batch']}")
+                fs.delete(folder, True)
+            fs, file = self._fs(f"{self.path}/commits/{c['number']:012d}")
+            fs.delete(file, False)
+
+    def import_reports(self, pages: DataFrame, instance: str, created_at: str, name: str | None = None) -> None:
+        """HTML reports (report_id, file_path, file_size, html) into the list and all child relations, as one batch.
+
+        Pages are shredded once, into the shared folder; reports that are stored already are skipped, so an import can
+        be repeated, under its name or another. Of pages that share an id the one with the least path counts.
         """
         stored = self.read("reports").select(F.col("id").alias("report_id"))
-        cells = html.cells(pages.join(stored, "report_id", "left_anti")).persist()
-        try:
-            snap = sections.snapshot(cells)
-            meta = pages.join(stored, "report_id", "left_anti").join(snap, "report_id", "left")
-            parts = {"top_sqls": sections.top_sql(cells).withColumn("id", F.xxhash64("report_id", "rank_by_time")).withColumn("is_hot_sql", F.col("rank_by_time") <= 20), "efficiency_metrics": sections.efficiency(cells), "load_profile": sections.load_profile(cells), "database_stats": sections.database_stats(cells), "cache_io_stats": sections.cache_io(cells), "object_stats": sections.object_stats(cells), "wait_events": sections.wait_events(cells), "config_settings": sections.config(cells), "io_profile": sections.io_profile(cells), "memory_stats": sections.memory(cells)}
-            for table, rows in parts.items():
-                self.append(table, rows)
-            unknown = F.lit("Unknown")
-            self.append("reports", meta.select(F.col("report_id").alias("id"), F.lit(instance).alias("instance_name"), F.lit(created_at).alias("generation_time"), F.coalesce("snapshot_start", unknown).alias("snapshot_start"), F.coalesce("snapshot_end", unknown).alias("snapshot_end"), "file_path", "file_size", F.lit("SuccessfullyImported").alias("status"), F.lit(created_at).alias("created_at")))
-        finally:
-            cells.unpersist()
+        best = pages.groupBy("report_id").agg(F.min_by(F.struct("file_path", "file_size", "html"), "file_path").alias("p")).select("report_id", "p.*")
+        new = written(best.join(stored, "report_id", "left_anti"))
+        cells = written(html.cells(new))
+        unknown = F.lit("Unknown")
+        meta = new.drop("html").join(sections.snapshot(cells), "report_id", "left")
+        reports = meta.select(F.col("report_id").alias("id"), F.lit(instance).alias("instance_name"), F.lit(created_at).alias("generation_time"), F.coalesce("snapshot_start", unknown).alias("snapshot_start"), F.coalesce("snapshot_end", unknown).alias("snapshot_end"), "file_path", "file_size", F.lit("SuccessfullyImported").alias("status"), F.lit(created_at).alias("created_at"))
+        statements = sections.top_sql(cells).withColumn("id", F.xxhash64("report_id", "rank_by_time")).withColumn("is_hot_sql", F.col("rank_by_time") <= 20)
+        shredded = {"efficiency_metrics": sections.efficiency, "load_profile": sections.load_profile, "database_stats": sections.database_stats, "cache_io_stats": sections.cache_io, "object_stats": sections.object_stats, "wait_events": sections.wait_events, "config_settings": sections.config, "io_profile": sections.io_profile, "memory_stats": sections.memory}
+        self.batch(name or uuid.uuid4().hex, {"reports": reports, "top_sqls": statements, **{t: make(cells) for t, make in shredded.items()}})
 
     def create_comparison(self, pairs: DataFrame, metrics: DataFrame, reports: DataFrame, at: str) -> DataFrame:
         """source_report_id, target_report_id, success, message of each pair; comparisons of valid pairs are stored.
 
         A pair is valid if both reports exist. Summaries go to report_comparisons and the metrics of statements
-        to sql_comparison_metrics.
+        to comparison_rows, in one batch.
         """
         ids = reports.select("id")
         source = ids.select(F.col("id").alias("source_report_id"), F.lit(True).alias("has_source"))
@@ -77,24 +178,32 @@ class Store:
         valid = checked.filter(missing.isNull()).select("source_report_id", "target_report_id")
         key = ["source_report_id", "target_report_id"]
         id_ = F.xxhash64(*key, F.lit(at)).alias("comparison_id")
-        compare.summaries(metrics.join(valid, key, "left_semi"), reports).select(id_, "*", F.lit(at).alias("created_at")).write.mode("append").parquet(f"{self.path}/report_comparisons")
-        metrics.join(valid, key, "left_semi").select(id_, "*").write.mode("append").parquet(f"{self.path}/sql_comparison_metrics")
-        saved = self.spark.read.parquet(f"{self.path}/report_comparisons").filter(F.col("created_at") == at).select(*key, "n_findings")
+        kept = metrics.join(valid, key, "left_semi")
+        summaries = written(compare.summaries(kept, reports).select(id_, "*", F.lit(at).alias("created_at")))
+        self.batch(f"comparison-{uuid.uuid4().hex}", {"report_comparisons": summaries, "comparison_rows": kept.select(id_, "*")})
+        saved = summaries.select(*key, "n_findings")
         done = F.concat(F.lit("Comparison created successfully with "), F.coalesce("n_findings", F.lit(0)).cast("string"), F.lit(" key findings"))
         return checked.join(saved, key, "left").select(*key, missing.isNull().alias("success"), F.coalesce(missing, done).alias("message"))
 
-    def detail(self, report_id: int) -> DataFrame:
-        """One row: the report with its single rows and lists nested, empty where there is nothing."""
-        out = self.read("reports").filter(F.col("id") == report_id)
-        for table in ("efficiency_metrics", "load_profile"):
-            one = self.read(table).filter(F.col("report_id") == report_id)
-            out = out.join(one.select(F.col("report_id").alias("id"), F.struct(*[c for c in one.columns if c != "report_id"]).alias(table)), "id", "left")
-        for table in ("top_sqls", "object_stats", "cache_io_stats", "database_stats"):
-            many = self.read(table).filter(F.col("report_id") == report_id)
-            # the rows of one report
+    def details(self, reports: DataFrame | None = None) -> DataFrame:
+        """A row for each report (all, or those of the column id): the report with its single rows and lists nested.
+
+        Lists are null where there is nothing. Only the rows of one report meet in a group.
+        """
+        of = (lambda df, c: df.join(reports.select(F.col("id").alias(c)), c, "left_semi")) if reports is not None else (lambda df, c: df)
+        out = of(self.read("reports"), "id")
+        for table in DOCUMENT[:2]:
+            one = of(self.read(table), "report_id")
+            out = out.join(one.groupBy(F.col("report_id").alias("id")).agg(F.first(F.struct(*[c for c in one.columns if c != "report_id"])).alias(table)), "id", "left")
+        for table in DOCUMENT[2:]:
+            many = of(self.read(table), "report_id")
             out = out.join(many.groupBy(F.col("report_id").alias("id")).agg(F.collect_list(F.struct(*[c for c in many.columns if c != "report_id"])).alias(table)), "id", "left")
         return out
 
+    def detail(self, report_id: int) -> DataFrame:
+        """The row of one report."""
+        return self.details(self.spark.createDataFrame([(report_id,)], "id long"))
+
     def log(self, action: str, entity_type: str, entity_id: str, at: str, user_id: str = "system", details: str | None = None, success: bool = True, error: str | None = None) -> None:
         """One row of the audit log."""
         row = self.spark.createDataFrame([(at, user_id, action, entity_type, entity_id, success, error, details)], "timestamp string, user_id string, action string, entity_type string, entity_id string, success boolean, error_message string, details string")
@@ -114,6 +223,13 @@ def export_json(reports: DataFrame, sqls: DataFrame, date: str) -> DataFrame:
     return r.select("id", F.to_json(F.struct(head.alias("manifest"), F.struct(*[c for c in reports.columns]).alias("report"), F.col("top_sqls"))).alias("document"))
 
 
+def export_details(details: DataFrame) -> DataFrame:
+    """id and document of each row of Store.details(): the report and its six child relations, empty lists where there is nothing."""
+    own = [c for c in details.columns if c not in DOCUMENT]
+    lists = [F.coalesce(F.col(c), F.array().cast(details.schema[c].dataType)).alias(c) for c in DOCUMENT[2:]]
+    return details.select("id", F.to_json(F.struct(F.struct(*own).alias("report"), *DOCUMENT[:2], *lists)).alias("document"))
+
+
 def export_csv(sqls: DataFrame) -> DataFrame:
     """The ten exported columns of statements, ranked from 1 in the order of time."""
     from pyspark.sql import Window
@@ -138,9 +254,17 @@ def import_rows(rows: DataFrame, stored: DataFrame, key: str, overwrite: bool =
 
 
 def integrity(rows: DataFrame, key: str) -> DataFrame:
-    """One row: number of rows, and an order-free checksum over the hashes of all rows."""
-    h = F.xxhash64(*[F.col(c).cast("string") for c in rows.columns])
-    return rows.agg(F.count(F.lit(1)).alias("record_count"), F.countDistinct(key).alias("distinct_keys"), F.bit_xor(h).alias("checksum"))
+    """One row: number of rows, distinct keys and an order-free checksum of the rows as a multiset.
+
+    The checksum holds the sums modulo 2^64 of the two halves of the MD5 of each row, so it tells a row from two of it
+    and parts can be summed apart and added. A row's text has each value's length before it, and - for null, so nulls
+    differ from empty strings and values can't run together.
+    """
+    text = lambda c: F.coalesce(F.concat(F.char_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))
+    digest = F.md5(F.concat(*[text(F.col(c)) for c in rows.columns]))
+    half = lambda at: F.expr(f"coalesce(sum(cast(conv(substr(_h, {at}, 16), 16, 10) AS decimal(20,0))), 0BD) % 18446744073709551616BD")
+    out = rows.withColumn("_h", digest).agg(F.count(F.lit(1)).alias("record_count"), F.countDistinct(key).alias("distinct_keys"), half(1).alias("_a"), half(17).alias("_b"))
+    return out.select("record_count", "distinct_keys", F.concat_ws("-", F.col("_a").cast("decimal(20,0)").cast("string"), F.col("_b").cast("decimal(20,0)").cast("string")).alias("checksum"))
 
 
 def same_schema(a: DataFrame, b: DataFrame) -> bool:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,7 @@ from tidemark.operators import audit, catalog, compare, facade, store, threshold
 from tidemark.queries import ORACLES, query
 from tidemark.sources.adapters import duckdb_ctes as ctes
 from tidemark.sources.adapters import load
+from tidemark.sources.shared import shared_folder
 
 
 def sqls(spark: SparkSession, d: str) -> DataFrame:
@@ -499,25 +504,45 @@ def snk_export_csv(s: SparkSession, d: str) -> DataFrame:
 
 
 def scratch(s: SparkSession) -> store.Store:
-    """A new store in the session's checkpoint folder, which all executors share."""
-    import tempfile
-    import uuid
+    """A new store in the session's shared folder."""
+    return store.Store(s, f"{shared_folder(s)}/store-{uuid.uuid4()}")
+
+
+#: The report that an object's statistics are filed under.
+OBJECTS_OF = "((report_id % 5) * 10000 + 1992 + report_id % 7)"
+#: What the writers of the thirteen relations get, in SQL that Spark and DuckDB both run, and a column to sum.
+INSERTS = {
+    "reports": ("SELECT id, instance_name, CAST(snapshot_start AS {STR}) AS snapshot_start, status FROM reports", "id"),
+    "efficiency_metrics": ("SELECT report_id, floor(100 * sum(cpu_time) / sum(total_elapsed_time)) AS cpu_efficiency_percent FROM top_sqls GROUP BY report_id", "cpu_efficiency_percent"),
+    "load_profile": ("SELECT report_id, CAST(sum(executions) AS BIGINT) AS total_transactions FROM top_sqls GROUP BY report_id", "total_transactions"),
+    "database_stats": ("SELECT report_id, tbl AS db_name, CAST(sum(buffer_gets) AS BIGINT) AS blks_hit, CAST(sum(disk_reads) AS BIGINT) AS blks_read FROM top_sqls GROUP BY report_id, tbl", "blks_hit"),
+    "top_sqls": ("SELECT id, report_id, sql_id, sql_text, executions, total_elapsed_time FROM top_sqls", "id"),
+    "execution_plans": ("SELECT plan_id AS id, plan_id AS sql_id, operation AS plan_tree FROM plan_shapes WHERE node_id = 0", "sql_id"),
+    "cache_io_stats": (f"SELECT {OBJECTS_OF} AS report_id, schema_name, object_name, object_type, seq_scans AS heap_blks_read, total_scans AS heap_blks_hit FROM object_stats", "heap_blks_read"),
+    "object_stats": (f"SELECT {OBJECTS_OF} AS report_id, schema_name, object_name, object_type, total_scans, seq_scans, idx_scans, dead_tuples FROM object_stats", "dead_tuples"),
+    "comparisons": ("SELECT a.id * 100000 + b.id AS id, a.id AS source_report_id, b.id AS target_report_id FROM reports a JOIN reports b ON b.id = a.id + 1", "target_report_id"),
+    "sql_comparison_metrics": ("SELECT b.id, a.report_id AS comparison_id, a.id AS sql_id FROM top_sqls a JOIN top_sqls b ON b.report_id = a.report_id + 1 AND b.sql_id = a.sql_id", "sql_id"),
+    "threshold_configs": ("SELECT 'SQL' AS category, tbl AS config_key, max(total_elapsed_time) AS value FROM top_sqls GROUP BY tbl", "value"),
+    "sql_audit_issues": ("SELECT id, report_id, id AS sql_id, 'FullTableScan' AS issue_type FROM top_sqls WHERE rows_processed > 10000", "sql_id"),
+    "audit_logs": ("SELECT event_id AS id, event_type AS action FROM events", "id"),
+}
+INSERT_VIEWS = ("reports", "top_sqls", "object_stats", "plan_shapes")
 
-    folder = s.sparkContext.getCheckpointDir() or s.conf.get("spark.checkpoint.dir", None)
-    if folder is None and s.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="tidemark-store-")
-    if folder is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return store.Store(s, f"{folder}/store-{uuid.uuid4()}")
 
+def filled(s: SparkSession, d: str, *tables: str) -> store.Store:
+    """A store that holds the thirteen relations, or those named, written as one batch."""
+    views = {n: load(s, d, n) for n in (*INSERT_VIEWS, "events")}
+    kept = scratch(s)
+    named = lambda sql: s.sql(re.sub(r"\b(FROM|JOIN) (\w+)", r"\1 {\2}", sql.replace("{STR}", "STRING")), **{n: v for n, v in views.items() if re.search(rf"\b(FROM|JOIN) {n}\b", sql)})
+    kept.batch("all", {table: named(sql) for table, (sql, _) in INSERTS.items() if not tables or table in tables})
+    return kept
 
-@query("snk.insert", ctes("top_sqls", "wait_events", "object_stats") + "SELECT 'top_sqls' AS relation, report_id, count(*) AS n FROM top_sqls GROUP BY 2 UNION ALL SELECT 'wait_events', report_id, count(*) FROM wait_events GROUP BY 2 UNION ALL SELECT 'object_stats', report_id, count(*) FROM object_stats GROUP BY 2")
+
+@query("snk.insert", ctes(*INSERT_VIEWS) + " UNION ALL ".join(f"SELECT '{t}' AS relation, count(*) AS n, CAST(floor(coalesce(sum({c}), 0)) AS BIGINT) AS total FROM ({sql.replace('{STR}', 'VARCHAR')})" for t, (sql, c) in INSERTS.items()))
 def snk_insert(s: SparkSession, d: str) -> DataFrame:
-    kept = scratch(s)
-    for name in ("top_sqls", "wait_events", "object_stats"):
-        kept.append(name, load(s, d, name))
-    parts = [kept.read(n).groupBy("report_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("relation"), "report_id", "n") for n in ("top_sqls", "wait_events", "object_stats")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    kept = filled(s, d)
+    parts = [kept.read(t).agg(F.count(F.lit(1)).alias("n"), F.floor(F.coalesce(F.sum(c), F.lit(0))).cast("long").alias("total")).select(F.lit(t).alias("relation"), "n", "total") for t, (_, c) in INSERTS.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("snk.import_report", ctes("reports", "top_sqls") + "SELECT r.id AS report_id, 'inst' AS instance_name, CAST(r.snapshot_start AS VARCHAR) AS snapshot_start, least(count(*), 200) AS statements, min(t.sql_id) FILTER (WHERE t.rank_by_time = 1) AS first_sql FROM reports r JOIN top_sqls t ON t.report_id = r.id GROUP BY ALL")
@@ -804,10 +829,13 @@ def snk_export_json(s: SparkSession, d: str) -> DataFrame:
     return doc.select("id", F.get_json_object("document", "$.manifest.item_count").cast("long").alias("n"))
 
 
-@query("snk.export_json_cli", REP + "SELECT id, TRUE AS ok FROM reports")
+@query("snk.export_json_cli", ctes(*INSERT_VIEWS) + "SELECT r.id, r.instance_name, r.status, (SELECT count(*) FROM top_sqls t WHERE t.report_id = r.id) AS n_sqls, (SELECT CAST(sum(id) AS BIGINT) FROM top_sqls t WHERE t.report_id = r.id) AS sql_ids, (SELECT count(DISTINCT tbl) FROM top_sqls t WHERE t.report_id = r.id) AS n_databases, (SELECT count(*) FROM object_stats o WHERE " + OBJECTS_OF.replace("report_id", "o.report_id") + " = r.id) AS n_objects, (SELECT CAST(sum(executions) AS BIGINT) FROM top_sqls t WHERE t.report_id = r.id) AS transactions, (SELECT floor(100 * sum(cpu_time) / sum(total_elapsed_time)) FROM top_sqls t WHERE t.report_id = r.id) AS cpu FROM reports r")
 def snk_export_json_cli(s: SparkSession, d: str) -> DataFrame:
-    r = load(s, d, "reports").withColumn("snapshot_start", F.col("snapshot_start").cast("string")).withColumn("snapshot_end", F.col("snapshot_end").cast("string"))
-    return store.export_json(r, sqls(s, d), "2024-01-01").select("id", F.get_json_object("document", "$.report.instance_name").isNotNull().alias("ok"))
+    docs = store.export_details(filled(s, d, "reports", *store.DOCUMENT).details()).select("id", F.parse_json("document").alias("v"))
+    get = lambda path, kind: F.variant_get("v", f"$.{path}", kind)
+    ids = F.transform(get("top_sqls", "array<variant>"), lambda x: F.variant_get(x, "$.id", "long"))
+    n = lambda c: F.size(get(c, "array<variant>")).cast("long")
+    return docs.select("id", get("report.instance_name", "string").alias("instance_name"), get("report.status", "string").alias("status"), n("top_sqls").alias("n_sqls"), F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("sql_ids"), n("database_stats").alias("n_databases"), n("object_stats").alias("n_objects"), get("load_profile.total_transactions", "long").alias("transactions"), get("efficiency_metrics.cpu_efficiency_percent", "double").alias("cpu"))
 
 
 @query("snk.export_comparison", SUMMARY_SQL.replace("SELECT c.source_report_id, c.target_report_id, c.common, c.score,", "SELECT c.source_report_id, c.target_report_id, c.common, c.score, CAST(c.score AS VARCHAR) AS doc_score,", 1).replace("FROM scored c LEFT JOIN nf", "FROM scored c LEFT JOIN nf", 1))
@@ -830,23 +858,44 @@ def int_import(s: SparkSession, d: str) -> DataFrame:
     return store.import_rows(r.withColumn("origin", F.lit("imported")), r.filter("id % 2 = 0").withColumn("origin", F.lit("stored")), "id")
 
 
-@query("int.check", TOP + "SELECT count(*) AS record_count, count(DISTINCT id) AS distinct_keys FROM top_sqls")
+_TEXT = "md5(length(CAST(id AS VARCHAR)) || ':' || id || length(sql_text) || ':' || sql_text)"
+_HALF = "CAST(sum(CAST(CAST('0x' || substr(h, {}, 16) AS UBIGINT) AS HUGEINT)) % 18446744073709551616 AS VARCHAR)"
+
+
+@query("int.check", TOP.rstrip() + f", x AS (SELECT id, {_TEXT} AS h FROM top_sqls UNION ALL SELECT id, {_TEXT} FROM top_sqls WHERE id % 3 = 0)\nSELECT count(*) AS record_count, count(DISTINCT id) AS distinct_keys, {_HALF.format(1)} || '-' || {_HALF.format(17)} AS checksum FROM x")
 def int_check(s: SparkSession, d: str) -> DataFrame:
-    return store.integrity(sqls(s, d).select("id", "sql_text"), "id").select("record_count", "distinct_keys")
+    t = sqls(s, d).select("id", "sql_text")
+    return store.integrity(t.unionByName(t.filter("id % 3 = 0")), "id")
 
 
-@query("rep.detail", TOP_REP + "SELECT r.id, r.instance_name, count(t.id) AS statements, count(*) FILTER (WHERE t.is_hot_sql) AS hot FROM reports r LEFT JOIN top_sqls t ON t.report_id = r.id GROUP BY 1, 2")
+@query("rep.detail", ctes("reports", "top_sqls", "object_stats") + "SELECT r.id, r.instance_name, (SELECT count(*) FROM top_sqls t WHERE t.report_id = r.id) AS statements, (SELECT CAST(sum(executions) AS BIGINT) FROM top_sqls t WHERE t.report_id = r.id) AS executions, (SELECT count(*) FROM object_stats o WHERE " + OBJECTS_OF.replace("report_id", "o.report_id") + " = r.id) AS objects, (SELECT count(DISTINCT tbl) FROM top_sqls t WHERE t.report_id = r.id) AS databases, (SELECT CAST(sum(executions) AS BIGINT) FROM top_sqls t WHERE t.report_id = r.id) AS transactions FROM reports r")
 def rep_detail(s: SparkSession, d: str) -> DataFrame:
-    t = sqls(s, d).groupBy("report_id").agg(F.count("id").alias("statements"), F.count_if("is_hot_sql").alias("hot"))
-    return load(s, d, "reports").join(t.withColumnRenamed("report_id", "id"), "id", "left").select("id", "instance_name", F.coalesce("statements", F.lit(0)).alias("statements"), F.coalesce("hot", F.lit(0)).alias("hot"))
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    runs = F.aggregate("top_sqls.executions", F.lit(0).cast("long"), lambda a, x: a + x)
+    return filled(s, d, "reports", *store.DOCUMENT).details().select("id", "instance_name", n("top_sqls").alias("statements"), runs.alias("executions"), n("object_stats").alias("objects"), n("database_stats").alias("databases"), F.col("load_profile.total_transactions").alias("transactions"))
+
+
+def left(kept: store.Store, keys: dict[str, str]) -> DataFrame:
+    """relation, key and number of rows of relations, by the column that keys names."""
+    return reduce(DataFrame.unionByName, [kept.read(t).groupBy(F.col(c).alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("relation"), "key", "n") for t, c in keys.items()])
+
 
+@query("rep.delete", ctes("reports", "top_sqls") + "SELECT 'reports' AS relation, id AS key, count(*) AS n FROM reports WHERE status <> 'ImportFailed' GROUP BY 2 UNION ALL SELECT 'top_sqls', report_id, count(*) FROM top_sqls WHERE report_id IN (SELECT id FROM reports WHERE status <> 'ImportFailed') GROUP BY 2 UNION ALL SELECT 'load_profile', id, 1 FROM reports WHERE status <> 'ImportFailed'")
+def rep_delete(s: SparkSession, d: str) -> DataFrame:
+    kept = filled(s, d, "reports", "top_sqls", "load_profile")
+    kept.delete("report", kept.read("reports").filter("status = 'ImportFailed'").select("id"))
+    return left(kept, {"reports": "id", "top_sqls": "report_id", "load_profile": "report_id"})
 
-for _name in ("rep.delete", "snk.delete"):
 
-    @query(_name, TOP + "SELECT report_id, count(*) AS n FROM top_sqls WHERE report_id <> 1995 GROUP BY 1")
-    def rep_delete(s: SparkSession, d: str) -> DataFrame:
-        tombstones = s.createDataFrame([(1995,)], "report_id long")
-        return sqls(s, d).join(tombstones, "report_id", "left_anti").groupBy("report_id").agg(F.count(F.lit(1)).alias("n"))
+@query("snk.delete", ctes("reports", "plan_shapes") + "SELECT 'comparisons' AS relation, a.id AS key, count(*) AS n FROM reports a JOIN reports b ON b.id = a.id + 1 WHERE a.id % 2 = 0 GROUP BY 2 UNION ALL SELECT 'execution_plans', plan_id, 1 FROM plan_shapes WHERE node_id = 0 AND plan_id % 3 <> 0")
+def snk_delete(s: SparkSession, d: str) -> DataFrame:
+    """Comparisons and plans deleted, the rest rewritten as one batch, and what it replaced cleaned away."""
+    kept = filled(s, d, "comparisons", "sql_comparison_metrics", "execution_plans")
+    kept.delete("comparison", kept.read("comparisons").filter("source_report_id % 2 = 1").select("id"))
+    kept.delete("plan", kept.read("execution_plans").filter("id % 3 = 0").select("id"))
+    kept.compact()
+    kept.clean()
+    return left(kept, {"comparisons": "source_report_id", "execution_plans": "id"})
 
 
 RW = values(schemas.REWRITES, "id, category, safety_level, description, default_enabled")

@@ -5,6 +5,8 @@ An addition of this engine: each new file is shredded and appended once.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -13,10 +15,10 @@ from tidemark.operators.store import Store
 
 
 def watch(spark: SparkSession, folder: str, store: Store, checkpoint: str, instance: str, at: str, files: int = 100) -> StreamingQuery:
-    """Import each HTML file that appears in a folder; repeats of a batch after a failure are skipped by id."""
+    """Import each HTML file that appears in a folder; a batch that failed midway is run again under its name, one that is done is skipped."""
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files).load(folder)
     pages = raw.select(F.xxhash64("path").alias("report_id"), F.col("path").alias("file_path"), F.col("length").alias("file_size"), F.decode("content", "UTF-8").alias("html"))
-    return pages.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: store.import_reports(df, instance, at)).start()
+    return pages.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, n: store.import_reports(df, instance, at, name=hashlib.sha256(f"{checkpoint}\n{n}".encode()).hexdigest())).start()
 
 
 def event_counts(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
