@@ -139,6 +139,31 @@ def test_text_table_stays_in_the_jvm(spark):
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_objects_in_sql_with_one_head(spark):
+    """Many names that begin alike, short names, names of several words, and odd rows, against brute force."""
+    names = [f"warehouse_table_{i}" for i in range(3000)] + ["t", "ab", "a-b", "public.orders x", "", "---", None, "Ärger_x"]
+    texts = [f"SELECT * FROM Warehouse_Table_{i * 37 % 3000} w JOIN ab ON w.k = 1" for i in range(200)] + ["select a-b from public.orders xy", "nothing", "", None, "x_warehouse_table_12_old"]
+    df, objects = spark.createDataFrame(list(enumerate(texts)), "id long, sql_text string"), spark.createDataFrame([(n,) for n in names * 2], "object_name string")
+    got = {(r["id"], r["object_name"]) for r in catalog.objects_in_sql(df, objects).collect()}
+    want = {(i, n) for i, t in enumerate(texts) for n in names if t is not None and n and any(c.isascii() and c.isalnum() for c in n) and n.lower() in t.lower()}
+    assert got == want and (0, "warehouse_table_0") in got and (200, "a-b") in got
+    assert catalog.objects_in_sql(df, objects.limit(0)).count() == 0 and catalog.objects_in_sql(df.limit(0), objects).count() == 0
+
+
+def test_event_stream_goes_on_after_a_restart(spark, tmp_path):
+    """Repeats within the watermark count once, events behind it not at all, and a second run reads new files only."""
+    from tidemark.streaming import ingest
+
+    schema = "event_id long, ts timestamp, event_type string, value double"
+    put = lambda name, *rows: spark.createDataFrame(list(rows), "event_id long, ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+    run = lambda: sorted((str(r["bucket"])[11:16], r["event_type"], r["n"], r["total"]) for r in ingest.count_events(spark, f"{tmp_path}/in/*", f"{tmp_path}/out", schema, "1 hour", "2 hours").collect())
+    put("a", (1, "2024-01-01 10:05:00", "x", 1.0), (1, "2024-01-01 10:05:00", "x", 1.0), (2, "2024-01-01 12:30:00", "x", 2.0), (3, "2024-01-01 12:40:00", "y", 4.0))
+    assert run() == [("10:00", "x", 1, 1.0), ("12:00", "x", 1, 2.0), ("12:00", "y", 1, 4.0)]
+    assert run() == run()
+    put("b", (4, "2024-01-01 10:10:00", "x", 8.0), (5, "2024-01-01 11:10:00", "x", 16.0), (2, "2024-01-01 12:30:00", "x", 2.0), (6, "2024-01-01 12:59:00", "x", 32.0))
+    assert run() == [("10:00", "x", 1, 1.0), ("11:00", "x", 1, 16.0), ("12:00", "x", 2, 34.0), ("12:00", "y", 1, 4.0)]
+
+
 def test_streaming_import(spark, tmp_path):
     from tidemark.streaming import ingest
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
+from tidemark.sources.shared import written
 
 
 def by_value(df: DataFrame, column: str, value: object) -> DataFrame:
@@ -131,21 +132,42 @@ def merge_objects(parts: DataFrame) -> DataFrame:
     return parts.groupBy("report_id", "schema_name", "object_name").agg(F.sum("seq_scans").alias("seq_scans"), F.sum("idx_scans").alias("idx_scans"), F.max_by("dead_tuples", "position").alias("dead_tuples"))
 
 
+#: Length of the pieces by which names are looked up in words.
+GRAM = 4
+
+
+def _grams(word: str, n: str | int) -> str:
+    """SQL: the distinct pieces of n characters of a word; none if it's shorter."""
+    return f"CASE WHEN length({word}) >= {n} THEN array_distinct(transform(sequence(1, length({word}) - {n} + 1), i -> substring({word}, i, {n}))) ELSE cast(array() AS array<string>) END"
+
+
 def objects_in_sql(sqls: DataFrame, objects: DataFrame) -> DataFrame:
     """Pairs (id, object_name) of statements and objects whose name stands in the statement, in any case.
 
-    A text contains a name only if one of its words contains the name's longest run of letters and digits.
-    So runs meet the suffixes of the distinct words in an equi-join on their first four characters, and only
-    what is left is compared. Names without a letter or digit match nothing. objects: object_name; sqls: id, sql_text.
+    A text contains a name only if one of its words contains the name's longest run of letters and digits. The pieces
+    of four characters of the distinct words are an inverted index; a run is looked up by that one of its pieces which
+    the fewest words hold, so names that all begin alike are found by what tells them apart, and a run with a piece
+    that no word holds is not looked up at all. Runs of under four characters are looked up as a whole among pieces of
+    their length. Texts are read again only for names that have more than one run. Names without a letter or digit
+    match nothing. objects: object_name; sqls: id, sql_text; nulls match nothing.
     """
     lower = sqls.select("id", F.lower("sql_text").alias("text"))
-    words = lower.select("id", "text", F.explode(F.array_distinct(F.split("text", "[^a-z0-9_]+"))).alias("word")).filter("word != ''")
-    ends = words.select("word").distinct().select("word", F.explode(F.expr("transform(sequence(1, length(word)), i -> substring(word, i))")).alias("suffix"))
-    ends = ends.select("word", "suffix", F.explode(F.expr("transform(sequence(1, least(4, length(suffix))), n -> left(suffix, n))")).alias("head"))
+    words = lower.select("id", F.explode(F.array_distinct(F.split("text", "[^a-z0-9_]+"))).alias("word")).filter("word != ''")
     names = objects.select("object_name", F.lower("object_name").alias("name")).distinct()
-    runs = names.select("object_name", "name", F.expr("get(array_sort(filter(split(name, '[^a-z0-9_]+'), r -> r != ''), (x, y) -> length(y) - length(x)), 0)").alias("run")).filter("run IS NOT NULL")
-    hits = ends.join(runs.withColumn("head", F.expr("left(run, 4)")), "head").filter(F.col("suffix").startswith(F.col("run"))).select("word", "object_name", "name").distinct()
-    return words.join(hits, "word").filter(F.expr("contains(text, name)")).select("id", "object_name").distinct()
+    run = F.expr("get(array_sort(filter(split(name, '[^a-z0-9_]+'), r -> r != ''), (x, y) -> length(y) - length(x)), 0)")
+    names = names.withColumn("run", run).filter("run IS NOT NULL")
+    runs = names.select("run").distinct().withColumn("n", F.least(F.length("run"), F.lit(GRAM)))
+    sizes = sorted(r["n"] for r in runs.select("n").distinct().collect())  # at most GRAM of them
+    if not sizes:
+        return names.select(F.lit(None).cast(sqls.schema["id"].dataType).alias("id"), "object_name").limit(0)
+    index = written(words.select("word").distinct().select("word", F.explode(F.expr("concat(" + ", ".join(_grams("word", n) for n in sizes) + ")")).alias("gram")))
+    held = index.groupBy("gram").agg(F.count(F.lit(1)).alias("words"))
+    pieces = runs.select("run", F.explode(F.expr(_grams("run", "n"))).alias("gram")).join(held, "gram", "left")
+    best = pieces.groupBy("run").agg(F.min_by("gram", F.struct("words", "gram")).alias("gram"), F.bool_and(F.col("words").isNotNull()).alias("known")).filter("known")
+    hits = index.join(best, "gram").filter(F.expr("contains(word, run)")).select("word", "run").distinct()
+    found = words.join(hits.join(names, "run"), "word").select("id", "object_name", "name", (F.col("name") == F.col("run")).alias("sure")).distinct()
+    rest = found.filter("NOT sure").join(lower, "id").filter(F.expr("contains(text, name)"))
+    return found.filter("sure").select("id", "object_name").unionByName(rest.select("id", "object_name")).distinct()
 
 
 def schema_of_statements(sqls: DataFrame, objects: DataFrame) -> DataFrame:

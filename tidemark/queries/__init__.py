@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from tidemark.queries import plans, relational, shredding  # noqa: F401
+    from tidemark.queries import plans, relational, shredding, streams  # noqa: F401

@@ -22,5 +22,25 @@ def watch(spark: SparkSession, folder: str, store: Store, checkpoint: str, insta
 
 
 def event_counts(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Counts and sums of a stream of events (ts, event_type, value) in windows, with a watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("bucket"), "event_type", "n", "total")
+    """Counts and sums of a stream of events (event_id, ts, event_type, value) in windows.
+
+    Events that come later than the watermark are dropped, and so are repeats of an event_id within it.
+    """
+    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    counted = once.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return counted.select(F.col("w.start").alias("bucket"), "event_type", "n", "total")
+
+
+def count_events(spark: SparkSession, folder: str, out: str, schema: str, width: str, late: str, files: int | None = None) -> DataFrame:
+    """event_counts over all Parquet files that lie in a folder now, all at once or some files at a time, oldest first.
+
+    Each batch's changed windows go to a folder of their own, which a batch that is run again overwrites; of a window
+    the last batch counts. Run again after a failure, the query goes on where it stopped.
+    """
+    reader = spark.readStream.schema(schema)
+    stream = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(folder)
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/rows/batch={n}")
+    query = event_counts(stream, width, late).writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows")
+    return rows.groupBy("bucket", "event_type").agg(F.max_by("n", "batch").alias("n"), F.max_by("total", "batch").alias("total"))
