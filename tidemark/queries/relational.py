@@ -15,7 +15,7 @@ from tidemark.operators import audit, catalog, compare, facade, store, threshold
 from tidemark.queries import ORACLES, query
 from tidemark.sources.adapters import duckdb_ctes as ctes
 from tidemark.sources.adapters import load
-from tidemark.sources.shared import shared_folder
+from tidemark.sources.shared import shared_folder, written
 
 
 def sqls(spark: SparkSession, d: str) -> DataFrame:
@@ -533,7 +533,9 @@ INSERT_VIEWS = ("reports", "top_sqls", "object_stats", "plan_shapes")
 
 def filled(s: SparkSession, d: str, *tables: str) -> store.Store:
     """A store that holds the thirteen relations, or those named, written as one batch."""
-    views = {n: load(s, d, n) for n in (*INSERT_VIEWS, "events")}
+    wanted = [sql for table, (sql, _) in INSERTS.items() if not tables or table in tables]
+    # a view that several relations are made of is computed once
+    views = {n: load(s, d, n) if n == "events" else written(load(s, d, n)) for n in (*INSERT_VIEWS, "events") if any(re.search(rf"\b(FROM|JOIN) {n}\b", sql) for sql in wanted)}
     kept = scratch(s)
     named = lambda sql: s.sql(re.sub(r"\b(FROM|JOIN) (\w+)", r"\1 {\2}", sql.replace("{STR}", "STRING")), **{n: v for n, v in views.items() if re.search(rf"\b(FROM|JOIN) {n}\b", sql)})
     kept.batch("all", {table: named(sql) for table, (sql, _) in INSERTS.items() if not tables or table in tables})
