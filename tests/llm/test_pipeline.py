@@ -101,3 +101,22 @@ def test_run(spark, corpus):
     out = corpus_pipeline.run(spark, corpus)
     rows = out.collect()
     assert rows and max(np.array([r["offset"] + r["length"] for r in rows])) <= 4096
+
+
+CLASHING = ["score", "n_lines", "n_dropped", "keep_words", "_doc", "_k1", "_k2", "_text", "fp", "root", "text_hash", "_n", "cuts", "found", "t", "key", "a", "b"]
+
+
+def test_stages_keep_columns_of_any_name(spark, corpus):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").filter("doc_id < 40 OR doc_id >= 100")
+    docs = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHING])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, corpus)
+        if name == "packing":
+            assert out.filter("length > 0").count() == out.count() >= docs.count()
+            continue
+        rows = out.collect()
+        assert out.columns == docs.columns and rows
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in CLASHING), name
+        assert stage(spark, docs.limit(0), corpus).columns == docs.columns

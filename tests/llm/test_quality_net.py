@@ -72,3 +72,15 @@ def test_gradients_equal_differences():
             down = loss()
             w[at] = old
             assert abs((up - down) / (2 * float(step)) - g[at]) < 2e-3 + 0.05 * abs(g[at]), field.name
+
+
+def test_long_texts_are_in_the_sample(spark):
+    rows = [(i, ("ab " * 40_000 if i % 2 else "cd ") + str(i)) for i in range(40)] + [(1, "another row of one id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i // 2 % 2) for i in range(40)], "doc_id long, quality int")
+    sample = quality.training_sample(docs, labels)
+    ids = [r["doc_id"] for r in sample]
+    assert any(len(r["text"]) > 100_000 for r in sample) and len(ids) == len(set(ids)) and set(ids) < set(range(40))
+    few = quality.training_sample(docs, labels, max_bytes=400_000)
+    assert 0 < sum(len(r["text"]) for r in few) <= 400_000 and {r["doc_id"] for r in few} < set(ids)
+    assert quality.training_sample(docs, labels, max_bytes=0) == []

@@ -57,6 +57,14 @@ def ascii_lower(s: Column) -> Column:
     return F.when(F.octet_length(s) == F.char_length(s), F.lower(s)).otherwise(F.translate(s, upper, upper.lower()))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores put before it until none of columns has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """Two non-null columns that tell rows apart: the id (null: least long) and a hash of the text.
 

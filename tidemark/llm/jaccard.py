@@ -4,9 +4,10 @@ The first candidates come from the SimHash operator: sets whose fingerprints its
 apart. Sets of similarity 0.8 differ in about ten bits, which no key of it can reach, so all others share a band of
 MinHash values: 24 bands of 5 values miss a pair of similarity 0.8 with probability (1 - 0.8^5)^24 = 7e-5, more
 similar ones less. Every candidate pair is then compared by its shingle sets.
-Equal sets collapse before. Keys that many sets share are not expanded into all pairs at once: chains through
-small groups of each key are compared first, and then only pairs that the links found so far leave apart, which
-gives the same components.
+Equal sets collapse before. Keys that many sets share are not expanded into pairs: chains through small groups of
+each key are compared first, and the sets of keys that the links found so far leave apart then meet by their rarest
+shingles (prefix_pairs), an exact join that finds every similar pair of them. Texts of one template, which share
+bands by the hundred and are not similar, differ in those shingles and so never meet.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import text_chunks
-from tidemark.llm.common import checkpoint, row_key
+from tidemark.llm.common import HEAVY, checkpoint, row_key
 from tidemark.llm.components import connected_components
 from tidemark.llm.simhash import SEED, keep_one, majority, near_edges
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 5
 #: Keys with more sets than PAIR_LIMIT are compared by ROUNDS of chains through groups of about CHAIN sets first.
 PAIR_LIMIT, CHAIN, ROUNDS = 8, 32, 3
+#: Ratio of the sizes of a class of sets, where sets meet by their rarest shingles.
+SIZE_STEP = 1.05
 
 
 def shingle_set(text: str, width: int = SHINGLE) -> np.ndarray:
@@ -117,6 +120,51 @@ def _pairs(x: DataFrame, a: str, b: str, at_least: float) -> DataFrame:
     return x.filter(apart & fits).select(F.least(f"{a}.fp", f"{b}.fp").alias("a"), F.greatest(f"{a}.fp", f"{b}.fp").alias("b")).distinct()
 
 
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """fp, alone (shingles that no other of the sets holds) and rest (the others, the rarest first) of sets (fp, shingles)."""
+    tokens = sets.select("fp", F.explode("shingles").alias("s"))
+    seen = checkpoint(tokens.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # shingles of more than one in HEAVY of these tokens are at most HEAVY, so they are broadcast; of any other few rows meet
+    hot = F.col("n") > total / HEAVY
+    tagged = tokens.join(F.broadcast(seen.filter(hot).withColumnRenamed("n", "hot_n")), "s", "left")
+    common = tagged.filter("hot_n IS NOT NULL").select("fp", "s", F.col("hot_n").alias("n"))
+    rare = tagged.filter("hot_n IS NULL").select("fp", "s").join(seen.filter(~hot), "s").select("fp", "s", "n")
+    held = common.unionByName(rare).groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("held"))
+    return sets.select("fp", F.size("shingles").cast("long").alias("all")).join(held, "fp").select("fp", (F.col("all") - F.size("held")).alias("alone"), F.expr("transform(held, x -> x.s)").alias("rest"))
+
+
+def prefix_pairs(left: DataFrame, sets: DataFrame, at_least: float = SIMILAR) -> DataFrame:
+    """All pairs (a, b) of left (distinct fp, size, root) with different roots that can be similar by their rarest shingles.
+
+    Shingles are ordered by the number of sets that hold them. Sets of x and y shingles whose similarity is t hold
+    at least t / (1 + t) * (x + y) in common, so the first x + 1 less that many of the one meet the first of the other; the
+    first shingle in common leaves at most the shorter remainder. Sizes are cut into classes, so that a set
+    knows how large its partner is at least; no pair is lost.
+    """
+    mine = sets.join(left.select("fp"), "fp", "left_semi")
+    rows = left.join(checkpoint(shared_shingles(mine)), "fp")
+    least = F.expr(f"greatest(pow({SIZE_STEP}D, c) * (1 - 1e-9), size * {at_least}D - 1e-9)")
+    level = lambda x: F.floor(F.log(x) / F.log(F.lit(SIZE_STEP)) + 1e-9)
+    classes = F.sequence(level(F.col("size") * at_least * (1 - 1e-9)), level(F.col("size") / at_least * (1 + 1e-9)))
+    rows = rows.withColumn("own", level(F.col("size"))).select("*", F.explode(classes).alias("c"))
+    # shingles held alone come first and meet nobody
+    length = F.col("size") - F.ceil(at_least / (1 + at_least) * (F.col("size") + least) - 1e-6) + 1 - F.col("alone")
+    rows = rows.withColumn("take", F.least(F.size("rest"), length.cast("int"))).filter("take > 0")
+    one = F.struct("fp", "size", "root", "own", (F.col("size") - F.col("alone") - F.col("i") - 1).alias("after"))
+    met = rows.select("fp", "size", "root", "own", "c", "alone", F.posexplode(F.expr("slice(rest, 1, take)")).alias("i", "s"))
+    met = checkpoint(met.select(F.least("own", "c").alias("c1"), F.greatest("own", "c").alias("c2"), "s", one.alias("x")))
+    key = ["c1", "c2", "s"]
+    split = met.groupBy(*key, "x.root").agg(F.count(F.lit(1)).alias("m")).groupBy(*key).agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("m", "root")).alias("most"))
+    live = checkpoint(met.join(split.filter("roots > 1").drop("roots"), key))
+    # of two sets in different components at least one lies outside the key's largest
+    p = live.filter("x.root != most").select(*key, F.col("x").alias("p"))
+    both = p.join(live.select(*key, F.col("x").alias("q")), key)
+    crossed = "(c1 = c2 OR p.own != q.own)"
+    enough = f"1 + least(p.after, q.after) >= {at_least / (1 + at_least)}D * (p.size + q.size) - 1e-6"
+    return _pairs(both.filter(f"{crossed} AND {enough}"), "p", "q", at_least)
+
+
 def simhash_pairs(sets: DataFrame, at_least: float = SIMILAR) -> DataFrame:
     """Candidates (a, b) of the SimHash operator among sets (distinct fp, size, sim).
 
@@ -170,14 +218,17 @@ def similar_roots(live: DataFrame, sets: DataFrame, given: DataFrame, at_least:
             steps = rows.filter("size(x) > 1").select(F.explode(F.expr("arrays_zip(slice(x, 1, size(x) - 1), slice(x, 2, size(x) - 1))")).alias("z"))
             compare(_pairs(steps.select(F.col("z")["0"].alias("p"), F.col("z")["1"].alias("q")), "p", "q", at_least))
         else:
-            # of two sets in different components at least one lies outside the key's largest
-            p = left.filter("root != most").select("key", one.alias("p"))
-            compare(_pairs(p.join(left.select("key", one.alias("q")), "key"), "p", "q", at_least))
+            compare(prefix_pairs(checkpoint(left.select("fp", "size", "root").distinct()), sets, at_least))
     return roots
 
 
 def members(docs: DataFrame, at_least: float = SIMILAR) -> DataFrame:
-    """doc_id, fp, text_hash and root (a shingle set's hash for each component) of every row of docs."""
+    """doc_id, fp, text_hash and root (a shingle set's hash for each component) of every row of docs.
+
+    Null, empty and blank texts have the empty set, which is one class and similar to no other; texts of fewer than
+    five words have one shingle. Repeated rows share a class and null doc_ids stay null; extra columns are
+    dropped. An empty table gives an empty result.
+    """
     prints = checkpoint(set_documents(docs))
     keys = checkpoint(prints.select(F.explode("keys").alias("key"), "fp", "size").distinct())
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -191,5 +242,9 @@ def members(docs: DataFrame, at_least: float = SIMILAR) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component of similar texts, as simhash.keep_one chooses it."""
+    """docs with one row of each component of similar texts, as simhash.keep_one chooses it.
+
+    The columns are those of docs, whatever their names. Of all rows with a null, empty or blank text one stays, and of
+    repeated rows one; an empty table gives an empty result.
+    """
     return keep_one(docs, members(docs))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ASCII_SPACE, ascii_lower, checkpoint, join_found, row_key
+from tidemark.llm.common import ASCII_SPACE, ascii_lower, checkpoint, join_found, row_key, unused
 
 MIN_CHARS, MIN_DOCS, SALTS = 20, 3, 64
 
@@ -39,7 +39,7 @@ def line_occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def stream_firsts(seen: DataFrame) -> DataFrame:
     """Rows (h1, h2, salt, n, last): how many documents of a salt hold a line, and the last of them.
 
-    Both windows run from the start of a sorted group to the current row, so no group is held in memory.
+    The window looks back one row in a sorted group; Spark buffers the rows of a group of one (line, salt) and spills beyond its threshold.
     """
     ranged = seen.repartitionByRange("h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", F.desc("_k1"), "pos")
     order = Window.partitionBy("h1", "h2", "salt").orderBy(F.desc("_k1"), "pos")
@@ -69,27 +69,38 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     )
 
 
+def _without_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """_doc (a row of docs), _text (what stays of its text), n_lines, n_dropped and keep_words of every row of docs."""
+    maps = checkpoint(keep_bitmaps(docs, min_chars, min_docs))
+    joined = join_found(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), *row_key(docs)), maps)
+    whole = "transform(keep_words, (x, i) -> concat(array_repeat(-1L, x.word - 1 - CASE WHEN i = 0 THEN -1 ELSE keep_words[i - 1].word END), array(x.bits)))"
+    lines = joined.select("_doc", "keep_words", F.expr(f"flatten({whole})").alias("_map"), split_lines(F.col("_doc")["text"]).alias("_lines"))
+    stays = "(getbit(coalesce(try_element_at(_map, int(i div 64) + 1), -1L), i % 64) = 1)"
+    kept = F.when(F.col("keep_words").isNull(), F.col("_doc")["text"]).otherwise(F.expr(f"array_join(filter(_lines, (x, i) -> {stays}), '\n')"))
+    dropped = F.coalesce(F.expr("aggregate(keep_words, 0L, (a, w) -> a + bit_count(~w.bits))"), F.lit(0))
+    return lines.select("_doc", kept.alias("_text"), F.size("_lines").cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), "keep_words")
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col("_text").alias(c) if c == "text" else F.col("_doc")[c].alias(c) for c in docs.columns]
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with repeated lines dropped, and the columns n_lines, n_dropped and keep_words.
 
     A key (see line_key) of at least min_chars code points that at least min_docs different documents hold
     loses all its lines, except in the largest doc_id that holds it. Null text: one empty line, and the
     text stays null; a null doc_id counts as the smallest. Rows with one doc_id count as one document;
-    repeated rows all get the same result. An empty table gives an empty result.
+    repeated rows all get the same result. Where docs has a column of one of the three names, the new one gets
+    underscores before it. An empty table gives an empty result.
     """
-    cols = docs.columns
-    maps = checkpoint(keep_bitmaps(docs, min_chars, min_docs))
-    joined = join_found(docs.select(F.struct(*[docs[c] for c in cols]).alias("_doc"), *row_key(docs)), maps)
-    whole = "transform(keep_words, (x, i) -> concat(array_repeat(-1L, x.word - 1 - CASE WHEN i = 0 THEN -1 ELSE keep_words[i - 1].word END), array(x.bits)))"
-    lines = joined.select("_doc", "keep_words", F.expr(f"flatten({whole})").alias("_map"), split_lines(F.col("_doc")["text"]).alias("_lines"))
-    stays = "(getbit(coalesce(try_element_at(_map, int(i div 64) + 1), -1L), i % 64) = 1)"
-    kept = F.when(F.col("keep_words").isNull(), F.col("_doc")["text"]).otherwise(F.expr(f"array_join(filter(_lines, (x, i) -> {stays}), '\n')"))
-    return lines.select(
-        *[kept.alias("text") if c == "text" else F.col("_doc")[c].alias(c) for c in cols],
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.expr("aggregate(keep_words, 0L, (a, w) -> a + bit_count(~w.bits))"), F.lit(0)).cast("long").alias("n_dropped"),
-        "keep_words",
-    )
+    new = [F.col(c).alias(unused(c, docs.columns)) for c in ("n_lines", "n_dropped", "keep_words")]
+    return _without_lines(docs, min_chars, min_docs).select(*_columns(docs), *new)
+
+
+def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """docs with repeated lines dropped as dedup_lines() does, with the columns of docs alone, whatever their names."""
+    return _without_lines(docs, min_chars, min_docs).select(*_columns(docs))
 
 
 def dedup_digest(docs: DataFrame) -> DataFrame:

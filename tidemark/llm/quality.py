@@ -25,14 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import text_chunks
+from tidemark.llm.common import unused
 
 #: Bytes in a row; rows in a chunk of placed filters and of filters over all bytes; rows that a product in order takes at a time.
 ROW, PLACED_ROWS, WIDE_ROWS, TILE = 16, 2, 4, 512
 EMBEDDING, PLACED, BYTE_FILTERS, WIDE, HIDDEN = 6, 24, 32, 16, 12
 #: Largest whole numbers of the grids; ROW * EMBEDDING of their products add up to less than 2^24.
 EMBEDDING_TOP, PLACED_TOP = 127, 1023
-#: Bounds of the training sample: documents of each label, and bytes of a document that may be in it (whole).
-MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 1500, 60_000
+#: Bounds of the training sample: documents of each label, and bytes of all of them. Texts are whole and of any length;
+#: where they are long, fewer documents make up the sample.
+MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 1500, 32_000_000
 EPOCHS, STEPS, BATCH, RATE, DECAY = 12, 600, 32, 0.01, 1e-4
 THRESHOLD, FOLDS, HELD_OUT = 0.7, 4, 2
 
@@ -199,13 +201,26 @@ def fold(doc_id: object) -> object:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> list:
-    """At most max_rows rows (text, quality) of each label, none of them held out; chosen by a hash of the id."""
+def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = MAX_TRAIN_BYTES) -> list:
+    """At most max_rows rows (text, quality) of each label, none of them held out, in the order of a hash of the id.
+
+    The sample ends before the document that would take it over max_bytes. Of rows that share a doc_id the one with the
+    least hash of its text stands.
+    """
     good = labels.filter(labels["quality"].isin(0, 1)).select("doc_id", "quality").filter(fold(F.col("doc_id")) != HELD_OUT)
     picked = [good.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for q in (0, 1)]
     chosen = picked[0].unionByName(picked[1]).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     # at most 2 * max_rows rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality").filter(F.octet_length("text") <= MAX_TRAIN_BYTES).limit(2 * max_rows)
+    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text", F.xxhash64("text").alias("hash"))
+    sizes = met.groupBy("doc_id").agg(F.min(F.struct("hash", F.octet_length("text").alias("bytes"))).alias("r")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    ids, left = [], max_bytes
+    for r in sizes:
+        left -= r["r"]["bytes"]
+        if left < 0:
+            break
+        ids.append((r["doc_id"], r["r"]["hash"]))
+    kept = docs.sparkSession.createDataFrame(ids, "doc_id long, hash long")
+    rows = met.join(F.broadcast(kept), ["doc_id", "hash"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "quality")
     return sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))
 
 
@@ -221,10 +236,11 @@ _MODELS: dict[bytes, Model] = {}
 
 
 def score_column(docs: DataFrame, model: bytes, keep_columns: list[str]) -> DataFrame:
-    """keep_columns of docs with score; text is scored whole, null as empty."""
+    """keep_columns of docs with score (the last column, under an unused name); text is scored whole, null as empty."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     names = [c for c in docs.columns if c in keep_columns]
+    last = unused("score", names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = _MODELS.get(model)
@@ -236,9 +252,9 @@ def score_column(docs: DataFrame, model: bytes, keep_columns: list[str]) -> Data
             for at, texts in text_chunks([pair]):
                 score[at] = net.scores([t.encode("utf-8", "surrogatepass") for t in texts])
             columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.record_batch([*columns, pa.array(score)], [*names, "score"])
+            yield pa.record_batch([*columns, pa.array(score)], [*names, last])
 
-    schema = StructType([*[docs.schema[c] for c in names], StructField("score", DoubleType())])
+    schema = StructType([*[docs.schema[c] for c in names], StructField(last, DoubleType())])
     return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
 
 
@@ -254,9 +270,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of docs whose score reaches the threshold, with the columns of docs.
+    """Rows of docs whose score reaches the threshold, with the columns of docs, whatever their names.
 
     Null and empty texts are scored like any other; repeated rows stay or go together. An empty table gives an empty result.
     """
     scored = score_column(docs, fit(docs, labels), docs.columns)
-    return scored.filter(F.col("score") >= THRESHOLD).select(*docs.columns)
+    return scored.filter(F.col(scored.columns[-1]) >= THRESHOLD).select(*docs.columns)

@@ -185,7 +185,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """docs with one row of each component: the smallest doc_id (null last), of its rows the one with the least text hash.
 
-    grouped: doc_id, text_hash and root of every row of docs.
+    grouped: doc_id, text_hash and root of every row of docs. The columns of docs stay, whatever their names; null texts
+    count as empty ones, and an empty table gives an empty result.
     Texts are shuffled once to meet the short list of kept rows, and never sorted; only keys of repeated rows,
     if there are any, are numbered to keep one.
     """
