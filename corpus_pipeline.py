@@ -1,7 +1,8 @@
 """A corpus pipeline: quality classifier, line dedup, near-dedup, PII sanitisation, packing.
 
 Each stage works on all rows that the stage before it kept and is written as Parquet in the shared folder
-before the next one reads it. All stages but the last return the columns of documents.
+before the next one reads it. All stages but the last return the columns of documents, whatever extra columns
+there are and however they are named. An empty table passes all stages and gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,27 +17,27 @@ from tidemark.llm.queries import word_tokenizer_file
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts; null and empty texts are scored like any other, repeated rows alike."""
     return quality.keep_quality(spark, docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that later documents repeat."""
-    return linededup.dedup_lines(docs).select(*docs.columns)
+    """Documents without the lines that later documents repeat; null texts stay null, repeated rows lose the same lines."""
+    return linededup.drop_repeated_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles are similar to 0.8 or more."""
+    """One document of each group of texts whose five-word shingles are similar to 0.8 or more; of null and empty texts one."""
     return jaccard.drop_near_duplicates(docs)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data and disclosing terms replaced."""
+    """Documents with personal data and disclosing terms replaced; rows without any, nulls included, stay as they are."""
     return pii.sanitise(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all token pieces in sequences."""
+    """Places of all token pieces in sequences; null and empty texts are one piece of the end id."""
     return packing.pack_documents(docs, word_tokenizer_file())
 
 
