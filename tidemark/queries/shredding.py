@@ -6,13 +6,17 @@ the views gives what the shredded pages must give.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.queries import query
-from tidemark.sources import html, sections
+from tidemark.sources import html, report_source, sections
 from tidemark.sources.adapters import duckdb_ctes as ctes
 from tidemark.sources.adapters import load
+from tidemark.sources.shared import shared_folder
+from tidemark.streaming.ingest import stream_cells
 
 REP = ctes("reports")
 TOP = ctes("top_sqls")
@@ -80,6 +84,34 @@ def src_html_file(s: SparkSession, d: str) -> DataFrame:
     return n.select("report_id", F.col("n").cast("int").alias("tables"))
 
 
+def report_files(s: SparkSession, d: str) -> str:
+    """A folder in the shared file system with one file for each report, all its statements included."""
+    folder = f"{shared_folder(s)}/reports-{uuid.uuid4()}"
+    pages(s, d).write.partitionBy("report_id").text(folder)
+    return folder
+
+
+def statements_by_file(cells: DataFrame) -> DataFrame:
+    """report_id, statements and executions of each file, from the columns of its statement table."""
+    report = F.regexp_extract("file_path", r"report_id=(\d+)", 1).cast("long").alias("report_id")
+    body = cells.filter("table_class = 'tdiff' AND NOT is_header AND col_idx IN (0, 6)").select(report, "col_idx", "text")
+    executions = F.sum(F.when(F.col("col_idx") == 6, F.replace("text", F.lit(","), F.lit("")).cast("long")))
+    return body.groupBy("report_id").agg(F.count_if(F.col("col_idx") == 0).alias("statements"), executions.alias("executions"))
+
+
+BY_FILE = TOP + "SELECT report_id, count(*) AS statements, CAST(sum(executions) AS BIGINT) AS executions FROM top_sqls GROUP BY 1"
+
+
+@query("src.html_source", BY_FILE)
+def src_html_source(s: SparkSession, d: str) -> DataFrame:
+    return statements_by_file(report_source.read_cells(s, report_files(s, d), suffixes=".txt"))
+
+
+@query("src.html_stream", BY_FILE)
+def src_html_stream(s: SparkSession, d: str) -> DataFrame:
+    return statements_by_file(stream_cells(s, report_files(s, d), f"{shared_folder(s)}/cells-{uuid.uuid4()}", suffixes=".txt"))
+
+
 @query("src.html_basic", REP + "SELECT id AS report_id, instance_name FROM reports")
 def src_html_basic(s: SparkSession, d: str) -> DataFrame:
     return html.basic_metadata(pages(s, d, False)).select("report_id", "instance_name")

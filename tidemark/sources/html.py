@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "report_id long, table_idx int, table_id string, table_class string, summary string, headings array<string>, wrapper_ids array<string>, row_idx int, col_idx int, is_header boolean, text string"
+ARROW_KINDS = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: How many earlier headings and ids a table is known by.
 NEAR = 4
@@ -94,7 +95,6 @@ def shred(html: str | None) -> list[tuple]:
 def cells(pages: DataFrame) -> DataFrame:
     """Cells of all tables of all pages; pages: report_id, html."""
     names = [c.strip().split()[0] for c in SCHEMA.split(",")]
-    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,7 +102,7 @@ def cells(pages: DataFrame) -> DataFrame:
             for i, key in enumerate(b.column(0).to_pylist()):
                 rows = [(key, *r) for r in shred(html[i].as_py())]
                 if rows:
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), ARROW_KINDS)], names)
 
     return pages.select("report_id", "html").mapInArrow(run, SCHEMA)
 
