@@ -70,7 +70,8 @@ def test_pii_patterns_are_linear(spark):
 
 
 def test_terms_that_reveal_an_entity(spark):
-    rows = [(i, f"please ask zanzibar for ann@x.org about thing{i % 7} the") for i in range(6)] + [(100 + i, f"the word number {i} is here please ask for about") for i in range(60)]
+    words = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot"]
+    rows = [(i, f"{w} {w}ed zanzibar {w}s ann@x.org {w}ing thing{i % 7} the") for i, w in enumerate(words)] + [(100 + i, f"the word number {i} is here please ask for about") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r["doc_id"]: r for r in pii.pii_digest(df).collect()}
     text = rows[0][1]
@@ -78,7 +79,7 @@ def test_terms_that_reveal_an_entity(spark):
     assert found == ["zanzibar"] and out[0]["n_removed"] == 1
     assert all(not out[i]["spans"] for i in range(100, 160))
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
-    assert clean[0] == "please ask  for [EMAIL] about thing0 the" and all(clean[i] == t for i, t in rows[6:])
+    assert clean[0] == "alpha alphaed  alphas [EMAIL] alphaing thing0 the" and all(clean[i] == t for i, t in rows[6:])
 
 
 def test_sanitise_keeps_columns_and_rows(docs, empty):

@@ -1,13 +1,15 @@
 """Personal data and information-theoretic sanitisation (DataFrame functions only).
 
 Base entities (e-mail, IP, card and phone numbers) are found by patterns that are linear in the text.
-Terms near an entity are then judged by how strongly the corpus says that they reveal it: with document
-frequencies, PMI(entity; term) relative to the entity's own information content IC(entity) is the share of
-the entity's information that the term discloses. An entity of a single document counts; the term's document
-frequency is smoothed by one document over the number of documents that hold both. Terms at or above
-`remove_at` are removed, terms from `generalise_at` on are generalised to the class of words written like them (names,
-acronyms, other words), wherever they stand in any text. A class stands in nearly every document, so it says next
-to nothing about any entity.
+Terms near an entity are then judged by how strongly the corpus says that they reveal it: PMI(entity; term) over
+the documents, relative to the entity's own information content IC(entity), is the share of the entity's information
+that the term discloses. A pair counts only where the corpus bears it out: in `MIN_CONTEXTS` texts of different
+surroundings at least, and so often that chance would hardly bring any of all pairs tested together like that
+(`ERROR_RATE`). Copies of a text, and texts whose words around the entity are nearly the same, are one context.
+The domain of an e-mail address is an entity too, so that addresses that occur once have a common one.
+Terms at or above `remove_at` are removed, terms from `generalise_at` on are generalised to the class of words written
+like them (names, acronyms, other words), wherever they stand in any text. A class stands in nearly every document,
+so it says next to nothing about any entity.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ PATTERNS = {
 }
 WINDOW, WINDOW_CHARS = 6, 160
 GENERALISE_AT, REMOVE_AT = 0.8, 0.95
+#: Least number of independent contexts of a pair, and the chance that any pair at all passes the test by accident.
+MIN_CONTEXTS, ERROR_RATE = 2, 0.01
+#: MinHash values of a context's pairs of neighbouring terms; contexts that agree in one are one, those with half of the pairs in common in three of four cases.
+CONTEXT_HASHES = 2
 #: Told terms up to this number meet the words of all texts by a broadcast instead of a shuffle of all words.
 BROADCAST_TERMS = 200_000
 #: A term: a run of letters between white space or ends, apart from punctuation.
@@ -86,31 +92,61 @@ def find_entities(docs: DataFrame) -> DataFrame:
 
 
 def window_terms(entities: DataFrame) -> DataFrame:
-    """Distinct rows (_k1, _k2, entity, term): the WINDOW terms on either side of each entity."""
+    """Distinct rows (_k2, entity, term, m0, m1, ..): the WINDOW terms on either side of each entity.
+
+    m0, m1, ..: MinHash values of the pairs of neighbouring terms around the entity (common single words don't make contexts alike). An e-mail address has rows for its domain as well.
+    An entity without terms around it has one row with term null.
+    """
     t, cut = _sql(TERM), WINDOW_CHARS
     # a side that is longer than the window starts or ends within a word, which is left out
     before = f"slice(reverse(regexp_extract_all(CASE WHEN char_length(tail) > {cut} THEN regexp_replace(tail, '^\\\\S+', '') ELSE tail END, {t}, 0)), 1, {WINDOW})"
     after = f"slice(regexp_extract_all(CASE WHEN char_length(head) > {cut} THEN regexp_replace(head, '\\\\S+$', '') ELSE head END, {t}, 0), 1, {WINDOW})"
-    return entities.select("_k1", "_k2", "entity", F.explode(F.expr(f"transform(concat({before}, {after}), x -> lower(x))")).alias("term")).distinct()
+    near = entities.select("_k2", "entity", F.expr(f"transform(concat({before}, {after}), x -> lower(x))").alias("terms"))
+    near = near.withColumn("grams", F.expr("CASE WHEN size(terms) > 1 THEN transform(slice(terms, 1, size(terms) - 1), (x, i) -> concat(x, ' ', terms[i + 1])) ELSE terms END"))
+    hashes = [F.coalesce(F.expr(f"array_min(transform(grams, x -> xxhash64(concat(x, '{i}'))))"), F.lit(0)).alias(f"m{i}") for i in range(CONTEXT_HASHES)]
+    pools = F.expr("CASE WHEN entity LIKE '0:%' THEN array(entity, regexp_replace(entity, ':[^@]*@', ':@')) ELSE array(entity) END")
+    rows = near.select("_k2", F.explode(pools).alias("entity"), "terms", *hashes)
+    return rows.select("_k2", "entity", F.explode_outer("terms").alias("term"), *[f"m{i}" for i in range(CONTEXT_HASHES)]).distinct()
+
+
+def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Rows (th, df): in how many rows of docs each of terms, given by the hash th, stands as a run of letters.
+
+    Up to BROADCAST_TERMS terms meet the words where these lie, so only counts of them are shuffled.
+    """
+    words = docs.filter("text IS NOT NULL").select(F.explode(F.expr(r"array_distinct(transform(split(lower(text), '[^\\p{L}]+'), w -> xxhash64(w)))")).alias("th"))
+    terms = checkpoint(terms)
+    if terms.count() <= BROADCAST_TERMS:
+        return words.join(F.broadcast(terms), "th").groupBy("th").agg(F.count(F.lit(1)).alias("df"))
+    return words.groupBy("th").agg(F.count(F.lit(1)).alias("df")).join(terms, "th")
 
 
-def document_frequency(docs: DataFrame) -> DataFrame:
-    """Rows (th, df): in how many rows of docs a term, given by its hash, stands as a run of letters."""
-    terms = F.expr(r"array_distinct(transform(split(lower(text), '[^\\p{L}]+'), w -> xxhash64(w)))")
-    return docs.filter("text IS NOT NULL").select(F.explode(terms).alias("th")).groupBy("th").agg(F.count(F.lit(1)).alias("df"))
+def _contexts() -> Column:
+    """Number of contexts of a group: of texts, and of surroundings by each hash, whichever is least."""
+    return F.least(F.count_distinct("_k2"), *[F.count_distinct(f"m{i}") for i in range(CONTEXT_HASHES)])
 
 
-def disclosure(docs: DataFrame, near: DataFrame, entities: DataFrame) -> DataFrame:
-    """Rows (entity, term, share): the share of the entity's information content that the term discloses."""
+def disclosure(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """Rows (entity, term, share): the share of the entity's information content that the term discloses.
+
+    Only pairs of MIN_CONTEXTS contexts that pass the test against chance are rows. near: rows of window_terms(), a
+    written table. Document frequencies count every row of docs, so copies of a term's text can only lower its share.
+    """
     n = docs.count()
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    per_entity = entities.select("_k1", "_k2", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    pairs = near.filter("term IS NOT NULL").groupBy("entity", "term").agg(_contexts().alias("both"))
+    tested = pairs.count()
+    pairs = checkpoint(pairs.filter(F.col("both") >= MIN_CONTEXTS))
+    per_entity = near.groupBy("entity").agg(_contexts().alias("n_entity"))
     terms = pairs.select(F.xxhash64("term").alias("th")).distinct()
-    df = document_frequency(docs).join(terms, "th")
+    df = document_frequency(docs, terms)
     joined = pairs.join(per_entity, "entity").withColumn("th", F.xxhash64("term")).join(df, "th")
-    pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("n_entity") * (F.col("df") + 1 / F.col("both"))))
-    ic = F.log2(F.lit(float(n)) / F.col("n_entity"))
-    return joined.select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)).alias("share"))
+    both = F.col("both").cast("double")
+    expected = F.col("n_entity") * F.col("df") / F.lit(float(max(n, 1)))
+    # Chernoff's bound of the probability that a Poisson variable of this mean reaches both
+    by_chance = both - expected + both * F.log(expected / both)
+    real = (both > expected) & (by_chance + F.log(F.lit(float(max(tested, 1)))) < F.log(F.lit(ERROR_RATE)))
+    ic = F.log2(F.lit(float(max(n, 1))) / F.col("n_entity"))
+    return joined.filter(real).select("entity", "term", F.when(ic > 0, F.log2(both / expected) / ic).otherwise(F.lit(0.0)).alias("share"))
 
 
 def form_of(m: Column) -> Column:
@@ -146,7 +182,7 @@ def find_spans(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at:
     removed: for terms, whether the term goes altogether; true for base entities. form: the class of a term, see form_of().
     """
     entities = checkpoint(find_entities(docs))
-    told = disclosure(docs, window_terms(entities), entities).filter(F.col("share") >= generalise_at)
+    told = disclosure(docs, checkpoint(window_terms(entities))).filter(F.col("share") >= generalise_at)
     told = told.groupBy("term").agg(F.max(F.col("share") >= remove_at).alias("removed"))
     terms = term_places(docs, told, entities)
     base = entities.select("_k1", "_k2", "kind", "start", "end", F.lit(True).alias("removed"), F.lit(None).cast("string").alias("form"))
