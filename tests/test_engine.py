@@ -268,3 +268,12 @@ def test_flagship(spark):
         pytest.skip("no test data")
     out = e.entry(spark)
     assert out.count() > 0 and "score" in out.columns
+
+
+def test_log_of_rows(spark, tmp_path):
+    kept = store.Store(spark, str(tmp_path / "log"))
+    kept.log_rows(spark.createDataFrame([(f"2024-01-0{1 + i % 3}", "ann", "import", "Report", str(i), i % 2 == 0) for i in range(6)], "timestamp string, user_id string, action string, entity_type string, entity_id string, success boolean"))
+    kept.log("delete", "Report", "9", "2024-02-01")
+    first = kept.logged(3).collect()
+    assert [(r["timestamp"], r["entity_id"]) for r in first[:1]] == [("2024-02-01", "9")] and {r["entity_id"] for r in first[1:]} == {"2", "5"}
+    assert kept.logged(50, offset=5).count() == 2 and kept.logged(50).filter("id IS NULL").count() == 0

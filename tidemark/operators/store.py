@@ -207,7 +207,17 @@ class Store:
     def log(self, action: str, entity_type: str, entity_id: str, at: str, user_id: str = "system", details: str | None = None, success: bool = True, error: str | None = None) -> None:
         """One row of the audit log."""
         row = self.spark.createDataFrame([(at, user_id, action, entity_type, entity_id, success, error, details)], "timestamp string, user_id string, action string, entity_type string, entity_id string, success boolean, error_message string, details string")
-        self.append("audit_logs", row.withColumn("id", F.xxhash64("timestamp", "action", "entity_type", "entity_id")))
+        self.log_rows(row)
+
+    def log_rows(self, rows: DataFrame) -> None:
+        """Rows of the audit log, any number of them as one batch; without an id they get one of their own values."""
+        named = rows if "id" in rows.columns else rows.withColumn("id", F.xxhash64("timestamp", "action", "entity_type", "entity_id"))
+        self.append("audit_logs", named)
+
+    def logged(self, limit: int, offset: int = 0) -> DataFrame:
+        """A page of the audit log, newest first."""
+        out = self.read("audit_logs").orderBy(F.desc("timestamp"), F.desc("id"))
+        return (out.offset(offset) if offset else out).limit(limit)
 
 
 def manifest(rows: DataFrame, kind: str, date: str, version: str = "1.0") -> DataFrame:

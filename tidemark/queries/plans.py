@@ -191,10 +191,17 @@ def plan_split_two(s: SparkSession, d: str) -> DataFrame:
     return two.select("plan_id", starts.alias("starts")).join(n("left"), "plan_id", "left").join(n("right"), "plan_id", "left").select("plan_id", "n_left", F.coalesce("n_right", F.lit(0)).alias("n_right"), "starts")
 
 
-@query("win.root_spacing", TOP + "SELECT report_id AS plan_id, 2 AS n FROM top_sqls GROUP BY report_id")
+#: Lines at which plans begin in the text of a day's orders: line number by the order's key, any number of them a day.
+ROOTS = "SELECT o_orderdate AS plan_id, CAST(o_orderkey % 997 AS INTEGER) AS line_no FROM "
+
+
+@query("win.root_spacing", f"""WITH RECURSIVE l AS (SELECT DISTINCT * FROM ({ROOTS} orders)), d AS (SELECT plan_id, list_sort(list(line_no)) AS l FROM l GROUP BY 1),
+ r AS (SELECT plan_id, l, l[1] AS last, [l[1]] AS roots FROM d UNION ALL
+ SELECT plan_id, l, nxt, list_append(roots, nxt) FROM (SELECT *, list_filter(l, lambda x: x > last + 10)[1] AS nxt FROM r) WHERE nxt IS NOT NULL)
+SELECT plan_id, max(len(roots)) AS n, array_to_string(arg_max(roots, len(roots)), ',') AS roots FROM r GROUP BY 1""")
 def win_root_spacing(s: SparkSession, d: str) -> DataFrame:
-    lines = load(s, d, "top_sqls").select(F.col("report_id").alias("plan_id")).distinct().select("plan_id", F.explode(F.array(F.lit(0), F.lit(5), F.lit(12), F.lit(20))).alias("line_no"))
-    return analysis.root_lines(lines).select("plan_id", F.size("roots").alias("n"))
+    lines = s.sql(ROOTS + "{orders}", orders=load(s, d, "orders")).distinct()
+    return analysis.root_lines(lines).select("plan_id", F.size("roots").cast("long").alias("n"), F.array_join(F.col("roots").cast("array<string>"), ",").alias("roots"))
 
 
 @query("plan.detect_type", PT + "SELECT DISTINCT plan_id, 'Explain Analyze' AS plan_type FROM plan_truth")
@@ -353,9 +360,18 @@ def srt_plan_cost(s: SparkSession, d: str) -> DataFrame:
     return nodes(s, d).select("plan_id", "node_id", "total_cost").orderBy(F.desc("total_cost"), "plan_id", "node_id").limit(100)
 
 
-@query("plan.opt_index", PT + "SELECT plan_id, node_id, concat('-- Consider: CREATE INDEX idx_', table_name, '_(k ON ', table_name, '((k);') AS statement FROM plan_truth WHERE FALSE UNION ALL SELECT plan_id, node_id, NULL FROM plan_truth WHERE node_id = 2")
+#: Filters of the plans of many shapes; every other one of a kind ends in a plain comparison, whose column can be indexed.
+INDEXABLE = "CASE WHEN shape = 0 AND node_id = 2 AND plan_id % 2 = 0 THEN 'Filter: ((qty > 5) AND day = 9)' ELSE detail END"
+
+
+@query("plan.opt_index", SHAPES.rstrip() + f""", s AS (SELECT plan_id, node_id, split_part(split_part(operation, ' on ', 2), ' ', 1) AS t, {INDEXABLE} AS d FROM plan_shapes WHERE contains(operation, 'Seq Scan on ')),
+ f AS (SELECT *, CASE WHEN starts_with(d, 'Filter: ') THEN substr(d, 9) END AS c FROM s)
+SELECT plan_id, node_id, CASE WHEN contains(c, ' AND day = ') THEN concat('-- Consider: CREATE INDEX idx_', t, '_day ON ', t, '(day);') END AS statement,
+ CASE WHEN c IS NULL THEN concat('Sequential scan on ', t, ' without filter - check if index needed') WHEN contains(c, ' AND day = ') THEN concat('Sequential scan on ', t, ' with filter ''', c, ''' - consider index on day')
+  ELSE concat('Sequential scan on ', t, ' with complex filter ''', c, ''' - manual analysis needed') END AS explanation FROM f""")
 def plan_opt_index(s: SparkSession, d: str) -> DataFrame:
-    return analysis.advice(nodes(s, d)).filter("kind = 'index'").select("plan_id", "node_id", "statement")
+    n = parse.parse_text(parse.text_of(shapes(s, d).withColumn("detail", F.expr(INDEXABLE))))
+    return analysis.advice(n).filter("kind = 'index'").select("plan_id", "node_id", "statement", "explanation")
 
 
 @query("plan.opt_stats", PT + "SELECT plan_id, node_id, concat('-- Consider: ANALYZE ', table_name, ';') AS statement FROM plan_truth WHERE table_name IS NOT NULL")
@@ -465,11 +481,23 @@ def lint_dispatch(s: SparkSession, d: str) -> DataFrame:
     return lint.lint(load(s, d, "top_sqls")).select("id", "kind")
 
 
-@query("rw.run", TOP + "SELECT id, 'eliminate-select-star' AS rule_id, concat('SELECT id, name FROM ', tbl, ' WHERE UPPER(name) = ?') AS rewritten FROM top_sqls WHERE p_partkey % 6 = 0")
+#: A statement for each order, of seven kinds; the tables stock and visits are known, archive is not.
+ASKED = """SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN 'SELECT * FROM stock WHERE sku = ?' WHEN 1 THEN concat('SELECT sku FROM stock WHERE sku IN (SELECT sku FROM visits WHERE day = ', o_custkey, ')')
+ WHEN 2 THEN 'select *  from archive' WHEN 3 THEN concat('SELECT day FROM visits WHERE guest = $1 AND state = ''', o_orderstatus, '''') WHEN 4 THEN 'SELECT day FROM visits'
+ WHEN 5 THEN concat('DELETE FROM visits WHERE EXISTS (SELECT 1 FROM stock WHERE stock.n > ', o_custkey, ')') ELSE concat('SELECT  * FROM Visits WHERE guest=', o_custkey) END AS sql_text FROM """
+KNOWN = (("stock", ["sku", "n"]), ("visits", ["day", "guest", "state"]))
+_PROBE = "concat('SELECT {0}, count(*) FROM {1} GROUP BY {0} HAVING count(*) > 1')"
+_TOP10 = "'SELECT {0}, count(*) FROM {1} GROUP BY {0} ORDER BY count(*) DESC LIMIT 10'"
+
+
+@query("rw.run", f"""SELECT id, rule_id, rewritten FROM (SELECT o_orderkey AS id, o_custkey AS c, o_orderkey % 7 AS k FROM orders) JOIN LATERAL (VALUES
+ (0, 'eliminate-select-star', 'SELECT sku, n FROM stock WHERE sku = ?'), (0, 'detect-duplicate-eq-keys', {_PROBE.format('sku', 'stock')}), (0, 'extract-candidate-values', {_TOP10.format('sku', 'stock')}),
+ (1, 'detect-duplicate-eq-keys', {_PROBE.format('day', 'stock')}), (1, 'subquery-to-join', NULL), (2, 'eliminate-select-star', NULL),
+ (3, 'detect-duplicate-eq-keys', {_PROBE.format('guest, state', 'visits')}), (3, 'extract-candidate-values', {_TOP10.format('guest', 'visits')}), (5, 'subquery-to-join', NULL),
+ (6, 'eliminate-select-star', concat('SELECT day, guest, state FROM Visits WHERE guest=', c)), (6, 'detect-duplicate-eq-keys', {_PROBE.format('guest', 'Visits')})) AS v(kind, rule_id, rewritten) ON v.kind = k""")
 def rw_run(s: SparkSession, d: str) -> DataFrame:
-    t = load(s, d, "top_sqls")
-    schema = t.select(F.col("tbl").alias("table_name")).distinct().withColumn("columns", F.array(F.lit("id"), F.lit("name")))
-    return lint.rewrite(t, schema).filter("rule_id = 'eliminate-select-star'").select("id", "rule_id", "rewritten")
+    asked = s.sql(ASKED + "{orders}", orders=load(s, d, "orders"))
+    return lint.rewrite(asked, s.createDataFrame(KNOWN, "table_name string, columns array<string>")).select("id", "rule_id", "rewritten")
 
 
 @query("set.rules_applied", TOP + "SELECT id, 1 AS n FROM top_sqls WHERE p_partkey % 6 = 0")

@@ -795,9 +795,14 @@ for _name in ("thr.history", "flt.threshold_history"):
         return thresholds.history(e, "key3")
 
 
-@query("log.audit", "SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 50")
+LOGGED = "SELECT event_id AS id, CAST(ts AS {STR}) AS timestamp, concat('user', user_id) AS user_id, event_type AS action, 'Event' AS entity_type, CAST(event_id AS {STR}) AS entity_id, event_type <> 'error' AS success FROM "
+
+
+@query("log.audit", f"SELECT id, timestamp, user_id, action, success FROM ({LOGGED.replace('{STR}', 'VARCHAR')} events) ORDER BY timestamp DESC, id DESC LIMIT 50")
 def log_audit(s: SparkSession, d: str) -> DataFrame:
-    return catalog.page(load(s, d, "events").select("event_id", "user_id", "event_type"), [F.desc("event_id")], 50)
+    kept = scratch(s)
+    kept.log_rows(s.sql(LOGGED.replace("{STR}", "STRING") + "{events}", events=load(s, d, "events")))
+    return kept.logged(50).select("id", "timestamp", "user_id", "action", "success")
 
 
 # ---- risks, export, integrity, generic comparison
