@@ -1,15 +1,15 @@
 """Alignment of two tokenizers over the same text: groups of tokens that span the same bytes, and links between ids.
 
-Python runs only to tokenise: it returns the ids of both tokenizers and the byte offset at which each token ends.
-All else is done by higher-order functions. array_intersect of the two end arrays gives the common ends, which cut both
-token rows into groups; where the common ends lie in each row is found by sorting them in among all of its ends. A sequence over the groups then joins their ids, and zip_with gives the linked id
-pairs. Pairs are counted over the corpus with partial aggregation; documents get the counts back by a join in which
+Tasks encode a batch of texts and mark the bytes at which tokens of either side end; bytes marked twice cut both token
+rows into groups, for all texts of the batch in a few array steps. The last ids of a group's sides are a linked pair, and
+what leaves a task is a digest and the linked pairs. Pairs are counted over the corpus with partial aggregation; documents get the counts back by a join in which
 the pairs that fill the corpus are broadcast (at most 65,536 of them, by their share) and the others are shuffled.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import itertools
 import json
 import os
@@ -28,8 +28,7 @@ from tidemark.llm.packing import byte_symbols
 
 #: Ids of B take the lower 16 bits of a pair.
 B_BITS = 16
-#: No array holds a null, so Spark sorts and intersects them as plain integers.
-TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.ArrayType(T.IntegerType(), False), False) for c in ("a_ids", "a_ends", "b_ids", "b_ends")]])
+GROUPS = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.LongType(), False) for c in ("n_a", "n_b", "n_groups")], T.StructField("groups_sha256", T.StringType(), False), T.StructField("pairs", T.ArrayType(T.LongType(), False), False)])
 #: Words in a worker's cache, twice at most, the longest one that goes there, and characters encoded at a time.
 CACHE_WORDS, CACHED_CHARS, CHUNK_CHARS = 120_000, 100, 400_000
 
@@ -167,54 +166,57 @@ class TokenPair:
 _PAIRS: dict[tuple[str, str], TokenPair] = {}
 
 
-def tokenised(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
-    """doc_id, a_ids, a_ends, b_ids, b_ends of every row of docs; ends are byte offsets after a leading space."""
+class Grouper:
+    """Groups and links of the texts of a batch, all at once, from the ids of both sides and the bytes at which they end."""
+
+    def __init__(self, n_a: int, n_b: int) -> None:
+        decimal = [str(i).encode() for i in range(max(n_a, n_b))]
+        #: Each id as text before a comma, the bar between a group's sides and the semicolon after it.
+        self.text = pa.array([d + end for d in decimal for end in (b",", b"|", b";")], pa.large_binary())
+
+    def rows(self, encoded: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> list[pa.Array]:
+        """n_a, n_b, n_groups, groups_sha256 and pairs (a_id * 65536 + b_id, one a link) of each text."""
+        n_a, n_b = (np.array([len(x[i]) for x in encoded], np.int64) for i in (0, 2))
+        a, a_ends, b, b_ends = (np.concatenate(x).astype(np.int64) for x in zip(*encoded))
+        size = np.array([int(x[1][-1]) if len(x[1]) else 0 for x in encoded], np.int64)
+        shift = np.cumsum(size) - size
+        a_ends += np.repeat(shift, n_a)
+        b_ends += np.repeat(shift, n_b)
+        marks = np.zeros((2, int(size.sum()) + 1), bool)
+        marks[0, a_ends] = marks[1, b_ends] = True
+        # the last id of a group on either side, and the number of groups that are over before an id
+        a_last, b_last = marks[1, a_ends], marks[0, b_ends]
+        a_at, b_at = np.flatnonzero(a_last), np.flatnonzero(b_last)
+        a_over, b_over = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.concatenate([[0], b_at + 1])[a_over]] = a * 3 + a_last
+        order[np.arange(len(b)) + (a_at + 1)[b_over]] = b * 3 + 2 * b_last
+        text = self.text.take(pa.array(order))
+        data = memoryview(text.buffers()[2] or b"")
+        at = np.frombuffer(text.buffers()[1], np.int64)[: len(order) + 1] if len(order) else np.zeros(1, np.int64)
+        ends = at[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
+        digests = [hashlib.sha256(data[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(ends, ends[1:])]
+        cuts = np.searchsorted(a_at, np.concatenate([[0], np.cumsum(n_a)]))
+        pairs = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(a[a_at] << B_BITS | b[b_at]), pa.list_(pa.field("element", pa.int64(), False)))
+        return [pa.array(n_a), pa.array(n_b), pa.array(np.diff(cuts)), pa.array(digests, pa.string()), pairs]
+
+
+_PAIRS: dict[tuple[str, str], tuple[TokenPair, Grouper]] = {}
+
+
+def groups(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, groups_sha256 and pairs of every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (a_file, b_file)
-        _PAIRS[key] = _PAIRS.get(key) or TokenPair(*key)
-        kind = pa.list_(pa.field("element", pa.int32(), False))
+        if key not in _PAIRS:
+            pair = TokenPair(*key)
+            _PAIRS[key] = pair, Grouper(*map(len, pair.bytes))
+        pair, grouper = _PAIRS[key]
         for keys, texts in text_chunks(batches, CHUNK_CHARS):
-            columns = zip(*_PAIRS[key].encode(texts))
-            yield pa.record_batch([pa.array(keys, pa.int64()), *[pa.array(list(c), kind) for c in columns]], TOKENS.names)
+            yield pa.record_batch([pa.array(keys, pa.int64()), *grouper.rows(list(pair.encode(texts)))], GROUPS.names)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, TOKENS)
-
-
-def _places(ends: str) -> str:
-    """SQL: the numbers p at which ends and common, sorted together, hold a value twice.
-
-    The r-th common end (from 0) then stands at place p - r of ends.
-    """
-    return f"filter(sequence(0, size({ends}) - 2), p -> {ends}[p] = {ends}[p + 1])"
-
-
-def _ids(ids: str, at: str) -> str:
-    """SQL: the ids of group g, joined by commas; a group of one is the usual case.
-
-    A sequence names the places: slice() would copy the whole array for each group.
-    """
-    begin = f"coalesce(get({at}, g - 1) + 1, 0)"
-    return f"CASE WHEN {at}[g] = {begin} THEN string({ids}[{at}[g]]) ELSE array_join(transform(sequence({begin}, {at}[g]), i -> string({ids}[i])), ',') END"
-
-
-def groups(tokens: DataFrame) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and pairs (array of a_id * 65536 + b_id, one a link)."""
-    step = tokens.withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    both = {f"{x}_both": F.sort_array(F.concat(f"{x}_ends", "common")) for x in "ab"}
-    step = step.select("doc_id", "a_ids", "b_ids", F.size("common").cast("long").alias("n"), *[c.alias(k) for k, c in both.items()])
-    none = "CASE WHEN n = 0 THEN cast(array() AS array<int>) ELSE transform({0}, (p, r) -> p - r) END"
-    step = step.select("doc_id", "a_ids", "b_ids", "n", *[F.expr(none.format(_places(f"{x}_both"))).alias(f"{x}_at") for x in "ab"])
-    text = f"array_join(transform(sequence(0, int(n) - 1), g -> concat({_ids('a_ids', 'a_at')}, '|', {_ids('b_ids', 'b_at')})), ';')"
-    return step.select(
-        "doc_id",
-        F.size("a_ids").cast("long").alias("n_a"),
-        F.size("b_ids").cast("long").alias("n_b"),
-        F.col("n").alias("n_groups"),
-        F.col("n").alias("n_links"),
-        F.when(F.col("n") == 0, F.lit("")).otherwise(F.sha2(F.expr(text), 256)).alias("groups_sha256"),
-        F.expr(f"zip_with(a_at, b_at, (x, y) -> shiftleft(bigint(a_ids[x]), {B_BITS}) | b_ids[y])").alias("pairs"),
-    )
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, GROUPS)
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -234,7 +236,7 @@ def align(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     normalises), have no tokens: all zeros and an empty groups_sha256. Repeated rows and null doc_ids count like any
     other; extra columns are dropped; an empty table gives an empty result.
     """
-    table = written(groups(tokenised(docs, a_file, b_file)).withColumn("row", F.monotonically_increasing_id()))
+    table = written(groups(docs, a_file, b_file).withColumn("n_links", F.col("n_groups")).withColumn("row", F.monotonically_increasing_id()))
     links = table.select("row", F.explode("pairs").alias("pair"))
     counts = pair_counts(links)
     total = counts.agg(F.sum("n")).first()[0] or 0
