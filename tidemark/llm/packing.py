@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -67,7 +68,7 @@ class WordTokenizer:
         self.pairs = PairMerger(pairs) if ids == sorted(set(ids)) and len(ids) == len(model["merges"]) else None
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
         self.cache_words = cache_words
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
@@ -101,13 +102,22 @@ class WordTokenizer:
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words without white space: plain Latin words piece by piece, others by the library."""
-        split: list[list[str] | None] = [None] * len(words)
+        # words of ASCII letters alone are one piece
+        split = [w.lower() if w.isascii() and w.isalpha() else None for w in words] if self.pairs else [None] * len(words)
+        mixed: dict[int, list[str]] = {}
         if self.pairs:
             plain, added, find = LATIN_WORD.fullmatch, self.added, PIECES.findall
-            split = [find(w.lower()) if plain(w) and not ("<" in w and any(a in w for a in added)) else None for w in words]
-        pieces = list({p for ps in split if ps for p in ps})
-        get = dict(zip(pieces, self._merge(pieces) if pieces else ())).__getitem__
-        out = [None if ps is None else b"".join(map(get, ps)) for ps in split]
+            for i, p in enumerate(split):
+                if p is None and plain(w := words[i]) and not ("<" in w and any(a in w for a in added)):
+                    mixed[i] = find(w.lower())
+        # a piece is a word whose only piece is itself, so the cache of words knows many
+        pieces = {p for p in split if p is not None}.union(*mixed.values())
+        new = [p for p in pieces if p not in self.cache]
+        self.cache.update(zip(new, self._merge(new) if new else ()))
+        get = self.cache.get
+        out = list(map(get, split))
+        for i, ps in mixed.items():
+            out[i] = b"".join(map(get, ps))
         rest = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(rest, self._joined([words[i] for i in rest])):
             out[i] = x
@@ -115,28 +125,28 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        words = [None if any(c in t for c in (*NOT_SPACE, *self.spaced)) else t.split() for t in texts]
-        flat = [w for ws in words if ws for w in ws]
+        apart = [any(c in t for c in (*NOT_SPACE, *self.spaced)) for t in texts]
+        # Arrow cuts at the same characters as str.split(), and leaves empty words at white space on either end
+        split = pc.utf8_split_whitespace(pa.array(["" if x else t for t, x in zip(texts, apart)], pa.string()))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.cache) > self.cache_words:
             # words that are still in use move on from the older half
-            self.cache, self.older = {}, self.cache
-        found = list(map(self.cache.get, flat))
-        if None in found:
-            gaps = [i for i, x in enumerate(found) if x is None]
-            missing = {flat[i] for i in gaps}
+            self.cache, self.older = {"": b""}, self.cache
+        found = list(map(self.cache.get, distinct))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        if gaps:
+            missing = [distinct[i] for i in gaps]
             self.cache.update((w, self.older[w]) for w in missing if w in self.older)
             missing = [w for w in missing if w not in self.cache]
             self.cache.update(zip(missing, self._words(missing)))
             for i in gaps:
-                found[i] = self.cache[flat[i]]
-        out, at = [], 0
-        for t, ws in zip(texts, words):
-            if ws is None:
-                out.append(self._raw([t])[0])
-            else:
-                out.append(b"".join(found[at : at + len(ws)]))
-                at += len(ws)
-        return out
+                found[i] = self.cache[distinct[i]]
+        ids = pa.array(found, pa.large_binary()).take(words.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :][: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        data = memoryview(ids.buffers()[2] or b"")
+        ends = at[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())]).astype(np.int64)].tolist()
+        return [self._raw([t])[0] if x else bytes(data[a:b]) for t, x, a, b in zip(texts, apart, ends, ends[1:])]
 
 
 class SumOfSquares:
