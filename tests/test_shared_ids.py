@@ -46,6 +46,6 @@ def test_ids_are_shared(spark, shifted):
     assert t.select("id").distinct().count() < t.count()
 
 
-@pytest.mark.parametrize("name", ["agg.hot_issues", "agg.issue_summary", "agg.severity_counts"])
+@pytest.mark.parametrize("name", ["agg.hot_issues", "agg.issue_summary", "agg.severity_counts", "aud.bulk_update"])
 def test_audit(spark, shifted, name):
     same_as_sql(spark, shifted, name)
