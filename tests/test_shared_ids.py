@@ -49,3 +49,8 @@ def test_ids_are_shared(spark, shifted):
 @pytest.mark.parametrize("name", ["agg.hot_issues", "agg.issue_summary", "agg.severity_counts", "aud.bulk_update", "aud.cartesian", "aud.expensive_func", "aud.full_scan", "aud.hash_join_large", "aud.inefficient_join", "aud.missing_index", "aud.missing_stats", "aud.nested_loop_index"])
 def test_audit(spark, shifted, name):
     same_as_sql(spark, shifted, name)
+
+
+@pytest.mark.parametrize("name", ["join.predicate_info"])
+def test_plans(spark, shifted, name):
+    same_as_sql(spark, shifted, name)
