@@ -51,6 +51,6 @@ def test_audit(spark, shifted, name):
     same_as_sql(spark, shifted, name)
 
 
-@pytest.mark.parametrize("name", ["join.predicate_info", "plan.parse_tabular_ui", "agg.plan_metadata"])
+@pytest.mark.parametrize("name", ["join.predicate_info", "plan.parse_tabular_ui", "agg.plan_metadata", "agg.saved_plan_meta"])
 def test_plans(spark, shifted, name):
     same_as_sql(spark, shifted, name)
