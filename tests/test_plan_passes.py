@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from tidemark.plans import analysis, parse
 
-NEEDS = ("agg.node_severity",)
+NEEDS = ("agg.node_severity", "plan.contains")
 
 
 @pytest.mark.parametrize("name", NEEDS)
