@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from tidemark.plans import analysis, parse
 
-NEEDS = ("agg.node_severity", "plan.contains", "plan.save_list")
+NEEDS = ("agg.node_severity", "plan.contains", "plan.save_list", "plan.opt_confidence")
 
 
 @pytest.mark.parametrize("name", NEEDS)
