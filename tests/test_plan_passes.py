@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from tidemark.plans import analysis, parse
 
-NEEDS = ("agg.node_severity", "plan.contains", "plan.save_list", "plan.opt_confidence", "plan.analyze", "agg.finding_stats", "agg.table_names")
+NEEDS = ("agg.node_severity", "plan.contains", "plan.save_list", "plan.opt_confidence", "plan.analyze", "agg.finding_stats", "agg.table_names", "srt.plan_cost")
 
 
 @pytest.mark.parametrize("name", NEEDS)
