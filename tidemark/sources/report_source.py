@@ -1,14 +1,15 @@
-"""HTML reports as a Spark data source: files are shredded into table cells where they are read.
+"""HTML reports as a Spark data source: files are shredded into table rows where they are read.
 
 `spark.read.format("html_reports").load(folder)` and `spark.readStream.format("html_reports").load(folder)` give the
-relation of tidemark.sources.html with the path of the file. No page travels as a row: a task reads the files of
-its partition one by one and gives Arrow batches of cells. Partitions are filled by bytes, largest files first, so that
+table rows of tidemark.sources.html with the path of the file. No page travels as a row: a task reads the files of
+its partition one by one, piece by piece, and gives Arrow batches of table rows. Partitions are filled by bytes, largest files first, so that
 a very long report gets one of its own. Files are opened by pyarrow, so a folder may be on any file system
 it knows; executors must see it under the same name as the driver.
 """
 
 from __future__ import annotations
 
+import codecs
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,12 +19,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from tidemark.sources.html import ARROW_KINDS, SCHEMA, shred
+from tidemark.sources.html import ARROW_KINDS, BATCH_ROWS, ROW_SCHEMA, Shredder, cells_of, row_batches
 
 NAME = "html_reports"
-#: Bytes of files for a partition (Python shreds about one MB a second), least number of seconds that a file of a stream must be old, cells of a batch.
-PARTITION_BYTES, SETTLED_S, BATCH_CELLS = 4 << 20, 0.0, 20_000
-FILE_SCHEMA = "file_path string, file_size long, " + SCHEMA.split(", ", 1)[1]
+#: Bytes of files for a partition (one or more MB a second), least number of seconds that a file of a stream must be old, bytes that are read at once.
+PARTITION_BYTES, SETTLED_S, PIECE = 4 << 20, 0.0, 1 << 20
+FILE_SCHEMA = "file_path string, file_size long, " + ROW_SCHEMA.split(", ", 1)[1]
 NAMES = [c.split()[0] for c in FILE_SCHEMA.split(", ")]
 KINDS = [pa.string(), pa.int64(), *ARROW_KINDS[1:]]
 
@@ -64,14 +65,18 @@ def by_bytes(files: list[tuple[str, int]], partition_bytes: int) -> list[Files]:
 
 
 def read_files(folder: str, files: list[tuple[str, int]]) -> Iterator[pa.RecordBatch]:
-    """Cells of files in order; bytes that are no UTF-8 become replacement characters. Files without tables give no rows."""
+    """Table rows of files in order; bytes that are no UTF-8 become replacement characters. Files without tables give no rows."""
     system, _ = opened(folder)
     for path, size in files:
+        page, decoder = Shredder(), codecs.getincrementaldecoder("utf-8")("replace")
         with system.open_input_stream(path) as f:
-            rows = shred(f.read().decode("utf-8", "replace"))
-        for at in range(0, len(rows), BATCH_CELLS):
-            columns = zip(*((path, size, *r) for r in rows[at : at + BATCH_CELLS]))
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, KINDS)], NAMES)
+            while piece := f.read(PIECE):
+                page.feed(decoder.decode(piece))
+                if len(page.rows) >= BATCH_ROWS:
+                    yield from row_batches(page.take(), KINDS, NAMES, path, size)
+        page.feed(decoder.decode(b"", True))
+        page.close()
+        yield from row_batches(page.take(), KINDS, NAMES, path, size)
 
 
 class _Settings:
@@ -136,7 +141,12 @@ class HtmlReports(DataSource):
         return ReportStreamReader(self.options)
 
 
-def read_cells(spark: SparkSession, folder: str, stream: bool = False, **options: object) -> DataFrame:
-    """file_path, file_size and the cells of all tables of the HTML files below a folder, or a stream of them."""
+def read_rows(spark: SparkSession, folder: str, stream: bool = False, **options: object) -> DataFrame:
+    """file_path, file_size and the rows of all tables of the HTML files below a folder, or a stream of them."""
     spark.dataSource.register(HtmlReports)
     return (spark.readStream if stream else spark.read).format(NAME).options(**options).load(folder)
+
+
+def read_cells(spark: SparkSession, folder: str, stream: bool = False, **options: object) -> DataFrame:
+    """file_path, file_size and the cells of all tables of the HTML files below a folder, or a stream of them."""
+    return cells_of(read_rows(spark, folder, stream, **options))

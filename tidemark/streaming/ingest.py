@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidemark.operators.store import Store
-from tidemark.sources.report_source import FILE_SCHEMA, read_cells
+from tidemark.sources.html import cells_of
+from tidemark.sources.report_source import FILE_SCHEMA, read_rows
 
 
 def watch(spark: SparkSession, folder: str, store: Store, checkpoint: str, instance: str, at: str, files: int = 100) -> StreamingQuery:
@@ -22,18 +23,23 @@ def watch(spark: SparkSession, folder: str, store: Store, checkpoint: str, insta
     return pages.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, n: store.import_reports(df, instance, at, name=hashlib.sha256(f"{checkpoint}\n{n}".encode()).hexdigest())).start()
 
 
-def stream_cells(spark: SparkSession, folder: str, out: str, **options: object) -> DataFrame:
-    """Cells of all report files that lie in a folder now, shredded by the source as a stream.
+def stream_rows(spark: SparkSession, folder: str, out: str, **options: object) -> DataFrame:
+    """Table rows of all report files that lie in a folder now, shredded by the source as a stream.
 
-    Each batch's cells go to a folder of their own, which a batch that is run again overwrites. Called again with the same
+    Each batch's rows go to a folder of their own, which a batch that is run again overwrites. Called again with the same
     out, only files that are new since then are read.
     """
     write = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/rows/batch={n}")
-    cells = read_cells(spark, folder, stream=True, **options)
-    cells.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    rows = read_rows(spark, folder, stream=True, **options)
+    rows.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     return spark.read.schema(FILE_SCHEMA + ", batch long").parquet(f"{out}/rows")
 
 
+def stream_cells(spark: SparkSession, folder: str, out: str, **options: object) -> DataFrame:
+    """The cells of stream_rows()."""
+    return cells_of(stream_rows(spark, folder, out, **options))
+
+
 def event_counts(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Counts and sums of a stream of events (event_id, ts, event_type, value) in windows.
 
