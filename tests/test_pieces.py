@@ -38,7 +38,7 @@ def test_rows_leave_a_file_before_its_end(tmp_path):
     assert sum(sizes) == 200_000 and max(sizes) <= html.BATCH_ROWS
 
 
-@pytest.mark.parametrize("name", ["src.html_source"])
+@pytest.mark.parametrize("name", ["src.html_source", "src.html_stream"])
 def test_files_are_written_line_by_line(spark, name):
     folder = shredding.report_files(spark, SRC)
     lines = spark.read.text(folder)
