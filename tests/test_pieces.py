@@ -43,3 +43,11 @@ def test_files_are_written_line_by_line(spark, name):
     folder = shredding.report_files(spark, SRC)
     lines = spark.read.text(folder)
     assert lines.select(F.max(F.length("value"))).first()[0] < 5000 and entry.queries()[name](spark, SRC).count() == 35
+
+
+@pytest.mark.parametrize("name", ["src.top_sql_core"])
+def test_no_page_is_collected(spark, name):
+    with redirect_stdout(io.StringIO()) as out:
+        entry.queries()[name](spark, SRC).explain()
+        shredding.whole_pages(spark, SRC).explain()
+    assert "collect_list(struct(col_idx" not in out.getvalue() and "collect_list(struct(rank_by_time" not in out.getvalue()
