@@ -45,7 +45,7 @@ def test_files_are_written_line_by_line(spark, name):
     assert lines.select(F.max(F.length("value"))).first()[0] < 5000 and entry.queries()[name](spark, SRC).count() == 35
 
 
-@pytest.mark.parametrize("name", ["src.top_sql_core", "src.top_sql_distinct", "src.top_sql_row", "src.top_sql_row_simple"])
+@pytest.mark.parametrize("name", ["src.top_sql_core", "src.top_sql_distinct", "src.top_sql_row", "src.top_sql_row_simple", "src.top_sql_row_v2"])
 def test_no_page_is_collected(spark, name):
     with redirect_stdout(io.StringIO()) as out:
         entry.queries()[name](spark, SRC).explain()
