@@ -1,12 +1,14 @@
 """Pages in pieces: the same rows whatever the cuts, and no query holds a page whole."""
 
 import io
+import json
 from contextlib import redirect_stdout
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidemark.operators import store
 from tidemark.queries import shredding
 from tidemark.sources import html, report_source
 
@@ -51,3 +53,17 @@ def test_no_page_is_collected(spark, name):
         entry.queries()[name](spark, SRC).explain()
         shredding.whole_pages(spark, SRC).explain()
     assert "collect_list(struct(col_idx" not in out.getvalue() and "collect_list(struct(rank_by_time" not in out.getvalue()
+
+
+def test_pieces_of_documents_join_to_documents(spark, tmp_path):
+    kept = store.Store(spark, str(tmp_path / "store"))
+    reports = spark.createDataFrame([(1, "a"), (2, 'q"b')], "id long, instance_name string")
+    sqls = spark.createDataFrame([(i, 1 + i % 3, f't"{i}') for i in range(30)], "id long, report_id long, sql_text string")
+    kept.batch("x", {"reports": reports, "top_sqls": sqls, "load_profile": spark.createDataFrame([(2, 7)], "report_id long, total_transactions long")})
+    pieces = kept.document_pieces().collect()
+    assert max(len(p["text"]) for p in pieces) < 500
+    whole = {r["id"]: json.loads(r["document"]) for r in store.export_details(kept.details()).collect()}
+    for k, want in whole.items():
+        got = json.loads("".join(p["text"] for p in sorted((p for p in pieces if p["id"] == k), key=lambda p: (p["section"], p["n"]))))
+        order = lambda x: x | {"top_sqls": sorted(x["top_sqls"], key=lambda t: t["id"])}
+        assert order(got) == order(want) and len(got["top_sqls"]) == 10
