@@ -25,3 +25,10 @@ def test_children_in_the_row_give_what_the_join_gives(spark):
     hits = lambda n: sorted((r["plan_id"], r["node_id"], r["rule_id"]) for r in analysis.ui_rules(n).collect())
     joined = hits(parse.parse_text(plans))
     assert joined == hits(parse.parse_text(plans, [*parse.NODE])) and (1, 3, "Gauss-XN-012") in joined and (1, 0, "Gauss-XN-004") not in joined
+
+
+def test_texts_are_cut_once(spark):
+    with redirect_stdout(io.StringIO()) as out:
+        entry.queries()["plan.split_two"](spark, "/root/testdata/sf0.001").explain()
+    # what is parsed is read from the texts that were cut, not from the orders
+    assert "orders.parquet" not in out.getvalue() and out.getvalue().count("SortMergeJoin") <= 1
