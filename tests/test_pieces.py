@@ -67,3 +67,16 @@ def test_pieces_of_documents_join_to_documents(spark, tmp_path):
         got = json.loads("".join(p["text"] for p in sorted((p for p in pieces if p["id"] == k), key=lambda p: (p["section"], p["n"]))))
         order = lambda x: x | {"top_sqls": sorted(x["top_sqls"], key=lambda t: t["id"])}
         assert order(got) == order(want) and len(got["top_sqls"]) == 10
+
+
+def test_import_of_pieces_is_that_of_whole_pages(spark, tmp_path):
+    plain = [(1, "a", PAGE), (2, "b", "<table summary='User Tables stats x'><tr>" + "<td>7</td>" * 12 + "</tr></table>"), (2, "c", "<p>")]
+    cut = [(k, at, path, len(page[at : at + 40]), page[at : at + 40]) for k, path, page in plain for at in range(0, len(page), 40)]
+    whole, parts = (store.Store(spark, str(tmp_path / x)) for x in ("whole", "parts"))
+    whole.import_reports(spark.createDataFrame([(k, path, len(page), page) for k, path, page in plain], "report_id long, file_path string, file_size long, html string"), "i", "2024-01-01")
+    pieces = spark.createDataFrame(cut[::-1], "report_id long, part int, file_path string, file_size long, html string")
+    parts.import_reports(pieces, "i", "2024-01-01")
+    parts.import_reports(pieces, "i", "2024-01-02")
+    for table in ("reports", "object_stats", "top_sqls"):
+        assert sorted(map(str, parts.read(table).collect())) == sorted(map(str, whole.read(table).collect()))
+    assert parts.read("reports").count() == 2 and parts.read("object_stats").count() == 1
